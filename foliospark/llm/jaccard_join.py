@@ -150,40 +150,70 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: what they share compresses away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _stars(node: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run its first node with each other one."""
+    out = [np.stack([np.full(n - 1, node[s]), node[s + 1 : s + n]], axis=1) for s, n in zip(start.tolist(), size.tolist(), strict=True)]
+    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+
+
+PAIRS, BARE, SIGNATURES = 0, 1, 2
+#: Bytes of a signature inside its bucket: a bucket's size is bounded, so that few differ only beyond them (and pairs are verified).
+SIG_BYTES = 5
+#: Sets of which a task remembers that it has seen them.
+SEEN = 400_000
+
+
 def packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, sigs, nodes, stars (packed arrays; whether the node stands for more); or, where sigs is null, in nodes the pairs of hot groups (bucket -2) or uncovered nodes (-1)."""
+    """bucket, kind and packed arrays: signatures with their nodes (and whether one stands for more), pairs of hot groups, or uncovered nodes."""
 
-    def flush(sigs: list, nodes: list) -> Iterator[tuple[int, bytes | None, bytes, bytes | None]]:
+    def flush(sigs: list, nodes: list) -> Iterator[tuple]:
         sig, node = np.concatenate(sigs), np.concatenate(nodes)
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(start, len(sig)))
-        stars = [np.stack([np.full(n - 1, node[s]), node[s + 1 : s + n]], axis=1) for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True)]
+        big = size > SMALL
         star = np.zeros(len(sig), np.uint8)
-        if stars:
-            pairs = np.unique(np.concatenate(stars), axis=0)
+        if big.any():
+            pairs = _stars(node, start[big], size[big])
             for a in range(0, len(pairs), 50_000):
-                yield -2, None, pairs[a : a + 50_000].astype(np.int64).tobytes(), None
-            keep = np.ones(len(sig), bool)
-            for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                keep[s + 1 : s + n] = False
-                star[s] = 1
+                yield int(pairs[a, 1] % buckets), PAIRS, None, _planes(pairs[a : a + 50_000].ravel()), None
+            star[start[big]] = 1
+            keep = np.repeat(~big, size)
+            keep[start] = True
             sig, node, star = sig[keep], node[keep], star[keep]
         bucket = ((sig >> _U(32)) * _U(buckets)) >> _U(32)  # sorted, since sig is
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        low = np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES])
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sig)], strict=True):
-            yield int(bucket[a]), sig[a:b].tobytes(), node[a:b].tobytes(), star[a:b].tobytes()
+            yield int(bucket[a]), SIGNATURES, low[a:b].tobytes(), _planes(node[a:b]), star[a:b].tobytes()
 
     def batch_of(rows) -> pa.RecordBatch:
         rows = list(rows)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["bucket", "sigs", "nodes", "stars"])
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "kind", "sigs", "nodes", "stars"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes, held, bare = [], [], 0, []
+        import xxhash
+
+        sigs, nodes, held, bare, seen = [], [], 0, [], set()
         for node, shingles in _rows(batches):
-            if not len(shingles):
+            if not len(shingles) or node is None:
                 continue
+            print_ = xxhash.xxh3_64_intdigest(shingles.tobytes())
+            if print_ in seen:  # a copy of an earlier row of this task
+                continue
+            if len(seen) < SEEN:
+                seen.add(print_)
             s, covered = signatures(shingles)
             if not covered:
                 bare.append(node)
@@ -196,67 +226,73 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
                 sigs, nodes, held = [], [], 0
         if held:
             yield batch_of(flush(sigs, nodes))
-        if bare:
-            yield batch_of([(-1, None, np.array(bare, np.int64).tobytes(), None)])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, sigs binary, nodes binary, stars binary")
-
+        for a in range(0, len(bare), 50_000):
+            yield batch_of([(bare[a] % buckets, BARE, None, _planes(np.array(bare[a : a + 50_000], np.int64)), None)])
 
-def _pairs_out(a: np.ndarray, b: np.ndarray, hot: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(hot, pa.bool_())], names=["a", "b", "hot"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, kind int, sigs binary, nodes binary, stars binary")
 
 
 def _bucket_pairs(rows: pa.Table) -> pa.Table:
-    """a < b, hot: the candidate pairs of one bucket, once each. The hot pairs of a signature join all nodes that have it."""
-    sig, node, star = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows.column(c)]) for c, kind in (("sigs", np.uint64), ("nodes", np.int64), ("stars", np.uint8)))
-    order = np.lexsort((node, sig))
-    sig, node, star = sig[order], node[order], star[order]
-    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    size = np.diff(np.append(start, len(sig)))
-    starred = np.maximum.reduceat(star, start) > 0
+    """a < b, hot: the candidate pairs of one bucket, once each; hot pairs join all nodes that have their signature. b is null for an uncovered node."""
+    sigs, nodes, stars, pairs, bare = [], [], [], [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+    for kind, sig, node, star in zip(*(rows.column(c).to_pylist() for c in ("kind", "sigs", "nodes", "stars")), strict=True):
+        if kind == PAIRS:
+            pairs.append(_from_planes(node).reshape(-1, 2))
+        elif kind == BARE:
+            bare.append(_from_planes(node))
+        else:
+            wide = np.zeros((len(star), 8), np.uint8)
+            wide[:, :SIG_BYTES] = np.frombuffer(sig, np.uint8).reshape(-1, SIG_BYTES)
+            sigs.append(wide.view(np.uint64).ravel())
+            nodes.append(_from_planes(node))
+            stars.append(np.frombuffer(star, np.uint8))
     left, right, hot = [], [], []
-    for n in range(2, SMALL + 1):
-        at, flag = start[size == n], starred[size == n]
-        for i in range(n if len(at) else 0):
-            for j in range(i + 1, n):
-                left.append(node[at + i])
-                right.append(node[at + j])
-                hot.append(flag)
-    for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        left.append(np.full(n - 1, node[s]))
-        right.append(node[s + 1 : s + n])
-        hot.append(np.ones(n - 1, bool))
-    if not left:
-        none = np.empty(0, np.int64)
-        return _pairs_out(none, none, np.empty(0, bool))
+    if sigs:
+        sig, node, star = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(stars)
+        order = np.lexsort((node, sig))
+        sig, node, star = sig[order], node[order], star[order]
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        size = np.diff(np.append(start, len(sig)))
+        starred = np.maximum.reduceat(star, start) > 0
+        for n in range(2, SMALL + 1):
+            at, flag = start[size == n], starred[size == n]
+            for i in range(n if len(at) else 0):
+                for j in range(i + 1, n):
+                    left.append(node[at + i])
+                    right.append(node[at + j])
+                    hot.append(flag)
+        pairs.append(_stars(node, start[size > SMALL], size[size > SMALL]))
+    stars_ = np.concatenate(pairs)
+    left.append(stars_[:, 0])
+    right.append(stars_[:, 1])
+    hot.append(np.ones(len(stars_), bool))
     out = np.unique(np.stack([np.concatenate(left), np.concatenate(right), np.concatenate(hot).astype(np.int64)], axis=1), axis=0)
     out = out[out[:, 0] != out[:, 1]]
-    return _pairs_out(out[:, 0], out[:, 1], out[:, 2] > 0)
+    alone = np.concatenate(bare)
+    a, flags = np.concatenate([out[:, 0], alone]), np.concatenate([out[:, 2] > 0, np.zeros(len(alone), bool)])
+    return pa.table([pa.array(a, pa.int64()), pa.array(np.concatenate([out[:, 1], alone]), pa.int64(), mask=np.arange(len(a)) >= len(out)), pa.array(flags, pa.bool_())], names=["a", "b", "hot"])
 
 
-def _unpack_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x in batch.column(0):
-            pairs = np.frombuffer(x.as_py(), np.int64).reshape(-1, 2)
-            yield _pairs_out(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), bool)).to_batches()[0]
+#: Nodes up to which they are broadcast (16 bytes each) to pick their texts out of all; beyond, a shuffle join picks them.
+BROADCAST_NODES = 1_000_000
 
 
-def _unpack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x in batch.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], names=["node"])
+def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text and what nodes has besides, for the documents in nodes."""
+    if nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
+    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose sets link. Whole sets travel to the pairs: first to b, which has few, then to a, which may be a hub."""
-    nodes = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct()
+    nodes = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), f"{name}-nodes")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, F.col("doc_id") == F.col("a"), "left_semi")
-    sets = materialize(texts.mapInArrow(pack, "node long, set binary"), f"{name}-sets")
+    sets = materialize(_only(docs, nodes).select("node", "text").mapInArrow(pack, "node long, set binary"), f"{name}-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +301,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
 
     one, two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     both = pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b")
-    return materialize(both.mapInArrow(check, "a long, b long"), f"{name}-links")
+    return materialize(both.mapInArrow(check, "a long, b long").distinct(), f"{name}-links")
 
 
 def _with_component(rows: DataFrame, components: DataFrame, node: str, as_: str) -> DataFrame:
@@ -276,7 +312,7 @@ def _with_component(rows: DataFrame, components: DataFrame, node: str, as_: str)
 def _prefix_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs a < b of different components that share a shingle of both prefixes; nodes: node, component."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node").select("node", "text", "component")
+    texts = _only(docs, nodes).select("node", "text", "component")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(COUNTERS, np.int64)
@@ -310,22 +346,30 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def join_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row of docs."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     sets = materialize(sets_of(docs), "sets")
     reps = materialize(sets.where("n > 0 and doc_id is not null").groupBy("print", "n").agg(F.min("doc_id").alias("rep")), "reps")
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(64, math.ceil(0.7 * total / BUCKET))
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    packs = materialize(packed(one, buckets), "packs")
-    found = packs.where("sigs is not null").groupBy("bucket").applyInArrow(_bucket_pairs, "a long, b long, hot boolean")
-    found = found.unionAll(packs.where("bucket = -2").select("nodes").mapInArrow(_unpack_hot, "a long, b long, hot boolean"))
-    pairs = materialize(found.groupBy("a", "b").agg(F.max("hot").alias("hot")), "pairs")
-    links = _verified(docs, pairs, "first")
+    found = packed(docs, buckets).groupBy("bucket").applyInArrow(_bucket_pairs, "a long, b long, hot boolean")
+    found = materialize(found, "found")
+    # Copies that met in different tasks stand for their smallest doc_id.
+    copies = sets.join(reps.select("print", F.col("n").alias("n2"), "rep"), "print").where("doc_id <> rep").select("doc_id", "rep").distinct()
+    copies = materialize(copies, "copies")
+    as_rep = lambda rows, c: rows.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias(f"__{c}")), c, "left").withColumn(c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
+    bare = as_rep(found.where("b is null").select(F.col("a").alias("node")), "node")
+    pairs = as_rep(as_rep(found.where("b is not null"), "a"), "b").where("a <> b")
+    pairs = materialize(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("hot").alias("hot")), "pairs")
+    # Each node is first held against its smallest candidate; what that connects needs no other pair.
+    links = _verified(docs, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     components = materialize(connected_components(links), "components")
+    rest = _with_component(_with_component(pairs, components, "a", "ca"), components, "b", "cb").where("ca <> cb").select("a", "b")
+    rest = materialize(rest, "rest")
+    if rest.limit(1).count():
+        links = links.unionAll(_verified(docs, rest, "rest"))
+        components = materialize(connected_components(links), "components")
     # What hot groups and uncovered sets leave open.
-    hot = _with_component(_with_component(pairs.where("hot"), components, "a", "ca"), components, "b", "cb")
-    hot = materialize(hot, "hot")
-    bare = packs.where("bucket = -1").select("nodes").mapInArrow(_unpack_nodes, "node long")
+    hot = materialize(_with_component(_with_component(pairs.where("hot"), components, "a", "ca"), components, "b", "cb"), "hot")
     if hot.where("ca <> cb").limit(1).count():
         grown = connected_components(hot.select("a", "b"))
         open_ = hot.where("ca <> cb").join(grown.withColumnRenamed("node", "a"), "a").select("component").distinct()
