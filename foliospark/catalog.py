@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import markdown as md
 from foliospark.operators import layout, library, plain_text, tables
+from foliospark.plans import convert as convert_plan
 from foliospark.plans import pages as pages_plan
 from foliospark.session import table
+from foliospark.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -398,3 +400,35 @@ def conversation_tables(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("| "), "role", F.lit(" | "), md.escape_inline(F.replace("text", F.lit("\n"), F.lit(" "))), F.lit(" |")).alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
     return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.concat(F.lit("| | |\n| --- | --- |\n"), body).alias("markdown"))
+
+
+# --------------------------------------------------------------------- files
+
+
+def _as_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and texts as files of a folder would be read."""
+    pages = table(spark, sf, "pages").select(F.format_string("page-%d.html", "page_id").alias("name"), F.encode("html", "utf-8").alias("content"))
+    texts = table(spark, sf, "documents").select(F.format_string("text-%d.txt", "doc_id").alias("name"), F.encode("text", "utf-8").alias("content"))
+    return pages.unionByName(texts).withColumn("length", F.octet_length("content").cast("long"))
+
+
+@query(
+    """SELECT name, CASE WHEN ext = 'html' OR starts_with(h, '<!doctype html') OR starts_with(h, '<html') OR contains(h, '<body') THEN 'html'
+  WHEN starts_with(h, 'from:') OR starts_with(h, 'received:') OR starts_with(h, 'return-path:') OR starts_with(h, 'mime-version:') THEN 'eml' ELSE 'text' END AS format FROM
+(SELECT 'page-' || page_id || '.html' AS name, 'html' AS ext, lower(ltrim(left(html, 1024))) AS h FROM pages UNION ALL SELECT 'text-' || doc_id || '.txt', 'txt', lower(ltrim(left(text, 1024))) FROM documents)"""
+)
+def detect_format(spark: SparkSession, sf: str) -> DataFrame:
+    return convert_plan.convert_files(_as_files(spark, sf)).select("name", "format")
+
+
+@query()
+def file_conversion(spark: SparkSession, sf: str) -> DataFrame:
+    """Files to documents with front matter, whatever their format."""
+    return convert_plan.convert_files(_as_files(spark, sf)).select("name", "format", "output_name", "word_count", "image_count", "document", "error")
+
+
+@query()
+def markdown_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """The converted pages as archives of at most a thousand files."""
+    files = _as_files(spark, sf).where(F.col("name").startswith("page-"))
+    return sinks.archives(convert_plan.convert_files(files)).select("archive", F.octet_length("content").alias("n_bytes"))

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import markdown as md
+from foliospark.parse.delimited import DELIMITERS
 
 #: Most rows of a delimited file that are rendered, its header among them.
 ROW_CAP = 5000
 #: Most columns of a table made of JSON records.
 RECORD_COLUMNS = 24
-DELIMITERS = (",", ";", "\t", "|")
 
 
 def infer_alignment(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,50 +91,6 @@ def sniff_delimiter(text) -> Column:
     return best
 
 
-def parse_delimited(text: str, delimiter: str) -> list[list[str]]:
-    """Rows of fields. A quote opens a field only where nothing but blanks came before; ragged rows stay ragged."""
-    rows, row, field = [], [], []
-    i, n = (1 if text.startswith("﻿") else 0), len(text)
-    while i < n:
-        c = text[i]
-        if c == '"' and not "".join(field).strip():
-            field = []
-            while True:  # to the closing quote
-                j = text.find('"', i + 1)
-                if j < 0:
-                    field.append(text[i + 1 :])
-                    i = n
-                    break
-                field.append(text[i + 1 : j])
-                if text[j + 1 : j + 2] == '"':
-                    field.append('"')
-                    i = j + 1
-                    continue
-                i = j + 1
-                break
-            if field and "".join(field).strip() == "":
-                field = ["".join(field)]
-            while i < n and text[i] not in (delimiter, "\n", "\r"):  # what follows is appended
-                field.append(text[i])
-                i += 1
-            continue
-        if c == delimiter:
-            row.append("".join(field))
-            field = []
-        elif c in "\r\n":
-            i += text[i : i + 2] == "\r\n"
-            row.append("".join(field))
-            rows.append(row)
-            row, field = [], []
-        else:
-            field.append(c)
-        i += 1
-    if field or row:
-        row.append("".join(field))
-        rows.append(row)
-    return rows
-
-
 def delimited_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of parsed files without their all-blank rows, renumbered, down to the first ROW_CAP rows."""
     live = cells.groupBy(*keys, "row").agg(F.max(~md.is_blank("value")).alias("live")).where("live")

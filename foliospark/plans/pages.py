@@ -11,7 +11,6 @@ from foliospark.functions import markdown as md
 RESULT = "struct<markdown:string,title:string,meta:array<struct<k:string,v:string>>,images:int>"
 
 
-@F.pandas_udf(RESULT)
 def html_to_markdown(html: pd.Series) -> pd.DataFrame:
     from foliospark.parse.html import to_markdown
 
@@ -21,7 +20,7 @@ def html_to_markdown(html: pd.Series) -> pd.DataFrame:
 
 def convert(pages: DataFrame) -> DataFrame:
     """page_id, url, title, markdown, words, images, meta."""
-    out = pages.select("page_id", "url", html_to_markdown("html").alias("r"))
+    out = pages.select("page_id", "url", F.pandas_udf(html_to_markdown, RESULT)("html").alias("r"))
     return out.select("page_id", "url", F.col("r.title").alias("title"), F.col("r.markdown").alias("markdown"), md.count_words("r.markdown").alias("words"), F.col("r.images").alias("images"), F.col("r.meta").alias("meta"))
 
 
