@@ -1,7 +1,7 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence for each connected group.
 
 A line is a part of a text between newlines. Its normal form is its words (runs of word characters), decomposed without
-combining marks, lower-cased, runs of digits as 0, joined by single spaces. Lines of one normal form are one node. Two
+accents, lower-cased, runs of digits as 0, joined by single spaces. Lines of one normal form are one node. Two
 nodes of at least LEAST_WORDS words each are linked if their 128-bit SimHashes (each word votes once for each time it stands there) differ in at
 most RADIUS bits and the edit similarity of their normal forms, 1 - Levenshtein / longer length, is at least SIMILARITY.
 RADIUS + 1 blocks of 32 bits are indexed, so a pair within RADIUS shares one block at least. Of each group of connected
@@ -32,15 +32,16 @@ from foliospark.llm._common import WordHashes, materialize, mix, prepare, table
 from foliospark.llm.components import connected_components
 
 LEAST_WORDS, RADIUS, SIMILARITY, BLOCK_BITS = 4, 3, 0.9, 32
-DENSE, BUCKET, FLUSH = 2048, 500_000, 400_000
+DENSE, BUCKET, FLUSH_BYTES = 2048, 500_000, 12_000_000
 _WORDS = re.compile(r"\w+")
 _DIGITS = re.compile(r"\d+")
+_MARKS = re.compile("[\u0300-\u036f]+")
 _memo = WordHashes()
 
 
 def normal(line: str) -> str:
     if not line.isascii():
-        line = "".join(c for c in unicodedata.normalize("NFKD", line) if not unicodedata.combining(c))
+        line = _MARKS.sub("", unicodedata.normalize("NFKD", line))
     return " ".join(_WORDS.findall(_DIGITS.sub("0", line.lower())))
 
 
@@ -49,13 +50,22 @@ def key(form: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: Words whose bits are spread out at a time (128 bytes each).
+WORDS_AT_ONCE = 100_000
+
+
 def simhashes(forms: list[str]) -> np.ndarray:
     """A row of 16 bytes for each normal form (none empty)."""
-    words = [f.split(" ") for f in forms]
-    sizes = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter((_memo[w.encode("utf-8", "surrogatepass")] for x in words for w in x), np.uint64, int(sizes.sum()))
-    bits = np.unpackbits(np.stack([mix(h), mix(h ^ np.uint64(0x5DEECE66D1234567))], axis=1).view(np.uint8), axis=1)
-    ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+    sizes = np.array([f.count(" ") + 1 for f in forms], np.int64)
+    h = np.fromiter((_memo[w.encode("utf-8", "surrogatepass")] for f in forms for w in f.split(" ")), np.uint64, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(forms)), sizes)
+    ones = np.zeros((len(forms), 128), np.int32)
+    for a in range(0, len(h), WORDS_AT_ONCE):
+        part, lines = h[a : a + WORDS_AT_ONCE], owner[a : a + WORDS_AT_ONCE]
+        bits = np.unpackbits(np.stack([mix(part), mix(part ^ np.uint64(0x5DEECE66D1234567))], axis=1).view(np.uint8), axis=1)
+        starts = np.flatnonzero(np.append(True, lines[1:] != lines[:-1]))
+        short = np.diff(np.append(starts, len(lines))).max() < 256  # sums that fit the bits' own type are several times faster
+        ones[lines[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.uint8 if short else np.int32)
     return np.packbits(2 * ones > sizes[:, None], axis=1)
 
 
@@ -97,7 +107,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 if f.count(" ") >= LEAST_WORDS - 1 and (k := key(f)) not in forms:
                     forms[k] = f
                     size += len(f) + 100
-            if size > 48_000_000:
+            if size > FLUSH_BYTES:
                 yield flush(forms)
                 forms, size = {}, 0
         if forms:
