@@ -16,6 +16,7 @@ empty result. Columns of docs named like the result's are kept out of `assign` b
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,17 +54,18 @@ def _hypergeometric(random: np.random.Generator, good: int, bad: int, draws: int
         return 0
     if good + bad < 1_000_000_000:
         return int(random.hypergeometric(good, bad, draws))
-    # Beyond the generator's range: halve the draws; each half is hypergeometric given the one before.
-    if draws > 1_000_000:
-        first = _hypergeometric(random, good, bad, draws // 2)
-        return first + _hypergeometric(random, good - first, bad - (draws // 2 - first), draws - draws // 2)
-    got = 0
-    for _ in range(draws):
-        if random.random() * (good + bad) < good:
-            got, good = got + 1, good - 1
-        else:
-            bad -= 1
-    return got
+    # Beyond the generator's range: invert the distribution over all counts within 12 deviations of its mode.
+    total = good + bad
+    if draws > total // 2:  # what stays behind is hypergeometric too
+        return good - _hypergeometric(random, good, bad, total - draws)
+    share = good / total
+    mode = int((draws + 1) * (good + 1) / (total + 2))
+    spread = 20 + int(12 * math.sqrt(draws * share * (1 - share) * (1 - draws / total)))
+    k = np.arange(max(0, draws - bad, mode - spread), min(draws, good, mode + spread) + 1, dtype=np.float64)
+    ratio = np.log(good - k[:-1]) + np.log(draws - k[:-1]) - np.log(k[1:]) - np.log(bad - draws + k[1:])
+    weight = np.append(0.0, np.cumsum(ratio))
+    weight = np.cumsum(np.exp(weight - weight.max()))
+    return int(k[np.searchsorted(weight, random.random() * weight[-1])])
 
 
 def _hash(docs: DataFrame, seed: int) -> Column:
