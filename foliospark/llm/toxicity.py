@@ -2,7 +2,7 @@
 
 Terms are lower-cased words and their beginnings of four to six letters. The vocabulary is fitted on labelled examples
 (at most PER_CLASS of each label, in an order given by a hash): at most VOCABULARY terms whose chi-square with the label
-is largest and at least LEAST_CHI2. Document frequencies of these terms are then counted over all documents. The examples'
+is largest and at least LEAST_CHI2, and that are LIFT times as frequent under one label as under the other at least. Document frequencies of these terms are then counted over all documents. The examples'
 vectors go into an inverted index cut into blocks of BLOCK examples, with each term's largest weight in each block. For a
 document, blocks are visited in order of their upper bound, until no further block can hold one of the K nearest: the
 neighbours are exact. Votes are weighted by the squared cosine, and smoothed by the label's share among training rows.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from foliospark.llm._common import crc_text, prepare, table
 from foliospark.llm.quality_classifier import training
 
-PER_CLASS, VOCABULARY, LEAST_CHI2, LEAST_EXAMPLES = 4000, 4096, 20.0, 3
+PER_CLASS, VOCABULARY, LEAST_CHI2, LEAST_EXAMPLES, LIFT = 4000, 4096, 20.0, 3, 3.0
 K, BLOCK, SMOOTH, CUT = 15, 64, 0.1, 0.7
 STARTS = (4, 5, 6)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -142,7 +142,8 @@ def choose_terms(examples: DataFrame) -> list[str]:
     a, b = F.col("yes"), F.col("no")
     cross = a * (n0 - b) - b * (n1 - a)
     chi2 = n * cross * cross / ((a + b) * (n - a - b) * n0 * n1)
-    found = held.where((a + b >= LEAST_EXAMPLES) & (a + b < n)).select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(VOCABULARY)
+    apart = F.greatest(a / n1, b / n0) >= LIFT * F.least(a / n1, b / n0)
+    found = held.where((a + b >= LEAST_EXAMPLES) & (a + b < n) & apart).select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(VOCABULARY)
     return [r[0] for r in found.collect()]
 
 
