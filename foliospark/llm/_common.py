@@ -119,6 +119,6 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     k = min(size, n)
     with np.errstate(over="ignore"):
         h = np.full(n - k + 1, 0x9E3779B97F4A7C15 + k, np.uint64)
-        for i in range(k):
-            h = mix(h ^ words[i : n - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        for i in range(k):  # odd factors, one for each place
+            h += words[i : n - k + 1 + i] * np.uint64((0xD6E8FEB86659FD93 + 0x5851F42D4C957F2E * i) & 0xFFFFFFFFFFFFFFFF)
     return mix(h)

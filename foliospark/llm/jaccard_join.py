@@ -13,7 +13,8 @@ longer holds is *uncovered*.
 
 Candidates. Signatures travel packed by hash bucket. A group of up to SMALL nodes gives all its pairs, a larger one the pairs
 with its smallest node: no all-pairs list of a hot group is ever made. Tasks first do the same among their own rows and
-send on the smallest node only. Pairs are verified exactly on the whole sets.
+send on the smallest node only. A pair is dropped where sizes or a sketch of 256 counts prove that it can't link; the others are
+verified exactly on the whole sets, first each node with its smallest candidate, then those pairs that this left apart.
 
 The rest, exactly. The pairs of a hot group join all its nodes, so it needs more work only where one of them ended in two
 components. The nodes of such groups and the uncovered ones go through a prefix filter: a linked pair shares one of
@@ -39,6 +40,8 @@ from foliospark.llm.components import connected_components
 
 SIZE, NUM, DEN = 5, 80, 100
 GROWTH = 1.5
+#: What a shingle of an uncovered set costs, in signatures: its prefix goes row by row, and its text is read again.
+UNCOVERED = 4
 SMALL = 8
 #: Signatures of a bucket, about; signatures that a task gathers before it sends them on.
 BUCKET, FLUSH = 1_500_000, 1_500_000
@@ -76,21 +79,24 @@ def allocation(band: int) -> tuple[int, int, int]:
     """Segments m, kind (0: whole contents, 1: with one-deletion neighbourhoods), and how many useless segments a set of this band may have.
 
     The cost of an option is its signatures, plus the prefix filter's work times the share of sets that would be uncovered
-    (a segment's size taken as Poisson, the number of useless segments as normal).
+    (a segment's size taken as Poisson, the number of useless segments as normal; half the sets as small as a visitor from the band below).
     """
-    top = bands()[band + 1] - 1
-    size = (bands()[band] + top) / 2
+    low, top = bands()[band], bands()[band + 1] - 1
+    size = (low + top) / 2
     most = 2 * top * (DEN - NUM) // (DEN + NUM)
+
+    def uncovered(m: int, kind: int, spare: int, size: float) -> float:
+        mean = size / m
+        useless = math.exp(-mean) * (1 + (mean if kind else 0))
+        return 0.5 * math.erfc((spare + 0.5 - m * useless) / math.sqrt(m * useless * (1 - useless) + 1e-9) / math.sqrt(2))
+
     best = None
     for kind in (0, 1):
         need = most // (kind + 1) + 1
-        for slack in range(0, 41, 4):
+        for slack in range(0, 101, 4):
             m = need + math.ceil(need * slack / 100)
-            mean = size / m
-            useless = math.exp(-mean) * (1 + (mean if kind else 0))
-            z = (m - need + 0.5 - m * useless) / math.sqrt(m * useless * (1 - useless) + 1e-9)
-            uncovered = 0.5 * math.erfc(z / math.sqrt(2))
-            cost = m + kind * size + uncovered * (20 + size)
+            missed = (uncovered(m, kind, m - need, max(1, low * NUM / DEN)) + uncovered(m, kind, m - need, size)) / 2
+            cost = m + kind * size + missed * UNCOVERED * (20 + size)
             if best is None or cost < best[0]:
                 best = (cost, m, kind, m - need)
     return best[1:]
@@ -138,16 +144,33 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarra
             yield i, shingle_set(t.as_py())
 
 
+#: Cells of a set's sketch: how many of its shingles fall into each.
+CELLS = 256
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((shingles & _U(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False only for pairs that can't link: the cells' smaller counts add up to an upper bound of the intersection, unless a cell is full."""
+    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    full = (a.max(axis=1) == 255) | (b.max(axis=1) == 255)
+    sized = DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)
+    return sized & (full | (DEN * most >= NUM * (na + nb - most)))
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), print (128 bits of the set)."""
+    """doc_id, n (set size), print (128 bits of the set), sketch."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())], names=["doc_id", "n", "print"])
+            columns = ([len(s) for s in found], pa.int64()), ([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), ([sketch(s) for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, k) for x, k in columns)], names=["doc_id", "n", "print", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, sketch binary")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -273,7 +296,7 @@ def _bucket_pairs(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(np.concatenate([out[:, 1], alone]), pa.int64(), mask=np.arange(len(a)) >= len(out)), pa.array(flags, pa.bool_())], names=["a", "b", "hot"])
 
 
-#: Nodes up to which they are broadcast (16 bytes each) to pick their texts out of all; beyond, a shuffle join picks them.
+#: Rows (16 bytes each) up to which the documents that are asked for are broadcast to pick their texts out of all; beyond, a shuffle join picks them.
 BROADCAST_NODES = 1_000_000
 
 
@@ -284,24 +307,62 @@ def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
 
 
+#: Bytes of a shingle that travel to be verified; two sets of a thousand have a chance of 1e-8 to share one by accident.
+SET_BYTES = 6
+
+
+def _pack_set(shingles: np.ndarray) -> bytes:
+    return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).tobytes()  # the high bytes: still in order
+
+
+def _unpack_set(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // SET_BYTES, 8), np.uint8)
+    out[:, 8 - SET_BYTES :] = np.frombuffer(x, np.uint8).reshape(-1, SET_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CELLS) for c in batch.columns[4:6]]
+            ok = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *cells)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+
+    for c in "ab":
+        pairs = pairs.join(reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+    return pairs.where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets link. Whole sets travel to the pairs: first to b, which has few, then to a, which may be a hub."""
-    nodes = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), f"{name}-nodes")
+    """The pairs (a, b) whose sets link. A set is made where its text is read; b's goes to a, which may be a hub: a join whose hot partition can be split."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, b""
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "set"])
-
-    sets = materialize(_only(docs, nodes).select("node", "text").mapInArrow(pack, "node long, set binary"), f"{name}-sets")
+            sets = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if node != last:  # a text's pairs follow one another
+                    last, held = node, _pack_set(shingle_set(text.as_py()))
+                sets.append(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], names=["node", "a", "set"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
         for batch in batches:
-            ok = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            ok = []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, held = a, _unpack_set(x.as_py())
+                ok.append(linked(held, _unpack_set(y.as_py())))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    one, two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    both = pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b")
-    return materialize(both.mapInArrow(check, "a long, b long").distinct(), f"{name}-links")
+    pairs = materialize(pairs.select("a", "b"), f"{name}-pairs")
+    far = _only(docs, pairs.select(F.col("b").alias("node"), "a")).select("node", "text", "a").mapInArrow(pack, "node long, a long, set binary")
+    hubs = _only(docs, pairs.select(F.col("a").alias("node")).distinct().withColumn("a", F.col("node"))).select("node", "text", "a").mapInArrow(pack, "node long, a long, set binary")
+    both = hubs.select("a", F.col("set").alias("set_a")).join(far.select("a", F.col("node").alias("b"), F.col("set").alias("set_b")), "a")
+    return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct(), f"{name}-links")
 
 
 def _with_component(rows: DataFrame, components: DataFrame, node: str, as_: str) -> DataFrame:
@@ -348,7 +409,7 @@ def join_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row of docs."""
     prepare(docs.sparkSession)
     sets = materialize(sets_of(docs), "sets")
-    reps = materialize(sets.where("n > 0 and doc_id is not null").groupBy("print", "n").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = materialize(sets.where("n > 0 and doc_id is not null").groupBy("print", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(64, math.ceil(0.7 * total / BUCKET))
     found = packed(docs, buckets).groupBy("bucket").applyInArrow(_bucket_pairs, "a long, b long, hot boolean")
@@ -361,9 +422,10 @@ def join_groups(docs: DataFrame) -> DataFrame:
     pairs = as_rep(as_rep(found.where("b is not null"), "a"), "b").where("a <> b")
     pairs = materialize(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("hot").alias("hot")), "pairs")
     # Each node is first held against its smallest candidate; what that connects needs no other pair.
-    links = _verified(docs, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    likely = materialize(_likely(pairs, reps), "likely")
+    links = _verified(docs, likely.groupBy("b").agg(F.min("a").alias("a")), "first")
     components = materialize(connected_components(links), "components")
-    rest = _with_component(_with_component(pairs, components, "a", "ca"), components, "b", "cb").where("ca <> cb").select("a", "b")
+    rest = _with_component(_with_component(likely, components, "a", "ca"), components, "b", "cb").where("ca <> cb").select("a", "b")
     rest = materialize(rest, "rest")
     if rest.limit(1).count():
         links = links.unionAll(_verified(docs, rest, "rest"))
@@ -376,7 +438,7 @@ def join_groups(docs: DataFrame) -> DataFrame:
         bare = bare.unionAll(grown.join(open_, "component", "left_semi").select("node"))
     asked = materialize(_with_component(bare.distinct(), components, "node", "component"), "asked")
     if asked.limit(1).count():
-        more = materialize(_prefix_pairs(docs, asked).join(pairs, ["a", "b"], "left_anti"), "more")
+        more = _likely(_prefix_pairs(docs, asked).join(pairs, ["a", "b"], "left_anti"), reps)
         links = links.unionAll(_verified(docs, more, "more"))
         components = materialize(connected_components(links), "components")
     named = _with_component(reps, components, "rep", "component")
