@@ -46,7 +46,7 @@ SMALL = 8
 #: Signatures of a bucket, about; signatures that a task gathers before it sends them on.
 BUCKET, FLUSH = 1_500_000, 1_500_000
 #: Counters that order the shingles of the prefix filter.
-COUNTERS = 1 << 18
+COUNTERS, COUNTER_PART = 1 << 20, 1 << 14
 _U = np.uint64
 
 
@@ -182,10 +182,11 @@ def _from_planes(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _stars(node: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each run its first node with each other one."""
-    out = [np.stack([np.full(n - 1, node[s]), node[s + 1 : s + n]], axis=1) for s, n in zip(start.tolist(), size.tolist(), strict=True)]
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+def _stars(sig: np.ndarray, node: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run its first node with each other one, and the run's signature."""
+    name = (sig & _U((1 << 8 * SIG_BYTES) - 1)).astype(np.int64)
+    out = [np.stack([np.full(n - 1, node[s]), node[s + 1 : s + n], np.full(n - 1, name[s])], axis=1) for s, n in zip(start.tolist(), size.tolist(), strict=True)]
+    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
 
 
 PAIRS, BARE, SIGNATURES = 0, 1, 2
@@ -207,7 +208,7 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
         big = size > SMALL
         star = np.zeros(len(sig), np.uint8)
         if big.any():
-            pairs = _stars(node, start[big], size[big])
+            pairs = _stars(sig, node, start[big], size[big])
             for a in range(0, len(pairs), 50_000):
                 yield int(pairs[a, 1] % buckets), PAIRS, None, _planes(pairs[a : a + 50_000].ravel()), None
             star[start[big]] = 1
@@ -256,11 +257,11 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _bucket_pairs(rows: pa.Table) -> pa.Table:
-    """a < b, hot: the candidate pairs of one bucket, once each; hot pairs join all nodes that have their signature. b is null for an uncovered node."""
-    sigs, nodes, stars, pairs, bare = [], [], [], [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+    """a < b, hot: the candidate pairs of one bucket, once each; pairs with a value of hot join all nodes that have that signature. b is null for an uncovered node."""
+    sigs, nodes, stars, pairs, bare = [], [], [], [np.empty((0, 3), np.int64)], [np.empty(0, np.int64)]
     for kind, sig, node, star in zip(*(rows.column(c).to_pylist() for c in ("kind", "sigs", "nodes", "stars")), strict=True):
         if kind == PAIRS:
-            pairs.append(_from_planes(node).reshape(-1, 2))
+            pairs.append(_from_planes(node).reshape(-1, 3))
         elif kind == BARE:
             bare.append(_from_planes(node))
         else:
@@ -269,7 +270,7 @@ def _bucket_pairs(rows: pa.Table) -> pa.Table:
             sigs.append(wide.view(np.uint64).ravel())
             nodes.append(_from_planes(node))
             stars.append(np.frombuffer(star, np.uint8))
-    left, right, hot = [], [], []
+    cold = [np.empty((0, 2), np.int64)]
     if sigs:
         sig, node, star = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(stars)
         order = np.lexsort((node, sig))
@@ -281,19 +282,16 @@ def _bucket_pairs(rows: pa.Table) -> pa.Table:
             at, flag = start[size == n], starred[size == n]
             for i in range(n if len(at) else 0):
                 for j in range(i + 1, n):
-                    left.append(node[at + i])
-                    right.append(node[at + j])
-                    hot.append(flag)
-        pairs.append(_stars(node, start[size > SMALL], size[size > SMALL]))
-    stars_ = np.concatenate(pairs)
-    left.append(stars_[:, 0])
-    right.append(stars_[:, 1])
-    hot.append(np.ones(len(stars_), bool))
-    out = np.unique(np.stack([np.concatenate(left), np.concatenate(right), np.concatenate(hot).astype(np.int64)], axis=1), axis=0)
-    out = out[out[:, 0] != out[:, 1]]
-    alone = np.concatenate(bare)
-    a, flags = np.concatenate([out[:, 0], alone]), np.concatenate([out[:, 2] > 0, np.zeros(len(alone), bool)])
-    return pa.table([pa.array(a, pa.int64()), pa.array(np.concatenate([out[:, 1], alone]), pa.int64(), mask=np.arange(len(a)) >= len(out)), pa.array(flags, pa.bool_())], names=["a", "b", "hot"])
+                    cold.append(np.stack([node[at + i], node[at + j]], axis=1))
+            pairs.append(_stars(sig, node, at[flag], np.full(flag.sum(), n)))
+        pairs.append(_stars(sig, node, start[size > SMALL], size[size > SMALL]))
+    cold, hot, alone = np.unique(np.concatenate(cold), axis=0), np.unique(np.concatenate(pairs), axis=0), np.concatenate(bare)
+    cold, hot = cold[cold[:, 0] != cold[:, 1]], hot[hot[:, 0] != hot[:, 1]]
+    a = np.concatenate([cold[:, 0], hot[:, 0], alone])
+    b = np.concatenate([cold[:, 1], hot[:, 1], alone])
+    group = np.concatenate([np.zeros(len(cold), np.int64), hot[:, 2], np.zeros(len(alone), np.int64)])
+    place = np.arange(len(a))
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=place >= len(cold) + len(hot)), pa.array(group, pa.int64(), mask=(place < len(cold)) | (place >= len(cold) + len(hot)))], names=["a", "b", "hot"])
 
 
 #: Rows (16 bytes each) up to which the documents that are asked for are broadcast to pick their texts out of all; beyond, a shuffle join picks them.
@@ -376,15 +374,22 @@ def _prefix_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = _only(docs, nodes).select("node", "text", "component")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(COUNTERS, np.int64)
+        held = np.zeros(COUNTERS, np.int32)
         for _, s in _rows(batches):
-            np.add.at(held, (s % _U(COUNTERS)).astype(np.int64), 1)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], names=["k", "n"])
-
-    counters = np.zeros(COUNTERS, np.int64)
-    for k, n in texts.select("node", "text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n")).toPandas().itertuples(index=False):  # at most COUNTERS numbers
-        counters[k] = n
+            at, n = np.unique((s % _U(COUNTERS)).astype(np.int64), return_counts=True)
+            held[at] += n.astype(np.int32)
+        parts = [x for x in enumerate(held.reshape(-1, COUNTER_PART)) if x[1].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["part", "held"])
+
+    def total(rows: pa.Table) -> pa.Table:
+        held = np.zeros(COUNTER_PART, np.int64)
+        for x in rows.column("held"):
+            held += np.frombuffer(x.as_py(), np.int32)
+        return pa.table([rows.column("part").slice(0, 1), pa.array([np.minimum(held, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["part", "held"])
+
+    counters = np.zeros(COUNTERS, np.int32)
+    for part, held in texts.select("node", "text").mapInArrow(count, "part int, held binary").groupBy("part").applyInArrow(total, "part int, held binary").collect():  # 4 MB
+        counters[part * COUNTER_PART : (part + 1) * COUNTER_PART] = np.frombuffer(held, np.int32)
     sent = spark.sparkContext.broadcast(counters)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +417,7 @@ def join_groups(docs: DataFrame) -> DataFrame:
     reps = materialize(sets.where("n > 0 and doc_id is not null").groupBy("print", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(64, math.ceil(0.7 * total / BUCKET))
-    found = packed(docs, buckets).groupBy("bucket").applyInArrow(_bucket_pairs, "a long, b long, hot boolean")
+    found = packed(docs, buckets).groupBy("bucket").applyInArrow(_bucket_pairs, "a long, b long, hot long")
     found = materialize(found, "found")
     # Copies that met in different tasks stand for their smallest doc_id.
     copies = sets.join(reps.select("print", F.col("n").alias("n2"), "rep"), "print").where("doc_id <> rep").select("doc_id", "rep").distinct()
@@ -420,7 +425,7 @@ def join_groups(docs: DataFrame) -> DataFrame:
     as_rep = lambda rows, c: rows.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias(f"__{c}")), c, "left").withColumn(c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
     bare = as_rep(found.where("b is null").select(F.col("a").alias("node")), "node")
     pairs = as_rep(as_rep(found.where("b is not null"), "a"), "b").where("a <> b")
-    pairs = materialize(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("hot").alias("hot")), "pairs")
+    pairs = materialize(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("times")), "pairs")
     # Each node is first held against its smallest candidate; what that connects needs no other pair.
     likely = materialize(_likely(pairs, reps), "likely")
     links = _verified(docs, likely.groupBy("b").agg(F.min("a").alias("a")), "first")
@@ -431,11 +436,11 @@ def join_groups(docs: DataFrame) -> DataFrame:
         links = links.unionAll(_verified(docs, rest, "rest"))
         components = materialize(connected_components(links), "components")
     # What hot groups and uncovered sets leave open.
-    hot = materialize(_with_component(_with_component(pairs.where("hot"), components, "a", "ca"), components, "b", "cb"), "hot")
-    if hot.where("ca <> cb").limit(1).count():
-        grown = connected_components(hot.select("a", "b"))
-        open_ = hot.where("ca <> cb").join(grown.withColumnRenamed("node", "a"), "a").select("component").distinct()
-        bare = bare.unionAll(grown.join(open_, "component", "left_semi").select("node"))
+    hot = as_rep(as_rep(found.where("hot is not null"), "a"), "b").where("a <> b").select("hot", "a", "b")
+    hot = materialize(_with_component(_with_component(hot, components, "a", "ca"), components, "b", "cb"), "hot")
+    mixed = materialize(hot.where("ca <> cb").select("hot").distinct(), "mixed")
+    opened = hot.join(mixed, "hot", "left_semi")
+    bare = bare.unionAll(opened.select("a")).unionAll(opened.select("b"))
     asked = materialize(_with_component(bare.distinct(), components, "node", "component"), "asked")
     if asked.limit(1).count():
         more = _likely(_prefix_pairs(docs, asked).join(pairs, ["a", "b"], "left_anti"), reps)
