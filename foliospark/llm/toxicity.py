@@ -26,7 +26,7 @@ from foliospark.llm._common import crc_text, prepare, table
 from foliospark.llm.quality_classifier import training
 
 PER_CLASS, VOCABULARY, LEAST_CHI2, LEAST_EXAMPLES, LIFT = 4000, 4096, 20.0, 3, 3.0
-K, BLOCK, SMOOTH, CUT = 15, 64, 0.1, 0.7
+K, BLOCK, FIRST_BLOCKS, SMOOTH, CUT = 15, 64, 4, 0.1, 0.7
 STARTS = (4, 5, 6)
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -78,10 +78,9 @@ class Index:
         self.most: dict[int, np.ndarray] = {}
         for t, entries in lists.items():
             at, w = np.array([e for e, _ in entries]), np.array([x for _, x in entries])
-            cuts = np.searchsorted(at, np.arange(self.n_blocks + 1) * BLOCK)
             top = np.zeros(self.n_blocks)
             np.maximum.at(top, at // BLOCK, w)
-            self.postings[t], self.most[t] = (at, w, cuts), top
+            self.postings[t], self.most[t] = (at, w, at // BLOCK), top
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         v = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items() if self.idf[t] > 0}
@@ -94,20 +93,23 @@ class Index:
         if not terms:
             return []
         bound = sum(query[t] * self.most[t] for t in terms)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        score = np.zeros(self.n_blocks * BLOCK)
+        least, done, step = 0.0, 0, FIRST_BLOCKS
+        while done < len(order) and bound[order[done]] >= least - 1e-12:  # no later block reaches further
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[order[done : done + step]] = True
             for t in terms:
-                at, w, cuts = self.postings[t]
-                lo, hi = cuts[b], cuts[b + 1]
-                if hi > lo:
-                    score[at[lo:hi] - b * BLOCK] += query[t] * w[lo:hi]
-            for i in np.flatnonzero(score > 0):
-                best.append((float(round(score[i], 12)), int(b * BLOCK + i)))
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+                at, w, block = self.postings[t]
+                in_ = chosen[block]
+                score[at[in_]] += query[t] * w[in_]
+            done, step = done + step, 4 * step
+            if np.count_nonzero(score) >= k:
+                least = np.partition(score, len(score) - k)[len(score) - k]
+        found = np.flatnonzero(score >= max(least - 1e-12, 1e-300))
+        best = sorted(((-float(round(score[i], 12)), int(i)) for i in found))[:k]
+        return [(-x, i) for x, i in best]
 
     def judge(self, counts: dict[int, int]) -> tuple[float, object, float | None, str | None]:
         """Score, the nearest example's doc_id, its cosine, and the terms that count most."""
