@@ -78,14 +78,21 @@ def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
                     yield doc, n, form
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(key(f), d, n) for d, n, f in _lines(batch)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["node", "doc_id", "line"])
+SCANNED = "node long, doc_id long, line long, bucket int, block int, nodes binary, prints binary"
 
 
-def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    def flush(forms: dict[int, str]) -> pa.RecordBatch:
+def _scan(docs: DataFrame, buckets: int) -> DataFrame:
+    """In one reading of the texts: a row (node, doc_id, line) for each line with a word, and rows (bucket, block, packed nodes and prints) of the nodes that may be linked."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    names = ["node", "doc_id", "line", "bucket", "block", "nodes", "prints"]
+
+    def batch_of(seen: list[tuple], packs: list[tuple]) -> pa.RecordBatch:
+        empty = (pa.nulls(len(packs), k) if i < 3 else pa.nulls(len(seen), k) for i, k in enumerate(kinds))
+        full = [pa.array([r[i] for r in seen], kinds[i]) for i in range(3)] + [pa.array([r[i] for r in packs], kinds[i + 3]) for i in range(4)]
+        columns = [pa.concat_arrays([f, e] if i < 3 else [e, f]) for i, (f, e) in enumerate(zip(full, empty, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def packed(forms: dict[int, str]) -> list[tuple]:
         nodes = np.array(list(forms), np.int64)
         prints = simhashes(list(forms.values()))
         value = np.ascontiguousarray(prints).view(">u4").astype(np.uint64)  # a column for each block
@@ -97,23 +104,28 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
                 at = order[i:j]
                 rows.append((int(to[at[0]]), b, nodes[at].tobytes(), prints[at].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "nodes", "prints"])
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms: dict[int, str] = {}
         size = 0
         for batch in batches:
-            for _, _, f in _lines(batch):
-                if f.count(" ") >= LEAST_WORDS - 1 and (k := key(f)) not in forms:
+            seen = []
+            for d, n, f in _lines(batch):
+                k = key(f)
+                seen.append((k, d, n))
+                if k not in forms and f.count(" ") >= LEAST_WORDS - 1:
                     forms[k] = f
                     size += len(f) + 100
+            packs = []
             if size > FLUSH_BYTES:
-                yield flush(forms)
+                packs = packed(forms)
                 forms, size = {}, 0
+            yield batch_of(seen, packs)
         if forms:
-            yield flush(forms)
+            yield batch_of([], packed(forms))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, block int, nodes binary, prints binary")
+    return docs.select("doc_id", "text").mapInArrow(run, SCANNED)
 
 
 def _near(rows: pa.Table) -> pa.Table:
@@ -168,10 +180,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs with its text changed, and n_lines, n_removed (lines with a word)."""
     prepare(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = materialize(known.mapInArrow(_occurrences, "node long, doc_id long, line long"), "lines")
+    # Buckets by the texts' length: a line has some hundred characters; that only sets how much one task holds.
+    length = known.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    scanned = materialize(_scan(known, max(64, math.ceil((RADIUS + 1) * length / 200 / BUCKET))), "lines")
+    seen = scanned.where("node is not null").select("node", "doc_id", "line")
     nodes = materialize(seen.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "nodes")
-    buckets = max(64, math.ceil((RADIUS + 1) * nodes.count() / BUCKET))
-    near = _blocks(known, buckets).groupBy("bucket").applyInArrow(_near, "a long, b long").distinct()
+    near = scanned.where("bucket is not null").select("bucket", "block", "nodes", "prints").groupBy("bucket").applyInArrow(_near, "a long, b long").distinct()
     links = materialize(_links(known, nodes, materialize(near, "near")), "links")
     groups = connected_components(links)
     placed = nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
