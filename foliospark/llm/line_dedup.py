@@ -1,11 +1,16 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence for each connected group.
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks and shared pieces, edit similarity, one occurrence for each connected group.
 
 A line is a part of a text between newlines. Its normal form is its words (runs of word characters), decomposed without
 accents, lower-cased, runs of digits as 0, joined by single spaces. Lines of one normal form are one node. Two
-nodes of at least LEAST_WORDS words each are linked if their 128-bit SimHashes (each word votes once for each time it stands there) differ in at
-most RADIUS bits and the edit similarity of their normal forms, 1 - Levenshtein / longer length, is at least SIMILARITY.
-RADIUS + 1 blocks of 32 bits are indexed, so a pair within RADIUS shares one block at least. Of each group of connected
-nodes the occurrence with the smallest (doc_id, line) stays; all others are taken out of their texts.
+nodes are linked if the edit similarity of their normal forms, 1 - Levenshtein / longer length, is at least SIMILARITY.
+Of each group of connected nodes the occurrence with the smallest (doc_id, line) stays; all others are taken out of their texts.
+
+Pairs to verify share a block. Blocks are the four 32-bit parts of the 128-bit SimHash (each word votes once for each time it
+stands there; a pair within three bits shares one) and pieces of the form, as an edit of one word flips about ten bits:
+the first PIECES pairs of neighbouring words in one order for all lines (longest first, as these are rare, then by hash). Where the
+shorter line has up to SHORT characters, the longer one is cut into one segment more than edits can touch, and the shorter one is looked up
+under all its substrings that can be such a segment: no pair of these is lost. Before verification a pair is dropped if its lengths
+rule it out, or if both lines are longer than SHORT and their SimHashes differ in over FAR bits.
 
 Every line of every text takes part. A node's occurrences are only counted and joined, never gathered: a line that stands
 in a third of all documents is a hot key of a join, whose partition the adaptive planner can split. Blocks travel packed
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 from foliospark.llm._common import WordHashes, materialize, mix, prepare, table
 from foliospark.llm.components import connected_components
 
-LEAST_WORDS, RADIUS, SIMILARITY, BLOCK_BITS = 4, 3, 0.9, 32
+#: RADIUS: SimHashes of linked lines may differ in all bits.
+LEAST_WORDS, RADIUS, SIMILARITY, PRINT_BLOCKS = 1, 128, 0.9, 4
+PIECES, SHORT, FAR = 6, 40, 44
 DENSE, BUCKET, FLUSH_BYTES = 2048, 500_000, 12_000_000
 _WORDS = re.compile(r"\w+")
 _DIGITS = re.compile(r"\d+")
@@ -69,6 +76,65 @@ def simhashes(forms: list[str]) -> np.ndarray:
     return np.packbits(2 * ones > sizes[:, None], axis=1)
 
 
+def _first(pieces: np.ndarray, owner: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each owner (a line) the most[owner] smallest distinct pieces (of 40 bits), and their owners."""
+    both = np.sort((owner.astype(np.uint64) << np.uint64(40)) | pieces)
+    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+    owner = (both >> np.uint64(40)).astype(np.int64)
+    rank = np.arange(len(both)) - np.searchsorted(owner, owner)
+    take = rank < most[owner]
+    return both[take] & np.uint64((1 << 40) - 1), owner[take]
+
+
+def _run_hashes(h: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of `size` values of one owner, and where they start."""
+    n = max(len(h) - size + 1, 0)
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out = mix(out + h[i : n + i])
+    at = np.flatnonzero(owner[:n] == owner[size - 1 : n + size - 1])
+    return out[at], at
+
+
+def segments(form: str) -> set[int]:
+    """Pieces of 40 bits, one of which a form of up to SHORT characters shares with each longer (or as long) similar one."""
+    n, found = len(form), set()
+    for m in range(n, n * 10 // 9 + 1 if n <= SHORT else n + 1):
+        edits = m // 10
+        if not edits:
+            continue
+        cuts = [m * i // (edits + 1) for i in range(edits + 2)]
+        for i in range(edits + 1):
+            size = cuts[i + 1] - cuts[i]
+            # What stands left of the first equal segment differs in at most i edits, what is right of it in at most edits - i.
+            low = max(0, cuts[i] - i, cuts[i] + n - m - (edits - i))
+            high = min(n - size, cuts[i] + i, cuts[i] + n - m + (edits - i))
+            if m == n:
+                found.add(_piece(m, i, form[cuts[i] : cuts[i + 1]]))
+            if n <= SHORT:
+                found.update(_piece(m, i, form[k : k + size]) for k in range(low, high + 1))
+    return found
+
+
+def _piece(m: int, i: int, part: str) -> int:
+    return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), m << 8 | i) >> 24
+
+
+def pieces(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of 40 bits of normal forms (none empty), and the places of their forms."""
+    words = [f.split(" ") for f in forms]
+    sizes = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter((_memo[x.encode("utf-8", "surrogatepass")] for w in words for x in w), np.uint64, int(sizes.sum()))
+    long_ = np.fromiter((len(x) for w in words for x in w), np.int64, len(h))
+    owner = np.repeat(np.arange(len(forms)), sizes)
+    pair, at = _run_hashes(h, owner, 2)
+    rare = (255 - np.minimum(long_[at] + long_[at + 1], 255)).astype(np.uint64)
+    found, of = _first((rare << np.uint64(32)) | (pair >> np.uint64(32)), owner[at], np.full(len(forms), PIECES))
+    own = [(x, i) for i, f in enumerate(forms) if len(f) <= SHORT * 10 // 9 for x in segments(f)]
+    whole = np.array([len(f) > SHORT for f in forms], bool)[of] if len(of) else np.empty(0, bool)
+    return np.concatenate([found[whole], np.array([x for x, _ in own], np.uint64)]), np.concatenate([of[whole], np.array([i for _, i in own], np.int64)])
+
+
 def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
     """doc_id, line number (from 0) and normal form of the lines with a word."""
     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -78,32 +144,36 @@ def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
                     yield doc, n, form
 
 
-SCANNED = "node long, doc_id long, line long, bucket int, block int, nodes binary, prints binary"
+SCANNED = "node long, doc_id long, line long, bucket int, block int, nodes binary, prints binary, sizes binary"
 
 
 def _scan(docs: DataFrame, buckets: int) -> DataFrame:
     """In one reading of the texts: a row (node, doc_id, line) for each line with a word, and rows (bucket, block, packed nodes and prints) of the nodes that may be linked."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    names = ["node", "doc_id", "line", "bucket", "block", "nodes", "prints"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    names = ["node", "doc_id", "line", "bucket", "block", "nodes", "prints", "sizes"]
 
     def batch_of(seen: list[tuple], packs: list[tuple]) -> pa.RecordBatch:
         empty = (pa.nulls(len(packs), k) if i < 3 else pa.nulls(len(seen), k) for i, k in enumerate(kinds))
-        full = [pa.array([r[i] for r in seen], kinds[i]) for i in range(3)] + [pa.array([r[i] for r in packs], kinds[i + 3]) for i in range(4)]
+        full = [pa.array([r[i] for r in seen], kinds[i]) for i in range(3)] + [pa.array([r[i] for r in packs], kinds[i + 3]) for i in range(5)]
         columns = [pa.concat_arrays([f, e] if i < 3 else [e, f]) for i, (f, e) in enumerate(zip(full, empty, strict=True))]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def packed(forms: dict[int, str]) -> list[tuple]:
         nodes = np.array(list(forms), np.int64)
         prints = simhashes(list(forms.values()))
+        size = np.array([len(f) for f in forms.values()], np.int32)
         value = np.ascontiguousarray(prints).view(">u4").astype(np.uint64)  # a column for each block
+        places = np.arange(len(nodes))
+        blocks = [(b, value[:, b], places) for b in range(PRINT_BLOCKS)] + [(PRINT_BLOCKS, *pieces(list(forms.values())))]
         rows = []
-        for b in range(value.shape[1]):
-            to = ((mix(value[:, b] ^ np.uint64(b << 40)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        for b, v, place in blocks:
+            to = ((mix(v ^ np.uint64(b << 40)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1]))
-            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-                at = order[i:j]
-                rows.append((int(to[at[0]]), b, nodes[at].tobytes(), prints[at].tobytes()))
+            cuts = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])) if len(order) else np.empty(0, np.int64)
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):
+                at = place[order[i:j]]
+                held = v[order[i:j]] if b == PRINT_BLOCKS else np.empty(0, np.uint64)
+                rows.append((int(to[order[i]]), b, nodes[at].tobytes() + held.tobytes(), prints[at].tobytes(), size[at].tobytes()))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,29 +198,36 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCANNED)
 
 
+def may_link(p: np.ndarray, q: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lines of prints p, q and lengths z, y can be similar."""
+    return (10 * np.abs(z - y) <= np.maximum(z, y)) & ((np.minimum(z, y) <= SHORT) | (np.bitwise_count(p ^ q).sum(axis=-1) <= FAR))
+
+
 def _near(rows: pa.Table) -> pa.Table:
-    """Pairs a < b of nodes of one bucket whose prints share the block and differ in at most RADIUS bits."""
-    block = np.concatenate([np.full(len(x.as_py()) // 8, b.as_py(), np.int64) for x, b in zip(rows.column("nodes"), rows.column("block"), strict=True)])
-    node = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("nodes")])
-    prints = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for x in rows.column("prints")])
-    value = np.take_along_axis(np.ascontiguousarray(prints).view(">u4"), block[:, None], axis=1)[:, 0].astype(np.int64)
+    """Pairs a < b of nodes of one bucket that share a block and may be similar."""
+    parts = []
+    for b, x, p, n in zip(*(rows.column(c).to_pylist() for c in ("block", "nodes", "prints", "sizes")), strict=True):
+        ids, p, n = np.frombuffer(x, np.int64), np.frombuffer(p, np.uint64).reshape(-1, 2), np.frombuffer(n, np.int32)
+        value = ids[len(n) :] if b == PRINT_BLOCKS else np.ascontiguousarray(p).view(">u4")[:, b].astype(np.int64)
+        parts.append((np.full(len(n), b, np.int64), ids[: len(n)], p, n, value))
+    block, node, prints, sizes, value = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((node, value, block))
-    block, node, prints, value = block[order], node[order], prints[order], value[order]
+    block, node, prints, sizes, value = block[order], node[order], prints[order], sizes[order], value[order]
     first = np.append(True, (block[1:] != block[:-1]) | (value[1:] != value[:-1]))
     new = first | np.append(True, node[1:] != node[:-1])  # one node comes from several tasks
-    block, node, prints, value = block[new], node[new], prints[new], value[new]
+    block, node, prints, sizes, value = block[new], node[new], prints[new], sizes[new], value[new]
     start = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (value[1:] != value[:-1])))
     size = np.diff(np.append(start, len(node)))
     left, right = [], []
     for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        ids, p = node[s : s + n], prints[s : s + n]
+        ids, p, z = node[s : s + n], prints[s : s + n], sizes[s : s + n]
         if n > DENSE:
             p, head, of = np.unique(p, axis=0, return_index=True, return_inverse=True)
             left.append(ids[head[of.ravel()]])
             right.append(ids)
-            ids, n = ids[head], len(head)
+            ids, z, n = ids[head], z[head], len(head)
         for i in range(n - 1):
-            close = np.bitwise_count(p[i + 1 :] ^ p[i]).sum(axis=1) <= RADIUS
+            close = may_link(p[i + 1 :], p[i], z[i + 1 :], z[i])
             if close.any():
                 right.append(ids[i + 1 :][close])
                 left.append(np.full(len(right[-1]), ids[i]))
@@ -182,10 +259,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Buckets by the texts' length: a line has some hundred characters; that only sets how much one task holds.
     length = known.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
-    scanned = materialize(_scan(known, max(64, math.ceil((RADIUS + 1) * length / 200 / BUCKET))), "lines")
+    scanned = materialize(_scan(known, max(64, math.ceil((PRINT_BLOCKS + PIECES) * length / 200 / BUCKET))), "lines")
     seen = scanned.where("node is not null").select("node", "doc_id", "line")
     nodes = materialize(seen.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "nodes")
-    near = scanned.where("bucket is not null").select("bucket", "block", "nodes", "prints").groupBy("bucket").applyInArrow(_near, "a long, b long").distinct()
+    near = scanned.where("bucket is not null").select("bucket", "block", "nodes", "prints", "sizes").groupBy("bucket").applyInArrow(_near, "a long, b long").distinct()
     links = materialize(_links(known, nodes, materialize(near, "near")), "links")
     groups = connected_components(links)
     placed = nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))

@@ -79,3 +79,46 @@ def test_odd_rows(odd, none):
     by = {r.doc_id: r.text for r in rows}
     assert by[1] is None and by[2] == "" and by[None].startswith("text without") and by[4].startswith("word") and by[5] == "" and by[8] == "a b c d e f g h"
     assert L.dedup(none).count() == 0 and L.dedup(odd).columns[: len(odd.columns)] == odd.columns
+
+
+def edited(rng, form, whole):
+    """form with about a tenth of its characters changed: whole words, or single characters."""
+    words = form.split(" ")
+    left = len(form) // 10
+    for k in rng.permutation(len(words)):
+        if whole and len(words[k]) <= left:
+            left -= len(words[k])
+            words[k] = "".join(rng.choice(list("xyz"), len(words[k])))
+        elif not whole and left:
+            left -= 1
+            words[k] = "z" + words[k][1:]
+    return " ".join(words)
+
+
+def test_edited_lines_are_found(make):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 9))))
+    lines = [" ".join(word() for _ in range(int(n))) for n in rng.integers(1, 60, 120)]
+    lines = [x for x in lines if len(x) >= 10]
+    copies = [edited(rng, x, len(x) > L.SHORT) for x in lines]
+    same = [x == y for x, y in zip(lines, copies, strict=True)]
+    assert all(distance(x, y) * 10 <= len(x) for x, y in zip(lines, copies, strict=True))
+    rows = L.dedup(make([*enumerate(lines), *enumerate(copies, 1000)]).repartition(3)).collect()
+    removed = {r.doc_id for r in rows if r.n_removed}
+    assert sum(same) < 20 and removed == {1000 + i for i in range(len(lines))}
+
+
+def test_segments_lose_no_short_pair():
+    rng = np.random.default_rng(12)
+    seen = 0
+    for _ in range(1500):
+        form = "".join(rng.choice(list("abc"), int(rng.integers(8, L.SHORT + 1))))
+        other = list(form)
+        for _ in range(int(rng.integers(1, 5))):
+            k = int(rng.integers(len(other)))
+            other[k : k + int(rng.integers(0, 2))] = ["", "a", "b"][rng.integers(3)]
+        other = "".join(other)
+        if other != form and len(other) <= L.SHORT and distance(form, other) * 10 <= max(len(form), len(other)):
+            seen += 1
+            assert L.segments(form) & L.segments(other)
+    assert seen > 300
