@@ -14,7 +14,8 @@ rule it out, or if both lines are longer than SHORT and their SimHashes differ i
 
 Every line of every text takes part. A node's occurrences are only counted and joined, never gathered: a line that stands
 in a third of all documents is a hot key of a join, whose partition the adaptive planner can split. Blocks travel packed
-by hash bucket. Inside a block of over DENSE nodes, those with one SimHash are linked to their first only (and verified against it).
+by hash bucket. A block with over EDGES pairs a node gives a few pairs of each node at first (LEADERS); where these left its nodes in several
+groups, all its pairs between two groups are verified too, by slices of its nodes, so that the size of a block changes no result.
 
 Lines without a word are left alone and no occurrence of anything. Null texts stay null, empty ones empty. Rows that share a doc_id are
 one document; rows without one are left alone and take no part. Extra columns pass by in `dedup`.
@@ -39,7 +40,8 @@ from foliospark.llm.components import connected_components
 #: RADIUS: SimHashes of linked lines may differ in all bits.
 LEAST_WORDS, RADIUS, SIMILARITY, PRINT_BLOCKS = 1, 128, 0.9, 4
 PIECES, SHORT, FAR = 6, 40, 44
-DENSE, BUCKET, FLUSH_BYTES = 2048, 500_000, 12_000_000
+EDGES, LEADERS, SLICE = 8, 3, 4096
+BUCKET, FLUSH_BYTES = 500_000, 12_000_000
 _WORDS = re.compile(r"\w+")
 _DIGITS = re.compile(r"\d+")
 _MARKS = re.compile("[\u0300-\u036f]+")
@@ -203,8 +205,11 @@ def may_link(p: np.ndarray, q: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.n
     return (10 * np.abs(z - y) <= np.maximum(z, y)) & ((np.minimum(z, y) <= SHORT) | (np.bitwise_count(p ^ q).sum(axis=-1) <= FAR))
 
 
+NEAR = "a long, b long, dense long, print binary, size int"
+
+
 def _near(rows: pa.Table) -> pa.Table:
-    """Pairs a < b of nodes of one bucket that share a block and may be similar."""
+    """Pairs a < b of nodes of one bucket that share a block and may be similar, and rows (dense, b, print, size) of the nodes of blocks of which not all pairs are given."""
     parts = []
     for b, x, p, n in zip(*(rows.column(c).to_pylist() for c in ("block", "nodes", "prints", "sizes")), strict=True):
         ids, p, n = np.frombuffer(x, np.int64), np.frombuffer(p, np.uint64).reshape(-1, 2), np.frombuffer(n, np.int32)
@@ -218,26 +223,70 @@ def _near(rows: pa.Table) -> pa.Table:
     block, node, prints, sizes, value = block[new], node[new], prints[new], sizes[new], value[new]
     start = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (value[1:] != value[:-1])))
     size = np.diff(np.append(start, len(node)))
-    left, right = [], []
+    left, right, held, dense_of = [], [], [], []
     for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
         ids, p, z = node[s : s + n], prints[s : s + n], sizes[s : s + n]
-        if n > DENSE:
-            p, head, of = np.unique(p, axis=0, return_index=True, return_inverse=True)
-            left.append(ids[head[of.ravel()]])
-            right.append(ids)
-            ids, z, n = ids[head], z[head], len(head)
+        led = np.zeros(n, np.int64)
+        touched = np.zeros(n, bool)
+        count, dense = 0, False
         for i in range(n - 1):
-            close = may_link(p[i + 1 :], p[i], z[i + 1 :], z[i])
-            if close.any():
-                right.append(ids[i + 1 :][close])
-                left.append(np.full(len(right[-1]), ids[i]))
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-    return pa.table([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
-
-
-def _links(docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
-    """The pairs whose normal forms are similar; forms are read from each node's first occurrence."""
+            at = np.arange(i + 1, n)
+            if dense and led[i]:
+                at = at[led[i + 1 :] < LEADERS]
+            close = at[may_link(p[at], p[i], z[at], z[i])]
+            if dense:
+                close = close[(led[close] < LEADERS) | ((np.arange(len(close)) < LEADERS) & (led[i] == 0))]
+            if len(close):
+                right.append(ids[close])
+                left.append(np.full(len(close), ids[i]))
+                led[close] += 1
+                touched[i] = touched[close] = True
+                count += len(close)
+                dense = dense or count > EDGES * n
+            if dense and led[i + 1 :].min() >= LEADERS:
+                break
+        if dense:
+            held.append(s + np.flatnonzero(touched))
+            dense_of.append(np.full(len(held[-1]), (int(block[s]) << 41) | int(value[s])))
+    a, b, at, of = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (left, right, held, dense_of))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    n, m = len(pairs), len(at)
+    columns = [
+        pa.concat_arrays([pa.array(pairs[:, 0], pa.int64()), pa.nulls(m, pa.int64())]),
+        pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.array(node[at], pa.int64())]),
+        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(of, pa.int64())]),
+        pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([x.tobytes() for x in prints[at]], pa.binary())]),
+        pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(sizes[at], pa.int32())]),
+    ]
+    return pa.table(columns, names=["a", "b", "dense", "print", "size"])
+
+
+def _between(rows: pa.Table) -> pa.Table:
+    """Pairs a < b of nodes of one slice of a dense block that may be similar and are in two components."""
+    node, of, z = (rows.column(c).to_numpy() for c in ("node", "component", "size"))
+    p = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint64).reshape(-1, 2)
+    order = np.argsort(node)
+    node, of, z, p = node[order], of[order], z[order], p[order]
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(len(node) - 1):
+        close = (of[i + 1 :] != of[i]) & may_link(p[i + 1 :], p[i], z[i + 1 :], z[i])
+        if close.any():
+            right.append(node[i + 1 :][close])
+            left.append(np.full(len(right[-1]), node[i]))
+    return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], names=["a", "b"])
+
+
+def _left_apart(dense: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs of nodes of dense blocks (dense, node, print, size) that may be similar and are in two components."""
+    placed = dense.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = placed.groupBy("dense").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / SLICE).alias("slices")).where("low <> high")
+    rows = placed.join(apart.select("dense", "slices"), "dense").withColumn("own", F.expr("pmod(xxhash64(node), slices)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, slices - 1)"))).withColumns({"i": F.least("own", "other"), "k": F.greatest("own", "other")})
+    return rows.select("dense", "i", "k", "node", "component", "print", "size").groupBy("dense", "i", "k").applyInArrow(_between, "a long, b long").distinct()
+
+
+def _forms(docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """Normal forms of the nodes of pairs, read from each node's first occurrence."""
     asked = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct().join(nodes.select("node", "first.doc_id", "first.line"), "node")
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +296,16 @@ def _links(docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
 
     once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = asked.join(once, "doc_id").select("node", "text", F.col("line").cast("int").alias("line"))
-    found = materialize(found.mapInArrow(forms, "node long, form string").dropDuplicates(["node"]), "forms")
+    return materialize(found.mapInArrow(forms, "node long, form string").dropDuplicates(["node"]), "forms")
+
+
+def _links(near: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose normal forms are similar."""
     both = near.join(found.select(F.col("node").alias("a"), F.col("form").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("form").alias("y")), "b")
-    longer = "greatest(length(x), length(y))"
-    return both.where(F.expr(f"levenshtein(x, y, cast(floor({1 - SIMILARITY:.6f} * {longer}) as int)) >= 0")).select("a", "b")
+    most = f"cast(floor({1 - SIMILARITY:.6f} * greatest(length(x), length(y))) as int)"
+    # The time grows with the bound: most similar pairs are within a small one.
+    similar = " or ".join(f"levenshtein(x, y, {m}) >= 0" for m in (f"least(8, {most})", f"least(32, {most})", most))
+    return both.where(F.expr(similar)).select("a", "b")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -262,9 +317,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     scanned = materialize(_scan(known, max(64, math.ceil((PRINT_BLOCKS + PIECES) * length / 200 / BUCKET))), "lines")
     seen = scanned.where("node is not null").select("node", "doc_id", "line")
     nodes = materialize(seen.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "nodes")
-    near = scanned.where("bucket is not null").select("bucket", "block", "nodes", "prints", "sizes").groupBy("bucket").applyInArrow(_near, "a long, b long").distinct()
-    links = materialize(_links(known, nodes, materialize(near, "near")), "links")
+    rows = scanned.where("bucket is not null").select("bucket", "block", "nodes", "prints", "sizes").groupBy("bucket").applyInArrow(_near, NEAR)
+    rows = materialize(rows, "rows")
+    near = materialize(rows.where("dense is null").select("a", "b").distinct(), "near")
+    forms = _forms(known, nodes, near)
+    links = materialize(_links(near, forms), "links")
     groups = connected_components(links)
+    dense = rows.where("dense is not null").select("dense", F.col("b").alias("node"), "print", "size")
+    apart = materialize(_left_apart(dense, groups).join(near, ["a", "b"], "left_anti"), "apart")
+    if not apart.isEmpty():
+        groups = connected_components(links.unionAll(_links(apart, forms)))
     placed = nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
     placed = materialize(placed, "placed")
     kept = placed.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("component", "keep")

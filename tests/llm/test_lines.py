@@ -122,3 +122,16 @@ def test_segments_lose_no_short_pair():
             seen += 1
             assert L.segments(form) & L.segments(other)
     assert seen > 300
+
+
+def test_members_of_a_hot_group_unlike_its_first_are_found(make):
+    """Lines of one SimHash and the same first pieces: a template and the same short words in another order."""
+    rng = np.random.default_rng(13)
+    template = " ".join("".join(rng.choice(list("abcdefgh"), 9)) for _ in range(7))
+    words = [c * 3 for c in "klmnopqrstuv"]
+    orders = [rng.permutation(12) for _ in range(2200)]
+    texts = {i: f"{template} {' '.join(words[k] for k in o)}" for i, o in enumerate(orders)}
+    copies = {10_000 + i: f"{template} {' '.join(words[k] for k in [o[1], o[0], *o[2:]])}" for i, o in enumerate(orders[-40:])}
+    rows = L.dedup(make([*texts.items(), *copies.items()]).repartition(3)).collect()
+    removed = {r.doc_id for r in rows if r.n_removed}
+    assert set(copies) <= removed and len(removed) < 200
