@@ -55,3 +55,12 @@ def test_licenses(make, odd, none):
     got = sorted((r.doc_id, r.scope, r.line_no, r.license) for r in license_scan.scan(make(rows)).collect())
     assert [(g[0], g[1], g[3]) for g in got] == [(1, "line", "CC-BY-NC-4.0"), (2, "document", "MIT"), (2, "line", "MIT"), (4, "document", "Apache-2.0"), (4, "line", "Apache-2.0")]
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(none).count() == 0
+
+
+def test_whole_licence_texts_and_all_lead_ins(make):
+    texts = {a: body for a, _, body in license_scan.TEXTS}
+    rows = [(i, "Copyright (c) 2020 Someone\n\n" + texts[a].replace(", ", ",\n")) for i, a in enumerate(sorted(texts))]
+    rows += [(100, "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + texts["MIT"]), (101, "a\nReleased under CC BY-NC 4.0.\nb"), (102, "This work is licensed under CC BY 4.0.")]
+    got = {(r.doc_id, r.scope, r.license) for r in license_scan.scan(make(rows)).collect()}
+    assert {(i, "document", a) for i, a in enumerate(sorted(texts))} <= got
+    assert {(100, "document", "MIT"), (101, "line", "CC-BY-NC-4.0"), (102, "document", "CC-BY-4.0")} <= got
