@@ -45,8 +45,8 @@ def unique_names(docs: DataFrame, name: str, order: str, spaced: bool = True) ->
     tagged = docs.withColumn("__key", fold(given)).withColumn("__stem", fold(_stem(given)))
     k = F.row_number().over(Window.partitionBy("__key").orderBy(order))
     tagged = tagged.withColumn("__k", k)
-    number = F.regexp_extract("__stem", rf"{gap}([0-9]{{1,3}})$", 1)
-    taken = tagged.where((F.col("__k") == 1) & (number != "") & F.col("__key").endswith(".md")).select(F.regexp_replace("__stem", rf"{gap}[0-9]{{1,3}}$", "").alias("__stem"), number.cast("int").alias("n"))
+    number = F.regexp_extract("__stem", rf"{gap}([0-9]+)$", 1)
+    taken = tagged.where((F.col("__k") == 1) & (number != "") & F.col("__key").endswith(".md")).select(F.regexp_replace("__stem", rf"{gap}[0-9]+$", "").alias("__stem"), number.try_cast("bigint").alias("n"))
     taken = taken.groupBy("__stem").agg(F.collect_set("n").alias("__taken"))
     out = tagged.join(taken, "__stem", "left")
     want = F.col("__k") - 1

@@ -108,3 +108,9 @@ def test_delimited_round_trip(rows):
     out = io.StringIO()
     csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\n").writerows(rows)
     assert parse_delimited(out.getvalue(), ",") == rows
+
+
+def test_long_numbers_count_as_taken(spark):
+    rows = [(0, "page-1500.md"), (1, "page-99999999999999999999.md"), *((i, "page.md") for i in range(2, 1602))]
+    got = [r.unique_name for r in library.unique_names(spark.createDataFrame(rows, "id int, name string"), "name", "id", spaced=False).collect()]
+    assert len(set(got)) == len(got) and "page-1499.md" in got and "page-1501.md" in got
