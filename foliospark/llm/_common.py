@@ -57,11 +57,11 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,26 +2,30 @@
 
 A text's words are runs of bytes other than space and tab to carriage return, A-Z lower-cased; its set is that of its distinct
 shingles of five words (all words as one shingle if there are fewer), as 64-bit hashes. Texts with equal sets are one node, named by the smallest
-doc_id. Two nodes link if 100 * intersection >= 80 * union.
+doc_id. Two nodes link if 100 * intersection >= 80 * union. Texts are cut into words once; all that follows reads the packed sets.
 
 Index. Sizes fall into bands. For a band with largest size U two linked sets differ in at most H = 2U/9 shingles. The
 universe of shingles is cut by a hash into m segments. Either a segment's content is one signature (then m - H
 segments of a linked pair are the same) or it is that content and each content with one shingle left out (then m - H/2
 segments are within one shingle, and share a signature). `allocation` picks the kind and m of a band by expected cost. A set is indexed under its own band and under the next one if a partner can
 be there. Empty (or, with deletions, single-shingle) segments say nothing and aren't indexed; a set with so many of them that the pigeonhole no
-longer holds is *uncovered*.
-
-Candidates. Signatures travel packed by hash bucket. A group of up to SMALL nodes gives all its pairs, a larger one the pairs
-with its smallest node: no all-pairs list of a hot group is ever made. Tasks first do the same among their own rows and
-send on the smallest node only. A pair is dropped where sizes or a sketch of 256 counts prove that it can't link; the others are
-verified exactly on the whole sets, first each node with its smallest candidate, then those pairs that this left apart.
-
-The rest, exactly. The pairs of a hot group join all its nodes, so it needs more work only where one of them ended in two
-components. The nodes of such groups and the uncovered ones go through a prefix filter: a linked pair shares one of
-the rarest fifth of its shingles, in an order by counters over just these nodes. Pairs of one component are left out; the others are verified.
-
-Nulls, empty texts and texts of separators have an empty set and link with nothing; their component is their own doc_id. doc_id
-names a document: rows that share one are one document. A row without a doc_id has a null component. Extra columns aren't read by the join and pass by in `one_of_each`.
+longer holds is *uncovered* and cut again by another hash, up to CUTS times. A linked pair shares a signature of some cut unless both sets stay uncovered to the last.
+
+Candidates. Signatures travel packed by hash bucket. A task sends of a signature that it has met on over SMALL nodes the smallest node only, and
+the memberships aside, so that no bucket gathers a hot signature. What comes back is each node's smallest candidate and
+the memberships (signature, node) of signatures that several nodes have: linear in the signatures, no pairs.
+1. Each node is verified against its smallest candidate, and the links are contracted to components.
+2. Signatures whose nodes are of one component are done. Of the others, those of up to SMALL nodes give their pairs of different components.
+3. A larger one is *hot*. Its nodes are written as differences D(x) from a pivot q (the component of the signature's smallest node): two sets
+differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles whatever q is, so linked nodes of which one isn't linked to q must share much of their
+differences. A prefix filter over the differences, by bands of |D| of the larger one and with shingles that q lacks first, finds every such pair. Near copies of one text
+differ from it each in its own way, and texts that share a passage each have a rest of their own, so that neither yields pairs that don't link.
+4. Sets uncovered to the last meet by a prefix filter of their own.
+All candidates pass sizes and a sketch of 256 counts (which only drop pairs that can't link) and are then verified exactly on the whole sets.
+
+Nulls, empty texts and texts of separators have an empty set and link with nothing; their component is their own doc_id. doc_id is of an integer type and
+names a document: rows that share one are one node of the graph. A row without a doc_id has a null component. Repeated rows are copies like others; very long texts have long
+sets and no other treatment; ties don't arise, as the smallest doc_id names a group. Extra columns aren't read by the join and pass by in `one_of_each`.
 """
 
 from __future__ import annotations
@@ -40,13 +44,13 @@ from foliospark.llm.components import connected_components
 
 SIZE, NUM, DEN = 5, 80, 100
 GROWTH = 1.5
-#: What a shingle of an uncovered set costs, in signatures: its prefix goes row by row, and its text is read again.
-UNCOVERED = 4
+#: What a shingle of an uncovered set costs, in signatures: it is cut once more.
+UNCOVERED = 2
 SMALL = 8
+#: Cuts of the universe that an uncovered set goes through.
+CUTS = 4
 #: Signatures of a bucket, about; signatures that a task gathers before it sends them on.
-BUCKET, FLUSH = 1_500_000, 1_500_000
-#: Counters that order the shingles of the prefix filter.
-COUNTERS, COUNTER_PART = 1 << 20, 1 << 14
+BUCKET, FLUSH = 1_000_000, 1_000_000
 _U = np.uint64
 
 
@@ -102,8 +106,8 @@ def allocation(band: int) -> tuple[int, int, int]:
     return best[1:]
 
 
-def signatures(shingles: np.ndarray) -> tuple[np.ndarray, bool]:
-    """All signatures of a set, and whether it is covered in each band that it stands in."""
+def signatures(shingles: np.ndarray, cut: int = 0) -> tuple[np.ndarray, bool]:
+    """The signatures of a set by one cut of the universe, and whether it is covered in each band that it stands in."""
     n = len(shingles)
     first = bands()
     own = int(np.searchsorted(first, n, side="right")) - 1
@@ -113,7 +117,7 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, bool]:
             if band > own and DEN * n < NUM * first[band]:
                 break
             m, kind, spare = allocation(band)
-            salt = _U((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            salt = _U(((band + 1) * 0x9E3779B97F4A7C15 + cut * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)
             h = mix(shingles ^ salt)
             segment = ((h >> _U(32)) * _U(m)) >> _U(32)
             order = np.argsort(segment, kind="stable")
@@ -135,14 +139,18 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, bool]:
     return np.concatenate(out), covered
 
 
-# ------------------------------------------------------------------ plan parts
-
+def all_signatures(shingles: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Signatures of as many cuts as it takes until the set is covered, and whether it is at last."""
+    out = []
+    for cut in range(CUTS):
+        found, covered = signatures(shingles, cut)
+        out.append(found)
+        if covered:
+            break
+    return np.unique(np.concatenate(out)), covered
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield i, shingle_set(t.as_py())
 
+# ------------------------------------------------------------------ plan parts
 
 #: Cells of a set's sketch: how many of its shingles fall into each.
 CELLS = 256
@@ -160,17 +168,35 @@ def may_link(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
     return sized & (full | (DEN * most >= NUM * (na + nb - most)))
 
 
+#: Bytes of a shingle in a packed set; two sets of a thousand have a chance of 4e-9 to share one by accident.
+SET_BYTES = 6
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).tobytes()  # the high bytes: still in order
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // SET_BYTES, 8), np.uint8)
+    out[:, 8 - SET_BYTES :] = np.frombuffer(x, np.uint8).reshape(-1, SET_BYTES)
+    return out.view(np.uint64).ravel()
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), print (128 bits of the set), sketch."""
+    """doc_id, n (set size), print (128 bits of the set), sketch, set (its sorted hashes)."""
     import xxhash
 
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"doc_id must be of an integer type, not {kind}")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py()) for t in batch.column(1)]
-            columns = ([len(s) for s in found], pa.int64()), ([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), ([sketch(s) for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, k) for x, k in columns)], names=["doc_id", "n", "print", "sketch"])
+            columns = ([len(s) for s in found], pa.int64()), ([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), ([sketch(s) for s in found], pa.binary()), ([_pack(s) for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, k) for x, k in columns)], names=["doc_id", "n", "print", "sketch", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, sketch binary, set binary")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -182,141 +208,119 @@ def _from_planes(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _stars(sig: np.ndarray, node: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each run its first node with each other one, and the run's signature."""
-    name = (sig & _U((1 << 8 * SIG_BYTES) - 1)).astype(np.int64)
-    out = [np.stack([np.full(n - 1, node[s]), node[s + 1 : s + n], np.full(n - 1, name[s])], axis=1) for s, n in zip(start.tolist(), size.tolist(), strict=True)]
-    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
-
-
-PAIRS, BARE, SIGNATURES = 0, 1, 2
+PACK, MEMBER, FIRST, BARE = 0, 1, 2, 3
 #: Bytes of a signature inside its bucket: a bucket's size is bounded, so that few differ only beyond them (and pairs are verified).
 SIG_BYTES = 5
-#: Sets of which a task remembers that it has seen them.
-SEEN = 400_000
-
-
-def packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, kind and packed arrays: signatures with their nodes (and whether one stands for more), pairs of hot groups, or uncovered nodes."""
-
-    def flush(sigs: list, nodes: list) -> Iterator[tuple]:
+_LOW = _U((1 << 8 * SIG_BYTES) - 1)
+_FOUND = "kind int, node long, other long"
+
+
+def _runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Order by signature and node, starts and sizes of the runs of one signature."""
+    order = np.lexsort((node, sig))
+    sig = sig[order]
+    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    return order, start, np.diff(np.append(start, len(sig)))
+
+
+def _shared(name: np.ndarray, node: np.ndarray, start: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """kind, node, other of the runs `of`: all memberships, and for each node its smallest companion."""
+    inside = np.repeat(of, size)
+    low = np.repeat(node[start], size)[inside]
+    members, names = node[inside], name[inside]
+    order = np.lexsort((low, members))
+    b, a = members[order], low[order]
+    once = np.append(True, b[1:] != b[:-1]) if len(b) else np.empty(0, bool)
+    b, a = b[once], a[once]
+    b, a = b[a < b], a[a < b]
+    return np.concatenate([np.full(len(members), MEMBER), np.full(len(b), FIRST)]), np.concatenate([members, b]), np.concatenate([names, a])
+
+
+def packed(sets: DataFrame, buckets: int) -> DataFrame:
+    """From node and set: packs of signatures by bucket; memberships and smallest companions of signatures that are hot in a task; uncovered nodes (these two in any bucket)."""
+    schema = "kind int, node long, other long, bucket int, sigs binary, nodes binary, stars binary"
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    names = ["kind", "node", "other", "bucket", "sigs", "nodes", "stars"]
+
+    def rows_of(kind: np.ndarray, node: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(kind), 100_000):
+            part = [pa.array(x[a : a + 100_000].astype(t)) for x, t in ((kind, np.int32), (node, np.int64), (other, np.int64))]
+            place = pa.array((part[1].to_numpy() % buckets).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*part, place, *(pa.nulls(len(part[0]), k) for k in kinds[4:])], names=names)
+
+    def flush(sigs: list, nodes: list) -> Iterator[pa.RecordBatch]:
         sig, node = np.concatenate(sigs), np.concatenate(nodes)
-        order = np.lexsort((node, sig))
+        order, start, size = _runs(sig, node)
         sig, node = sig[order], node[order]
-        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        size = np.diff(np.append(start, len(sig)))
+        bucket = ((sig >> _U(32)) * _U(buckets)) >> _U(32)  # sorted, since sig is
         big = size > SMALL
         star = np.zeros(len(sig), np.uint8)
         if big.any():
-            pairs = _stars(sig, node, start[big], size[big])
-            for a in range(0, len(pairs), 50_000):
-                yield int(pairs[a, 1] % buckets), PAIRS, None, _planes(pairs[a : a + 50_000].ravel()), None
+            name = (bucket << _U(8 * SIG_BYTES) | (sig & _LOW)).astype(np.int64)
+            yield from rows_of(*_shared(name, node, start, size, big))
             star[start[big]] = 1
             keep = np.repeat(~big, size)
             keep[start] = True
-            sig, node, star = sig[keep], node[keep], star[keep]
-        bucket = ((sig >> _U(32)) * _U(buckets)) >> _U(32)  # sorted, since sig is
+            sig, node, star, bucket = sig[keep], node[keep], star[keep], bucket[keep]
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         low = np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES])
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sig)], strict=True):
-            yield int(bucket[a]), SIGNATURES, low[a:b].tobytes(), _planes(node[a:b]), star[a:b].tobytes()
-
-    def batch_of(rows) -> pa.RecordBatch:
-        rows = list(rows)
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "kind", "sigs", "nodes", "stars"])
+        ends = [*cuts[1:].tolist(), len(sig)]
+        made = [(PACK, None, None, int(bucket[a]), low[a:b].tobytes(), _planes(node[a:b]), star[a:b].tobytes()) for a, b in zip(cuts.tolist(), ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        sigs, nodes, held, bare, seen = [], [], 0, [], set()
-        for node, shingles in _rows(batches):
-            if not len(shingles) or node is None:
-                continue
-            print_ = xxhash.xxh3_64_intdigest(shingles.tobytes())
-            if print_ in seen:  # a copy of an earlier row of this task
-                continue
-            if len(seen) < SEEN:
-                seen.add(print_)
-            s, covered = signatures(shingles)
-            if not covered:
-                bare.append(node)
-            s = np.unique(s)
-            sigs.append(s)
-            nodes.append(np.full(len(s), node, np.int64))
-            held += len(s)
-            if held >= FLUSH:
-                yield batch_of(flush(sigs, nodes))
-                sigs, nodes, held = [], [], 0
+        sigs, nodes, held, bare = [], [], 0, []
+        for batch in batches:
+            for node, packed_set in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s, covered = all_signatures(_unpack(packed_set.as_py()))
+                if not covered:
+                    bare.append(node)
+                sigs.append(s)
+                nodes.append(np.full(len(s), node, np.int64))
+                held += len(s)
+                if held >= FLUSH:
+                    yield from flush(sigs, nodes)
+                    sigs, nodes, held = [], [], 0
         if held:
-            yield batch_of(flush(sigs, nodes))
-        for a in range(0, len(bare), 50_000):
-            yield batch_of([(bare[a] % buckets, BARE, None, _planes(np.array(bare[a : a + 50_000], np.int64)), None)])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, kind int, sigs binary, nodes binary, stars binary")
-
-
-def _bucket_pairs(rows: pa.Table) -> pa.Table:
-    """a < b, hot: the candidate pairs of one bucket, once each; pairs with a value of hot join all nodes that have that signature. b is null for an uncovered node."""
-    sigs, nodes, stars, pairs, bare = [], [], [], [np.empty((0, 3), np.int64)], [np.empty(0, np.int64)]
-    for kind, sig, node, star in zip(*(rows.column(c).to_pylist() for c in ("kind", "sigs", "nodes", "stars")), strict=True):
-        if kind == PAIRS:
-            pairs.append(_from_planes(node).reshape(-1, 3))
-        elif kind == BARE:
-            bare.append(_from_planes(node))
-        else:
-            wide = np.zeros((len(star), 8), np.uint8)
-            wide[:, :SIG_BYTES] = np.frombuffer(sig, np.uint8).reshape(-1, SIG_BYTES)
-            sigs.append(wide.view(np.uint64).ravel())
-            nodes.append(_from_planes(node))
-            stars.append(np.frombuffer(star, np.uint8))
-    cold = [np.empty((0, 2), np.int64)]
-    if sigs:
-        sig, node, star = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(stars)
-        order = np.lexsort((node, sig))
-        sig, node, star = sig[order], node[order], star[order]
-        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        size = np.diff(np.append(start, len(sig)))
-        starred = np.maximum.reduceat(star, start) > 0
-        for n in range(2, SMALL + 1):
-            at, flag = start[size == n], starred[size == n]
-            for i in range(n if len(at) else 0):
-                for j in range(i + 1, n):
-                    cold.append(np.stack([node[at + i], node[at + j]], axis=1))
-            pairs.append(_stars(sig, node, at[flag], np.full(flag.sum(), n)))
-        pairs.append(_stars(sig, node, start[size > SMALL], size[size > SMALL]))
-    cold, hot, alone = np.unique(np.concatenate(cold), axis=0), np.unique(np.concatenate(pairs), axis=0), np.concatenate(bare)
-    cold, hot = cold[cold[:, 0] != cold[:, 1]], hot[hot[:, 0] != hot[:, 1]]
-    a = np.concatenate([cold[:, 0], hot[:, 0], alone])
-    b = np.concatenate([cold[:, 1], hot[:, 1], alone])
-    group = np.concatenate([np.zeros(len(cold), np.int64), hot[:, 2], np.zeros(len(alone), np.int64)])
-    place = np.arange(len(a))
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=place >= len(cold) + len(hot)), pa.array(group, pa.int64(), mask=(place < len(cold)) | (place >= len(cold) + len(hot)))], names=["a", "b", "hot"])
-
-
-#: Rows (16 bytes each) up to which the documents that are asked for are broadcast to pick their texts out of all; beyond, a shuffle join picks them.
+            yield from flush(sigs, nodes)
+        yield from rows_of(np.full(len(bare), BARE), np.array(bare, np.int64), np.zeros(len(bare), np.int64))
+
+    return sets.select("node", "set").mapInArrow(run, schema)
+
+
+def _met_in_bucket(rows: pa.Table) -> pa.Table:
+    """kind, node, other: what the signatures of one bucket have in common."""
+    import pyarrow.compute as pc
+
+    names = ["kind", "node", "other"]
+    is_pack = pc.equal(rows.column("kind"), PACK)
+    passed, rows = rows.filter(pc.invert(is_pack)).select(names), rows.filter(is_pack)
+    if not rows.num_rows:
+        return passed
+    sigs, nodes = [], []
+    for sig, node in zip(rows.column("sigs").to_pylist(), rows.column("nodes").to_pylist(), strict=True):
+        wide = np.zeros((len(sig) // SIG_BYTES, 8), np.uint8)
+        wide[:, :SIG_BYTES] = np.frombuffer(sig, np.uint8).reshape(-1, SIG_BYTES)
+        sigs.append(wide.view(np.uint64).ravel())
+        nodes.append(_from_planes(node))
+    sig, node = np.concatenate(sigs), np.concatenate(nodes)
+    order, start, size = _runs(sig, node)
+    sig, node = sig[order], node[order]
+    bucket = rows.column("bucket")[0].as_py()
+    name = (_U(bucket << 8 * SIG_BYTES) | sig).astype(np.int64)
+    kind, node, other = _shared(name, node, start, size, size > 1)
+    return pa.concat_tables([passed, pa.table([pa.array(kind.astype(np.int32)), pa.array(node), pa.array(other)], names=names)])
+
+
+#: Rows (16 bytes each) up to which the nodes that are asked for are broadcast to pick their sets out of all; beyond, a shuffle join picks them.
 BROADCAST_NODES = 1_000_000
 
 
-def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text and what nodes has besides, for the documents in nodes."""
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set and what nodes has besides, for the documents in nodes (node: a doc_id that stands for its set)."""
     if nodes.count() <= BROADCAST_NODES:
         nodes = F.broadcast(nodes)
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
-
-
-#: Bytes of a shingle that travel to be verified; two sets of a thousand have a chance of 1e-8 to share one by accident.
-SET_BYTES = 6
-
-
-def _pack_set(shingles: np.ndarray) -> bytes:
-    return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).tobytes()  # the high bytes: still in order
-
-
-def _unpack_set(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // SET_BYTES, 8), np.uint8)
-    out[:, 8 - SET_BYTES :] = np.frombuffer(x, np.uint8).reshape(-1, SET_BYTES)
-    return out.view(np.uint64).ravel()
+    return sets.where("n > 0").select(F.col("doc_id").alias("node"), "set").join(nodes, "node")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -333,18 +337,15 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets link. A set is made where its text is read; b's goes to a, which may be a hub: a join whose hot partition can be split."""
+def _facing(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, set_a and the columns of pairs with the set of b: b's set goes to a, which may be a hub, by a join whose hot partition can be split."""
+    far = _only(sets, pairs.withColumnRenamed("b", "node")).withColumnRenamed("node", "b")
+    hubs = _only(sets, pairs.select(F.col("a").alias("node")).distinct()).select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+    return hubs.join(far, "a")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, b""
-        for batch in batches:
-            sets = []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if node != last:  # a text's pairs follow one another
-                    last, held = node, _pack_set(shingle_set(text.as_py()))
-                sets.append(held)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], names=["node", "a", "set"])
+
+def _verified(sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -352,15 +353,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
             ok = []
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if a != last:
-                    last, held = a, _unpack_set(x.as_py())
-                ok.append(linked(held, _unpack_set(y.as_py())))
+                    last, held = a, _unpack(x.as_py())
+                ok.append(linked(held, _unpack(y.as_py())))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     pairs = materialize(pairs.select("a", "b"), f"{name}-pairs")
-    far = _only(docs, pairs.select(F.col("b").alias("node"), "a")).select("node", "text", "a").mapInArrow(pack, "node long, a long, set binary")
-    hubs = _only(docs, pairs.select(F.col("a").alias("node")).distinct().withColumn("a", F.col("node"))).select("node", "text", "a").mapInArrow(pack, "node long, a long, set binary")
-    both = hubs.select("a", F.col("set").alias("set_a")).join(far.select("a", F.col("node").alias("b"), F.col("set").alias("set_b")), "a")
-    return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct(), f"{name}-links")
+    return materialize(_facing(sets, pairs).select("a", "b", "set_a", "set").mapInArrow(check, "a long, b long").distinct(), f"{name}-links")
 
 
 def _with_component(rows: DataFrame, components: DataFrame, node: str, as_: str) -> DataFrame:
@@ -368,94 +366,149 @@ def _with_component(rows: DataFrame, components: DataFrame, node: str, as_: str)
     return rows.join(c, node, "left").withColumn(as_, F.coalesce(as_, node))
 
 
-def _prefix_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs a < b of different components that share a shingle of both prefixes; nodes: node, component."""
-    spark = docs.sparkSession
-    texts = _only(docs, nodes).select("node", "text", "component")
+def _met_by_key(rows: DataFrame, name: str, more: str = "true") -> DataFrame:
+    """Pairs a < b of different components, one row of role 0 and one of role 1 under the same key; rows: key, role, node, n, d, component."""
+    rows = materialize(rows, name)
+    shared = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("role").alias("r0"), F.max("role").alias("r1"))
+    rows = materialize(rows.join(shared.where("low <> high and r0 < r1").select("key"), "key", "left_semi"), name)
+    x = rows.where("role = 0").select("key", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "d", "component")))
+    y = rows.where("role = 1").select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "d", "component")))
+    fit = f"component1 <> component2 and {DEN} * least(n1, n2) >= {NUM} * greatest(n1, n2) and {more}"
+    return x.join(y, "key").where(fit).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(COUNTERS, np.int32)
-        for _, s in _rows(batches):
-            at, n = np.unique((s % _U(COUNTERS)).astype(np.int64), return_counts=True)
-            held[at] += n.astype(np.int32)
-        parts = [x for x in enumerate(held.reshape(-1, COUNTER_PART)) if x[1].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["part", "held"])
 
-    def total(rows: pa.Table) -> pa.Table:
-        held = np.zeros(COUNTER_PART, np.int64)
-        for x in rows.column("held"):
-            held += np.frombuffer(x.as_py(), np.int32)
-        return pa.table([rows.column("part").slice(0, 1), pa.array([np.minimum(held, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["part", "held"])
+@lru_cache
+def difference_bands(upto: int = 1 << 40) -> np.ndarray:
+    """First sizes of the bands of differences."""
+    out = [1]
+    while out[-1] <= upto:
+        out.append(max(out[-1] + 1, int(out[-1] * 1.3)))
+    return np.array(out, np.int64)
+
 
-    counters = np.zeros(COUNTERS, np.int32)
-    for part, held in texts.select("node", "text").mapInArrow(count, "part int, held binary").groupBy("part").applyInArrow(total, "part int, held binary").collect():  # 4 MB
-        counters[part * COUNTER_PART : (part + 1) * COUNTER_PART] = np.frombuffer(held, np.int32)
-    sent = spark.sparkContext.broadcast(counters)
+def difference_prefixes(x: np.ndarray, q: np.ndarray) -> tuple[int, list[tuple[int, int, np.ndarray]]]:
+    """|D| of a sorted set x against its pivot q, and (band, role, shingles): what x shares with a linked partner that differs from q by no less (role 0) or no more (role 1).
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Linked sets of sizes n and m differ in at most (n + m) / 9 shingles, so in n / 4. With D >= E the sizes of both differences,
+    they share at least (D + E - n / 4) / 2 elements of their differences, and at least D - n / 4. If one of the two isn't linked to q, that number is positive.
+    """
+    n, m = len(x), len(q)
+    added, removed = np.setdiff1d(x, q, assume_unique=True), np.setdiff1d(q, x, assume_unique=True)
+    diff = np.concatenate([added, removed])  # one order for all sets with this pivot: what it lacks comes first, as it is rarer
+    d, most, first = len(diff), n // 4, difference_bands()
+    if not d:
+        return 0, []
+    out, near = [], (DEN + NUM) * d <= (DEN - NUM) * (n + m)
+    least_far = (NUM * n + DEN * m) * (DEN - NUM) // (DEN * (DEN + NUM))  # a partner of up to so many differences is linked to q itself
+    own = int(np.searchsorted(first, d, side="right")) - 1
+    if d > least_far:  # else a partner that differs less is linked to q too
+        out.append((own, 1, diff[: most + 1]))
+    band = own
+    while first[band] <= d + most:
+        if not near or first[band + 1] - 1 > least_far:
+            low = max(int(first[band]), d)
+            out.append((band, 0, diff[: (d - low + most) // 2 + 1]))
+        band += 1
+    return d, out
+
+
+def _differences(sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """key, role, node, n, d, component: the prefixes of all nodes against their pivots, and (key null) nodes that link to their pivot's node d. asked: a (pivot), b (node), component."""
+    names = ["key", "role", "node", "n", "d", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, q = None, None
         for batch in batches:
-            rows = []
-            for node, text, component in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingle_set(text)
-                rare = s[np.lexsort((s, sent.value[(s % _U(COUNTERS)).astype(np.int64)]))]
-                for h in rare[: len(s) - -(-NUM * len(s) // DEN) + 1].astype(np.int64).tolist():
-                    rows.append((h, node, len(s), component))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(),) * 4)], names=["h", "node", "n", "component"])
-
-    p = materialize(texts.mapInArrow(prefixes, "h long, node long, n long, component long"), "prefixes")
-    shared = p.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    p = materialize(p.join(shared, "h", "left_semi"), "prefixes")
-    q = p.select("h", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component")))
-    near = (F.col("n") * NUM <= F.col("n2") * DEN) & (F.col("n2") * NUM <= F.col("n") * DEN)
-    return p.join(q, "h").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & near).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+            out = [[np.empty(0, np.int64)] for _ in names]
+            for a, b, component, x, y in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), batch.column(4), strict=True):
+                if a != last:
+                    last, q = a, _unpack(x.as_py())
+                s = _unpack(y.as_py())
+                d, prefixes = difference_prefixes(s, q)
+                for band, role, shingles in prefixes:
+                    key = mix(shingles ^ mix(np.array([a * 1024 + band], np.int64).astype(_U)))
+                    for held, value in zip(out, (key.view(np.int64), role, b, len(s), d, component), strict=True):
+                        held.append(value if isinstance(value, np.ndarray) else np.full(len(key), value, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+
+    return _facing(sets, asked).select("a", "b", "component", "set_a", "set").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _prefixes(sets: DataFrame, bare: DataFrame) -> DataFrame:
+    """key, role, node, n, d, component as for differences: of each node of bare the smallest hashes of its set; a linked pair has one of them in common."""
+    names = ["key", "role", "node", "n", "d", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, component, x in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
+                s = _unpack(x.as_py())
+                key = np.tile(s[: len(s) - -(-NUM * len(s) // DEN) + 1].view(np.int64), 2)
+                columns = [key, np.repeat([0, 1], len(key) // 2), *(np.full(len(key), v, np.int64) for v in (node, len(s), 0, component))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return _only(sets, bare).select("node", "component", "set").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def join_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row of docs."""
     prepare(docs.sparkSession)
-    sets = materialize(sets_of(docs), "sets")
+    sets = materialize(sets_of(docs), "sets", "none")
     reps = materialize(sets.where("n > 0 and doc_id is not null").groupBy("print", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
+    picked = reps.select(F.col("rep").alias("doc_id"), "print")
+    own = sets.select("doc_id", "print", "set").join(F.broadcast(picked) if picked.count() <= BROADCAST_NODES else picked, ["doc_id", "print"], "left_semi")
+    # A doc_id with rows of several sets is one node; where another document stands for one of them, the two are linked.
+    several = sets.join(reps.select("print", F.col("n").alias("m"), "rep"), "print").where("doc_id <> rep").select("doc_id", "rep").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(64, math.ceil(0.7 * total / BUCKET))
-    found = packed(docs, buckets).groupBy("bucket").applyInArrow(_bucket_pairs, "a long, b long, hot long")
-    found = materialize(found, "found")
-    # Copies that met in different tasks stand for their smallest doc_id.
-    copies = sets.join(reps.select("print", F.col("n").alias("n2"), "rep"), "print").where("doc_id <> rep").select("doc_id", "rep").distinct()
-    copies = materialize(copies, "copies")
-    as_rep = lambda rows, c: rows.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias(f"__{c}")), c, "left").withColumn(c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
-    bare = as_rep(found.where("b is null").select(F.col("a").alias("node")), "node")
-    pairs = as_rep(as_rep(found.where("b is not null"), "a"), "b").where("a <> b")
-    pairs = materialize(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("times")), "pairs")
-    # Each node is first held against its smallest candidate; what that connects needs no other pair.
-    likely = materialize(_likely(pairs, reps), "likely")
-    links = _verified(docs, likely.groupBy("b").agg(F.min("a").alias("a")), "first")
+    buckets = max(64, math.ceil(1.4 * total / BUCKET))
+    found = materialize(packed(own.select(F.col("doc_id").alias("node"), "set"), buckets).groupBy("bucket").applyInArrow(_met_in_bucket, _FOUND), "found")
+    # 1. Each node against its smallest candidate; what that connects needs no other pair.
+    first = found.where(f"kind = {FIRST}").groupBy(F.col("node").alias("b")).agg(F.min("other").alias("a"))
+    links = _verified(sets, _likely(first, reps), "first").unionAll(materialize(several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "several"))
     components = materialize(connected_components(links), "components")
-    rest = _with_component(_with_component(likely, components, "a", "ca"), components, "b", "cb").where("ca <> cb").select("a", "b")
-    rest = materialize(rest, "rest")
-    if rest.limit(1).count():
-        links = links.unionAll(_verified(docs, rest, "rest"))
-        components = materialize(connected_components(links), "components")
-    # What hot groups and uncovered sets leave open.
-    hot = as_rep(as_rep(found.where("hot is not null"), "a"), "b").where("a <> b").select("hot", "a", "b")
-    hot = materialize(_with_component(_with_component(hot, components, "a", "ca"), components, "b", "cb"), "hot")
-    mixed = materialize(hot.where("ca <> cb").select("hot").distinct(), "mixed")
-    opened = hot.join(mixed, "hot", "left_semi")
-    bare = bare.unionAll(opened.select("a")).unionAll(opened.select("b"))
-    asked = materialize(_with_component(bare.distinct(), components, "node", "component"), "asked")
+    # 2. Signatures that nodes of several components have.
+    members = _with_component(found.where(f"kind = {MEMBER}").select("node", F.col("other").alias("sig")), components, "node", "component")
+    members = materialize(members, "members")
+    groups = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("node", "component"))["component"].alias("pivot"), F.count("*").alias("times"))
+    groups = materialize(groups.where("low <> high").select("sig", "pivot", (F.col("times") > SMALL).alias("hot")), "groups")
+    members = materialize(members.join(groups, "sig"), "members")
+    few = members.where("not hot").select("sig", "node", "component")
+    pairs = few.alias("x").join(few.alias("y"), "sig").where("x.node < y.node and x.component <> y.component").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    links = links.unionAll(_verified(sets, _likely(pairs, reps), "few"))
+    components = materialize(connected_components(links), "components")
+    # 3. Hot ones that still hold several components, by differences from a pivot.
+    hot = _with_component(members.where("hot").select("sig", "node", "pivot"), components, "node", "component")
+    hot = materialize(_with_component(hot, components, "pivot", "of"), "hot")
+    open_ = hot.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
+    asked = materialize(hot.join(open_, "sig", "left_semi").select(F.col("of").alias("a"), F.col("node").alias("b"), "component").distinct(), "asked")
     if asked.limit(1).count():
-        more = _likely(_prefix_pairs(docs, asked).join(pairs, ["a", "b"], "left_anti"), reps)
-        links = links.unionAll(_verified(docs, more, "more"))
+        # To a pivot itself each of its nodes is held directly.
+        links = links.unionAll(_verified(sets, _likely(asked.where("a <> component").select("a", "b"), reps), "pivots"))
+        components = materialize(connected_components(links), "components")
+        asked = materialize(_with_component(asked.drop("component"), components, "b", "component"), "asked")
+        met = _met_by_key(_differences(sets, asked), "differences", f"d1 <= d2 and {DEN + NUM} * (d2 - d1) <= {DEN - NUM} * (n1 + n2)")
+        links = links.unionAll(_verified(sets, _likely(met, reps), "hot"))
+        components = materialize(connected_components(links), "components")
+    # 4. Sets that no cut covers.
+    bare = _with_component(found.where(f"kind = {BARE}").select("node"), components, "node", "component")
+    bare = materialize(bare, "bare")
+    if bare.limit(1).count():
+        links = links.unionAll(_verified(sets, _likely(_met_by_key(_prefixes(sets, bare), "prefixes"), reps), "bare"))
         components = materialize(connected_components(links), "components")
     named = _with_component(reps, components, "rep", "component")
-    out = sets.join(materialize(named.select("print", F.col("n").alias("n2"), "component"), "named"), "print", "left")
+    out = sets.select("doc_id", "n", "print").join(materialize(named.select("print", F.col("n").alias("n2"), "component"), "named"), "print", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are linked, directly or not, to one with a smaller doc_id; rows without a doc_id stay."""
-    kept = join_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__fs_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col("__fs_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """docs without the documents that are linked, directly or not, to one with a smaller doc_id; rows without a doc_id stay.
+
+    Of rows with one doc_id and the same text one stays; rows with one doc_id and different texts all stay.
+    """
+    kept = join_groups(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__fs_id")).agg((F.count("*") > 1).alias("__fs_many"))
+    named = docs.join(kept, docs["doc_id"] == F.col("__fs_id"))
+    many = named.where("__fs_many").withColumn("__fs_text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "__fs_text"])
+    once = named.where("not __fs_many")
+    return once.select(docs.columns).unionByName(many.select(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
