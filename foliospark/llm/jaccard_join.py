@@ -7,18 +7,21 @@ doc_id. Two nodes link if 100 * intersection >= 80 * union. Texts are cut into w
 Index. Sizes fall into bands. For a band with largest size U two linked sets differ in at most H = 2U/9 shingles. The
 universe of shingles is cut by a hash into m segments. Either a segment's content is one signature (then m - H
 segments of a linked pair are the same) or it is that content and each content with one shingle left out (then m - H/2
-segments are within one shingle, and share a signature). `allocation` picks the kind and m of a band by expected cost. A set is indexed under its own band and under the next one if a partner can
+segments are within one shingle, and share a signature). m is taken so large that a linked pair has TIMES such segments at least. `allocation` picks the kind and m of a band by expected cost. A set is indexed under its own band and under the next one if a partner can
 be there. Empty (or, with deletions, single-shingle) segments say nothing and aren't indexed; a set with so many of them that the pigeonhole no
-longer holds is *uncovered* and cut again by another hash, up to CUTS times. A linked pair shares a signature of some cut unless both sets stay uncovered to the last.
+longer holds is *uncovered* and cut again by another hash, up to CUTS times. A linked pair shares signatures of TIMES segments of some cut unless both sets stay uncovered to the last.
 
 Candidates. Signatures travel packed by hash bucket. A task sends of a signature that it has met on over SMALL nodes the smallest node only, and
 the memberships aside, so that no bucket gathers a hot signature. What comes back is each node's smallest candidate and
 the memberships (signature, node) of signatures that several nodes have: linear in the signatures, no pairs.
 1. Each node is verified against its smallest candidate, and the links are contracted to components.
 2. Signatures whose nodes are of one component are done. Of the others, those of up to SMALL nodes give their pairs of different components.
-3. A larger one is *hot*. Its nodes are written as differences D(x) from a pivot q (the component of the signature's smallest node): two sets
+A pair that this leaves open shares TIMES segments that are all in larger ones; nodes with fewer such segments go, which makes groups
+smaller, and so on for up to ROUNDS rounds.
+Larger groups give, in each round, the pairs of their nodes with one of them, picked by a hash of the round: linear, and most of a family of copies is one component soon.
+3. What is still larger and of several components is *hot*. Its nodes are written as differences D(x) from a pivot q (a node of the component of the one picked last): two sets
 differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles whatever q is, so linked nodes of which one isn't linked to q must share much of their
-differences. A prefix filter over the differences, by bands of |D| of the larger one and with shingles that q lacks first, finds every such pair. Near copies of one text
+differences. A prefix filter over the differences, by bands of |D| of the larger one and with shingles that q lacks first, rare ones before others, finds every such pair. Near copies of one text
 differ from it each in its own way, and texts that share a passage each have a rest of their own, so that neither yields pairs that don't link.
 4. Sets uncovered to the last meet by a prefix filter of their own.
 All candidates pass sizes and a sketch of 256 counts (which only drop pairs that can't link) and are then verified exactly on the whole sets.
@@ -31,7 +34,7 @@ sets and no other treatment; ties don't arise, as the smallest doc_id names a gr
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -47,10 +50,15 @@ GROWTH = 1.5
 #: What a shingle of an uncovered set costs, in signatures: it is cut once more.
 UNCOVERED = 2
 SMALL = 8
+#: Segments that a linked pair has in common at least (the number of a segment is a signature's lowest byte), and rounds in which nodes with fewer go.
+TIMES, ROUNDS = 3, 4
+ANY_SEGMENT = 255
 #: Cuts of the universe that an uncovered set goes through.
 CUTS = 4
 #: Signatures of a bucket, about; signatures that a task gathers before it sends them on.
 BUCKET, FLUSH = 1_000_000, 1_000_000
+#: Counters that order the shingles of hot groups, and how many of them one row holds.
+COUNTERS, COUNTER_PART = 1 << 20, 1 << 14
 _U = np.uint64
 
 
@@ -96,7 +104,7 @@ def allocation(band: int) -> tuple[int, int, int]:
 
     best = None
     for kind in (0, 1):
-        need = most // (kind + 1) + 1
+        need = most // (kind + 1) + TIMES
         for slack in range(0, 101, 4):
             m = need + math.ceil(need * slack / 100)
             missed = (uncovered(m, kind, m - need, max(1, low * NUM / DEN)) + uncovered(m, kind, m - need, size)) / 2
@@ -106,6 +114,10 @@ def allocation(band: int) -> tuple[int, int, int]:
     return best[1:]
 
 
+def _numbered(sig: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    return (sig & _U(0xFFFFFFFFFFFFFF00)) | segment
+
+
 def signatures(shingles: np.ndarray, cut: int = 0) -> tuple[np.ndarray, bool]:
     """The signatures of a set by one cut of the universe, and whether it is covered in each band that it stands in."""
     n = len(shingles)
@@ -125,17 +137,18 @@ def signatures(shingles: np.ndarray, cut: int = 0) -> tuple[np.ndarray, bool]:
             starts = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
             sums = np.add.reduceat(h, starts)
             name = mix(segment[starts] * _U(0xD6E8FEB86659FD93) + salt)
+            number = segment[starts] if m <= ANY_SEGMENT else np.full(len(starts), ANY_SEGMENT, _U)
             if kind:
                 sizes = np.diff(np.append(starts, n))
                 fat = sizes > 1
                 covered &= m - int(fat.sum()) <= spare
                 spread = np.repeat(np.arange(len(starts)), sizes)
                 keep = fat[spread]
-                out.append(mix(sums ^ name))
-                out.append(mix((sums[spread] - h)[keep] ^ name[spread][keep]))
+                out.append(_numbered(mix(sums ^ name), number))
+                out.append(_numbered(mix((sums[spread] - h)[keep] ^ name[spread][keep]), number[spread][keep]))
             else:
                 covered &= m - len(starts) <= spare
-                out.append(mix(sums ^ name))
+                out.append(_numbered(mix(sums ^ name), number))
     return np.concatenate(out), covered
 
 
@@ -236,8 +249,12 @@ def _shared(name: np.ndarray, node: np.ndarray, start: np.ndarray, size: np.ndar
     return np.concatenate([np.full(len(members), MEMBER), np.full(len(b), FIRST)]), np.concatenate([members, b]), np.concatenate([names, a])
 
 
-def packed(sets: DataFrame, buckets: int) -> DataFrame:
-    """From node and set: packs of signatures by bucket; memberships and smallest companions of signatures that are hot in a task; uncovered nodes (these two in any bucket)."""
+def met_in_buckets(rows: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, bool]]], buckets: int) -> DataFrame:
+    """kind, node, other for the (node, signatures, covered) that `of` makes of rows: what several nodes have in common.
+
+    MEMBER: node has signature other, and so has another node. FIRST: other is the smallest companion of node in a signature. BARE: node isn't covered.
+    Tasks send packs of signatures by bucket; of signatures that are hot in a task the memberships and companions, in any bucket.
+    """
     schema = "kind int, node long, other long, bucket int, sigs binary, nodes binary, stars binary"
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     names = ["kind", "node", "other", "bucket", "sigs", "nodes", "stars"]
@@ -271,8 +288,7 @@ def packed(sets: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, held, bare = [], [], 0, []
         for batch in batches:
-            for node, packed_set in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s, covered = all_signatures(_unpack(packed_set.as_py()))
+            for node, s, covered in of(batch):
                 if not covered:
                     bare.append(node)
                 sigs.append(s)
@@ -285,7 +301,13 @@ def packed(sets: DataFrame, buckets: int) -> DataFrame:
             yield from flush(sigs, nodes)
         yield from rows_of(np.full(len(bare), BARE), np.array(bare, np.int64), np.zeros(len(bare), np.int64))
 
-    return sets.select("node", "set").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).groupBy("bucket").applyInArrow(_met_in_bucket, _FOUND)
+
+
+def _signed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """Of node and set: the node's signatures, and whether it is covered."""
+    for node, packed_set in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        yield node, *all_signatures(_unpack(packed_set.as_py()))
 
 
 def _met_in_bucket(rows: pa.Table) -> pa.Table:
@@ -366,15 +388,20 @@ def _with_component(rows: DataFrame, components: DataFrame, node: str, as_: str)
     return rows.join(c, node, "left").withColumn(as_, F.coalesce(as_, node))
 
 
-def _met_by_key(rows: DataFrame, name: str, more: str = "true") -> DataFrame:
-    """Pairs a < b of different components, one row of role 0 and one of role 1 under the same key; rows: key, role, node, n, d, component."""
-    rows = materialize(rows, name)
-    shared = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("role").alias("r0"), F.max("role").alias("r1"))
-    rows = materialize(rows.join(shared.where("low <> high and r0 < r1").select("key"), "key", "left_semi"), name)
-    x = rows.where("role = 0").select("key", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "d", "component")))
-    y = rows.where("role = 1").select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "d", "component")))
-    fit = f"component1 <> component2 and {DEN} * least(n1, n2) >= {NUM} * greatest(n1, n2) and {more}"
-    return x.join(y, "key").where(fit).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+def _pairs_of(members: DataFrame) -> DataFrame:
+    """Pairs a < b of different components of small groups; members: sig, node, component."""
+    x, y = (members.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    return x.join(y, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
+
+
+def _pairs_by_key(found: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs a < b of different components, one of role 1 and one of role 2, under one key; found: met_in_buckets of 4 * node + roles (each key of a node once)."""
+    rows = found.where(f"kind = {MEMBER}").select(F.col("other").alias("key"), F.expr("node >> 2").alias("node"), F.expr("node & 3").alias("roles"))
+    rows = materialize(_with_component(rows, components, "node", "component").distinct(), "keys")
+    shared = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_or("roles").alias("all"))
+    rows = materialize(rows.join(shared.where("low <> high and all = 3").select("key"), "key", "left_semi"), "keys")
+    x, y = (rows.where(F.expr(f"roles & {r} > 0")).select("key", F.col("node").alias(f"node{r}"), F.col("component").alias(f"component{r}")) for r in (1, 2))
+    return x.join(y, "key").where("component1 <> component2").select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 @lru_cache
@@ -386,67 +413,84 @@ def difference_bands(upto: int = 1 << 40) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def difference_prefixes(x: np.ndarray, q: np.ndarray) -> tuple[int, list[tuple[int, int, np.ndarray]]]:
-    """|D| of a sorted set x against its pivot q, and (band, role, shingles): what x shares with a linked partner that differs from q by no less (role 0) or no more (role 1).
+def difference_prefixes(x: np.ndarray, q: np.ndarray, often: np.ndarray) -> tuple[int, list[tuple[int, int, np.ndarray]]]:
+    """|D| of a sorted set x against its pivot q, and (band, roles, shingles): what x shares with a linked partner that differs from q by no less (1) or no more (2), or either (3).
 
     Linked sets of sizes n and m differ in at most (n + m) / 9 shingles, so in n / 4. With D >= E the sizes of both differences,
     they share at least (D + E - n / 4) / 2 elements of their differences, and at least D - n / 4. If one of the two isn't linked to q, that number is positive.
     """
     n, m = len(x), len(q)
     added, removed = np.setdiff1d(x, q, assume_unique=True), np.setdiff1d(q, x, assume_unique=True)
-    diff = np.concatenate([added, removed])  # one order for all sets with this pivot: what it lacks comes first, as it is rarer
+    added = added[np.lexsort((added, often[_cell(added)]))]
+    diff = np.concatenate([added, removed])  # one order for all sets with this pivot
     d, most, first = len(diff), n // 4, difference_bands()
     if not d:
         return 0, []
     out, near = [], (DEN + NUM) * d <= (DEN - NUM) * (n + m)
     least_far = (NUM * n + DEN * m) * (DEN - NUM) // (DEN * (DEN + NUM))  # a partner of up to so many differences is linked to q itself
     own = int(np.searchsorted(first, d, side="right")) - 1
-    if d > least_far:  # else a partner that differs less is linked to q too
-        out.append((own, 1, diff[: most + 1]))
+    more = most + 1 if d > least_far else 0  # else a partner that differs less is linked to q too
     band = own
     while first[band] <= d + most:
-        if not near or first[band + 1] - 1 > least_far:
-            low = max(int(first[band]), d)
-            out.append((band, 0, diff[: (d - low + most) // 2 + 1]))
+        less = (d - max(int(first[band]), d) + most) // 2 + 1 if not near or first[band + 1] - 1 > least_far else 0
+        if band > own or not more:
+            out.append((band, 1, diff[:less]))
+        else:
+            out += [(band, 3, diff[:less]), (band, 2, diff[less:more])]
         band += 1
-    return d, out
+    return d, [x for x in out if len(x[2])]
 
 
-def _differences(sets: DataFrame, asked: DataFrame) -> DataFrame:
-    """key, role, node, n, d, component: the prefixes of all nodes against their pivots, and (key null) nodes that link to their pivot's node d. asked: a (pivot), b (node), component."""
-    names = ["key", "role", "node", "n", "d", "component"]
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> _U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, q = None, None
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many of the sets have a shingle, by COUNTERS counters that shingles share; they only order what is compared."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int32)
         for batch in batches:
-            out = [[np.empty(0, np.int64)] for _ in names]
-            for a, b, component, x, y in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), batch.column(4), strict=True):
-                if a != last:
-                    last, q = a, _unpack(x.as_py())
-                s = _unpack(y.as_py())
-                d, prefixes = difference_prefixes(s, q)
-                for band, role, shingles in prefixes:
-                    key = mix(shingles ^ mix(np.array([a * 1024 + band], np.int64).astype(_U)))
-                    for held, value in zip(out, (key.view(np.int64), role, b, len(s), d, component), strict=True):
-                        held.append(value if isinstance(value, np.ndarray) else np.full(len(key), value, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+            for x in batch.column(0):
+                np.add.at(held, _cell(_unpack(x.as_py())), 1)
+        parts = [x for x in enumerate(held.reshape(-1, COUNTER_PART)) if x[1].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["part", "held"])
 
-    return _facing(sets, asked).select("a", "b", "component", "set_a", "set").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    def total(rows: pa.Table) -> pa.Table:
+        held = np.zeros(COUNTER_PART, np.int64)
+        for x in rows.column("held"):
+            held += np.frombuffer(x.as_py(), np.int32)
+        return pa.table([rows.column("part").slice(0, 1), pa.array([np.minimum(held, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["part", "held"])
 
+    out = np.zeros(COUNTERS, np.int32)
+    for part, held in sets.select("set").mapInArrow(count, "part int, held binary").groupBy("part").applyInArrow(total, "part int, held binary").collect():  # 4 MB
+        out[part * COUNTER_PART : (part + 1) * COUNTER_PART] = np.frombuffer(held, np.int32)
+    return out
 
-def _prefixes(sets: DataFrame, bare: DataFrame) -> DataFrame:
-    """key, role, node, n, d, component as for differences: of each node of bare the smallest hashes of its set; a linked pair has one of them in common."""
-    names = ["key", "role", "node", "n", "d", "component"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, component, x in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
-                s = _unpack(x.as_py())
-                key = np.tile(s[: len(s) - -(-NUM * len(s) // DEN) + 1].view(np.int64), 2)
-                columns = [key, np.repeat([0, 1], len(key) // 2), *(np.full(len(key), v, np.int64) for v in (node, len(s), 0, component))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+def _differing(often: Callable[[], np.ndarray]) -> Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, bool]]]:
+    """Of pivot, node, the pivot's set and the node's: 4 * node + roles and the keys of its differences."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, bool]]:
+        last, q = None, None
+        for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if a != last:
+                last, q = a, _unpack(x.as_py())
+            keys: dict[int, list] = {1: [], 2: [], 3: []}
+            for band, role, shingles in difference_prefixes(_unpack(y.as_py()), q, often())[1]:
+                keys[role].append(mix(shingles ^ mix(np.array([a * 1024 + band], np.int64).astype(_U))))
+            for role, found in keys.items():
+                if found:
+                    yield 4 * b + role, np.concatenate(found), True
 
-    return _only(sets, bare).select("node", "component", "set").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return of
+
+
+def _smallest(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """Of node and set: 4 * node + 3 and, in both roles, the smallest hashes of the set, of which linked sets have one in common."""
+    for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        s = _unpack(x.as_py())
+        yield 4 * node + 3, mix(s[: len(s) - -(-NUM * len(s) // DEN) + 1]), True
 
 
 def join_groups(docs: DataFrame) -> DataFrame:
@@ -460,39 +504,53 @@ def join_groups(docs: DataFrame) -> DataFrame:
     several = sets.join(reps.select("print", F.col("n").alias("m"), "rep"), "print").where("doc_id <> rep").select("doc_id", "rep").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(64, math.ceil(1.4 * total / BUCKET))
-    found = materialize(packed(own.select(F.col("doc_id").alias("node"), "set"), buckets).groupBy("bucket").applyInArrow(_met_in_bucket, _FOUND), "found")
+    found = materialize(met_in_buckets(own.select(F.col("doc_id").alias("node"), "set"), _signed, buckets), "found")
     # 1. Each node against its smallest candidate; what that connects needs no other pair.
     first = found.where(f"kind = {FIRST}").groupBy(F.col("node").alias("b")).agg(F.min("other").alias("a"))
     links = _verified(sets, _likely(first, reps), "first").unionAll(materialize(several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "several"))
     components = materialize(connected_components(links), "components")
     # 2. Signatures that nodes of several components have.
-    members = _with_component(found.where(f"kind = {MEMBER}").select("node", F.col("other").alias("sig")), components, "node", "component")
-    members = materialize(members, "members")
-    groups = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("node", "component"))["component"].alias("pivot"), F.count("*").alias("times"))
-    groups = materialize(groups.where("low <> high").select("sig", "pivot", (F.col("times") > SMALL).alias("hot")), "groups")
-    members = materialize(members.join(groups, "sig"), "members")
-    few = members.where("not hot").select("sig", "node", "component")
-    pairs = few.alias("x").join(few.alias("y"), "sig").where("x.node < y.node and x.component <> y.component").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = links.unionAll(_verified(sets, _likely(pairs, reps), "few"))
-    components = materialize(connected_components(links), "components")
-    # 3. Hot ones that still hold several components, by differences from a pivot.
-    hot = _with_component(members.where("hot").select("sig", "node", "pivot"), components, "node", "component")
-    hot = materialize(_with_component(hot, components, "pivot", "of"), "hot")
+    members = found.where(f"kind = {MEMBER}").select("node", F.col("other").alias("sig"))
+    for k in range(ROUNDS):
+        placed = _with_component(members, components, "node", "component")
+        placed = materialize(placed, "members") if k == 0 else placed
+        pivot = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")).alias("p")
+        groups = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot, F.count("*").alias("times"))
+        groups = groups.where("low <> high").select("sig", F.col("p.node").alias("pivot"), F.col("p.component").alias("of"), (F.col("times") > SMALL).alias("hot"))
+        members = materialize(placed.join(groups, "sig"), "members")
+        stars = members.where("hot and component <> of").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        pairs = _pairs_of(members.where("not hot")).unionAll(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = _verified(sets, _likely(pairs, reps), "near")
+        links = links.unionAll(new)
+        components = materialize(connected_components(links), "components")
+        members = members.where("hot")
+        segment = F.expr("sig & 255")
+        enough = members.groupBy("node").agg(F.count_distinct(segment).alias("k"), F.max(segment).alias("last")).where((F.col("k") >= TIMES) | (F.col("last") == ANY_SEGMENT)).select("node")
+        members = materialize(members.select("sig", "node", "pivot").join(enough, "node", "left_semi"), "members")
+        if k == ROUNDS - 1 or k and new.isEmpty():
+            break
+        members = members.select("sig", "node")
+    # 3. Hot ones that still hold several components, by differences from a pivot: one node for each component of their pivots.
+    hot = _with_component(_with_component(members, components, "node", "component"), components, "pivot", "of")
+    hot = materialize(hot, "hot")
     open_ = hot.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    asked = materialize(hot.join(open_, "sig", "left_semi").select(F.col("of").alias("a"), F.col("node").alias("b"), "component").distinct(), "asked")
+    hot = hot.join(open_, "sig", "left_semi")
+    pivots = hot.groupBy("of").agg(F.min(F.struct(F.xxhash64("pivot").alias("h"), "pivot"))["pivot"].alias("a"))
+    asked = materialize(hot.select("of", F.col("node").alias("b")).distinct().join(pivots, "of").where("a <> b").select("a", "b"), "asked")
     if asked.limit(1).count():
         # To a pivot itself each of its nodes is held directly.
-        links = links.unionAll(_verified(sets, _likely(asked.where("a <> component").select("a", "b"), reps), "pivots"))
+        links = links.unionAll(_verified(sets, _likely(asked, reps), "pivots"))
         components = materialize(connected_components(links), "components")
-        asked = materialize(_with_component(asked.drop("component"), components, "b", "component"), "asked")
-        met = _met_by_key(_differences(sets, asked), "differences", f"d1 <= d2 and {DEN + NUM} * (d2 - d1) <= {DEN - NUM} * (n1 + n2)")
-        links = links.unionAll(_verified(sets, _likely(met, reps), "hot"))
+        sent = docs.sparkSession.sparkContext.broadcast(_frequencies(_only(sets, asked.select(F.col("b").alias("node")).distinct())))
+        met = met_in_buckets(_facing(sets, asked.select("a", "b")).select("a", "b", "set_a", "set"), _differing(lambda: sent.value), max(64, math.ceil(100 * asked.count() / BUCKET)))
+        met = materialize(met, "differences")
+        links = links.unionAll(_verified(sets, _likely(_pairs_by_key(met, components), reps), "hot"))
         components = materialize(connected_components(links), "components")
     # 4. Sets that no cut covers.
-    bare = _with_component(found.where(f"kind = {BARE}").select("node"), components, "node", "component")
-    bare = materialize(bare, "bare")
+    bare = materialize(found.where(f"kind = {BARE}").select("node").distinct(), "bare")
     if bare.limit(1).count():
-        links = links.unionAll(_verified(sets, _likely(_met_by_key(_prefixes(sets, bare), "prefixes"), reps), "bare"))
+        met = materialize(met_in_buckets(_only(sets, bare).select("node", "set"), _smallest, 64), "bare")
+        links = links.unionAll(_verified(sets, _likely(_pairs_by_key(met, components), reps), "bare"))
         components = materialize(connected_components(links), "components")
     named = _with_component(reps, components, "rep", "component")
     out = sets.select("doc_id", "n", "print").join(materialize(named.select("print", F.col("n").alias("n2"), "component"), "named"), "print", "left")
