@@ -51,12 +51,12 @@ GROWTH = 1.5
 UNCOVERED = 2
 SMALL = 8
 #: Segments that a linked pair has in common at least (the number of a segment is a signature's lowest byte), and rounds in which nodes with fewer go.
-TIMES, ROUNDS = 3, 4
+TIMES, ROUNDS = 3, 3
 ANY_SEGMENT = 255
 #: Cuts of the universe that an uncovered set goes through.
 CUTS = 4
 #: Signatures of a bucket, about; signatures that a task gathers before it sends them on.
-BUCKET, FLUSH = 1_000_000, 1_000_000
+BUCKET, FLUSH = 400_000, 500_000
 #: Counters that order the shingles of hot groups, and how many of them one row holds.
 COUNTERS, COUNTER_PART = 1 << 20, 1 << 14
 _U = np.uint64
