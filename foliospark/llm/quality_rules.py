@@ -3,11 +3,12 @@
 Each text is measured once (words, symbols, repeated lines and words, capitals). For every (lang, source) and measure the
 values go into a logarithmic-bucket quantile sketch: a bucket's bounds differ by a fixed ratio, so a quantile is known
 within that ratio, and sketches merge by adding counts, in any order and with the same result. The sketch is a table with
-a row for each filled bucket; its size doesn't grow with the documents. Groups with few documents take the sketch of
-their language, and those the sketch of all. Cutoffs are fences around the quartiles; a join brings them to the documents.
+a row for each filled bucket; its size doesn't grow with the documents. Cutoffs are fences around the quartiles, drawn towards
+the language's, and these towards those of all: a fence of n rows counts n / (n + PRIOR_ROWS), at every n. A join brings them to the documents.
 
 Nulls and empty texts have no words, so they fail the base rule. A null lang or source is a group of its own. Repeated
-rows are measured and judged alike. An empty table gives an empty result. In `filter_documents` extra columns pass by.
+rows are measured and judged alike, as are ties: a value on a fence passes. Very long texts are measured whole. An empty table gives an
+empty result. In `filter_documents` extra columns pass by, whatever their names; `judge` doesn't read them.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ MEASURES = (
 )
 GAMMA = 1.02
 FENCE = 3.0
-LEAST_ROWS = 200
+#: Rows that a parent's fence counts for beside the rows of its own.
+PRIOR_ROWS = 20.0
 #: Group rows up to which the table of cutoffs (about 200 bytes a row) is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -120,8 +122,14 @@ def cutoffs(rows: DataFrame, group: tuple[str, ...] = ("lang", "source")) -> Dat
     tongue = tongue.select(F.col(lang).alias("l1"), F.col("total").alias("t1"), F.col("f").alias("f1"))
     everything = everything.select(F.lit(1).alias("one"), F.col("f").alias("f0"))
     out = own.withColumn("one", F.lit(1)).join(tongue, F.col(lang).eqNullSafe(F.col("l1")), "left").join(everything, "one", "left")
-    chosen = F.when(F.col("total") >= LEAST_ROWS, F.col("f")).when(F.col("t1") >= LEAST_ROWS, F.col("f1")).otherwise(F.col("f0"))
-    return materialize(out.select(lang, source, chosen.alias("f")), "cutoffs").select(lang, source, "f.*")
+
+    def drawn(total: str, fence: Column, parent: Column) -> Column:
+        share = F.col(total) / (F.col(total) + PRIOR_ROWS)
+        return share * fence + (1 - share) * parent
+
+    names = [f"{c}_{m[0]}" for m in MEASURES for c in ("low", "high")]
+    f = [drawn("total", F.col(f"f.{c}"), drawn("t1", F.col(f"f1.{c}"), F.col(f"f0.{c}"))).alias(c) for c in names]
+    return materialize(out.select(lang, source, *f), "cutoffs")
 
 
 def passes(counts=F.col, fence=F.col) -> Column:
@@ -143,15 +151,14 @@ def _with_fences(rows: DataFrame, fences: DataFrame, group: tuple[str, str] = ("
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, COUNTS, base_failed, kept for each row of docs."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the other COUNTS for each row of docs."""
     rows = materialize(measured(docs), "measured")
     out = _with_fences(rows, cutoffs(rows))
-    return out.select("doc_id", *COUNTS, base_failed().alias("base_failed"), passes(F.col, lambda c: F.col(f"__fs_fence.{c}")).alias("kept"))
+    return out.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), passes(F.col, lambda c: F.col(f"__fs_fence.{c}")).alias("kept"), *COUNTS[5:])
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with all their columns; texts are never shuffled, they are measured once more instead."""
-    fences = cutoffs(materialize(measured(docs, ("lang", "source")), "measured"))
+    """The rows of docs that pass, with all their columns. Each text is measured once: the rows are written with their counts and read again."""
     prepare(docs.sparkSession)
     kind = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
 
@@ -162,7 +169,8 @@ def filter_documents(docs: DataFrame) -> DataFrame:
         rows = np.array([measure(x) for x in texts], np.int64).reshape(-1, len(COUNTS))
         return pd.DataFrame(dict(zip(COUNTS, rows.T, strict=True)))
 
-    found = _with_fences(docs.withColumn("__fs_counts", counts("text")), fences)
+    rows = materialize(docs.withColumn("__fs_counts", counts("text")), "measured")
+    found = _with_fences(rows, cutoffs(rows.select("lang", "source", "__fs_counts.*")))
     return found.where(passes(lambda c: F.col(f"__fs_counts.{c}"), lambda c: F.col(f"__fs_fence.{c}"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
