@@ -7,8 +7,9 @@ one), so that the inversion never underflows. Rows are exploded by their count a
 and sorted by it, so no source, key or input order stays together. Counting rows per source is a pre-aggregated sum; the
 table of sources is joined, broadcast while small. A hot source is never gathered in one task.
 
-Nulls: a null source is a source of its own; a null doc_id hashes as the word null. Rows with one doc_id draw one count.
-A source without a target weight, or with weight 0, gets no rows. An empty table gives an empty result.
+Nulls: a null source is a source of its own; a null doc_id hashes as the word null. Rows with one doc_id draw one count, also repeated ones; there are no ties to break.
+A source without a target weight, or with weight 0, gets no rows. An empty table gives an empty result; very long and empty texts pass whole. Columns of docs
+with the names of the result's (copy, n_copies, shuffle_key) stay, and the result's then begin with __fs_.
 """
 
 from __future__ import annotations
@@ -77,7 +78,9 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temper:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replicate(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Whole documents are repeated and shuffled; their texts are read from what arrives, as bytes and a digest."""
+    out = replicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "copy", "n_copies", "shuffle_key", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.encode("text", "utf-8")).alias("text_md5"))
 
 
 ORACLES = {
@@ -88,10 +91,11 @@ p AS (SELECT source, rate, CAST(greatest(1, ceil(rate / {CHUNK})) AS INTEGER) AS
 t AS (SELECT source, parts, k, exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1)) AS pk FROM p, range(0, {TERMS} + 1) x(k)),
 c AS (SELECT source, parts, k, sum(pk) OVER (PARTITION BY source ORDER BY k) AS cdf FROM t),
 l AS (SELECT source, parts, list(cdf ORDER BY k) AS cdf FROM c GROUP BY source, parts),
-u AS (SELECT d.doc_id, d.source, l.cdf, CAST(('0x' || substr(md5('{SEED}|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+u AS (SELECT d.doc_id, d.source, d.text, l.cdf, CAST(('0x' || substr(md5('{SEED}|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
       FROM documents d JOIN l ON d.source IS NOT DISTINCT FROM l.source, unnest(range(1, l.parts + 1)) x(i)),
-n AS (SELECT doc_id, source, CAST(sum(len(list_filter(cdf, lambda z: z <= u))) AS INTEGER) AS n_copies FROM u GROUP BY doc_id, source)
-SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, n_copies, md5('{SEED}s|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(copy AS VARCHAR)) AS shuffle_key
+n AS (SELECT doc_id, source, text, CAST(sum(len(list_filter(cdf, lambda z: z <= u))) AS INTEGER) AS n_copies FROM u GROUP BY doc_id, source, text)
+SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, n_copies, md5('{SEED}s|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(copy AS VARCHAR)) AS shuffle_key,
+CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, md5(text) AS text_md5
 FROM n, unnest(range(1, n_copies + 1)) y(copy)"""
 }
 QUERIES = {"op5_source_mixing": op5_source_mixing}

@@ -2,6 +2,9 @@
 
 1. Rows fall into logical partitions by a hash of their content, so a lost task is redone with the same result. The rows
    of each are counted (a pre-aggregated sum; a number per partition, bounded by PARTITIONS, comes to the driver).
+   Rows that are equal in all columns get numbers there, which go into the hashes that follow: copies are dealt out like
+   any other rows. A content with over ROWS_EACH rows is told by its count, and its rows are made again, in parts of ROWS_EACH,
+   each row with its number in its hash, so that they fall into all partitions.
 2. The matrix of how many rows go from each partition to each shard is drawn on the driver from the multivariate
    hypergeometric distribution: just as a uniform random permutation of all rows would fill shards of these sizes.
 3. Rows are permuted inside their partition (ordered by a hash); the first C[p][0] go to shard 0, and so on.
@@ -9,8 +12,8 @@
    slot is the sum of the earlier slices' counts plus the place in the slice. No task holds a whole shard.
 
 Law: `rows`; shard sizes are at most one apart. Only DataFrame functions touch the rows. Nulls: a null text has size 1 and
-crc32 0. Repeated rows are told apart by nothing, so which of them takes which slot doesn't show. An empty table gives an
-empty result. Columns of docs named like the result's are kept out of `assign` by its own prefix.
+crc32 0. Which of some equal rows takes which of their slots doesn't show. Ties of two hashes of 64 bits go by the other one. An empty table gives an
+empty result; very long texts pass whole. Columns of docs named shard or slot stay, and the result's are then called assigned_shard and assigned_slot.
 """
 
 from __future__ import annotations
@@ -78,16 +81,43 @@ def _lookup(docs: DataFrame, rows: list[dict], fields: str) -> DataFrame:
     return docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")).alias("x")).select("x.*")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def _made_again(hashed: DataFrame, own: list[Column], often: list, rows_each: int) -> DataFrame:
+    """hashed with the rows of the contents in often (their two hashes and count) replaced by as many of the same content, with hashes of their own."""
+    known = _lookup(hashed, [{"a": r[0], "b": r[1], "k": r[2]} for r in often], "a:bigint,b:bigint,k:bigint")
+    known = F.broadcast(known.select(F.col("a").alias("__fs_1"), F.col("b").alias("__fs_2"), F.col("k").alias("__fs_k")))
+    one = hashed.join(known, ["__fs_1", "__fs_2"]).groupBy("__fs_1", "__fs_2").agg(F.first("__fs_k").alias("__fs_k"), F.first(F.struct(*own)).alias("__fs_row"))
+    chunks = one.withColumn("__fs_c", F.explode(F.expr(f"sequence(0L, (__fs_k - 1) div {rows_each})"))).repartition("__fs_1", "__fs_c")
+    rows = chunks.withColumn("__fs_i", F.explode(F.expr(f"sequence(__fs_c * {rows_each} + 1, least(__fs_k, (__fs_c + 1) * {rows_each}))")))
+    rows = rows.select("__fs_row.*", F.xxhash64("__fs_1", "__fs_i").alias("__fs_1"), F.xxhash64("__fs_2", "__fs_i").alias("__fs_2"))
+    return hashed.join(known.drop("__fs_k"), ["__fs_1", "__fs_2"], "left_anti").select(*own, "__fs_1", "__fs_2").unionByName(rows)
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, rows_each: int = ROWS_EACH) -> DataFrame:
     """docs' columns with shard (int) and slot (long, from 0 without gaps in each shard)."""
     prepare(docs.sparkSession)
     n = docs.count()
-    parts = min(PARTITIONS, max(FEWEST, 1 << max(0, (n // ROWS_EACH)).bit_length()))
+    parts = min(PARTITIONS, max(FEWEST, 1 << max(0, (n // rows_each)).bit_length()))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"__fs_1": _hash(docs, seed), "__fs_2": _hash(docs, seed + 1)}).withColumn("__fs_p", F.pmod("__fs_1", F.lit(parts)).cast("int"))
-    counts = np.zeros(parts, np.int64)
-    for row in keyed.groupBy("__fs_p").count().collect():  # at most `parts` numbers
-        counts[row[0]] = row[1]
+    hashed = docs.withColumns({"__fs_1": _hash(docs, seed), "__fs_2": _hash(docs, seed + 1)})
+    in_part = lambda rows: rows.withColumn("__fs_p", F.pmod("__fs_1", F.lit(parts)).cast("int"))
+
+    def counted(rows: DataFrame) -> np.ndarray:
+        out = np.zeros(parts, np.int64)
+        for row in rows.groupBy("__fs_p").count().collect():  # at most `parts` numbers
+            out[row[0]] = row[1]
+        return out
+
+    keyed = in_part(hashed)
+    counts = counted(keyed)
+    full = np.flatnonzero(counts > rows_each + 4 * n / parts).tolist()
+    if full:
+        often = keyed.where(F.col("__fs_p").isin(full)).groupBy("__fs_1", "__fs_2").count().where(F.col("count") > rows_each).collect()  # at most n / rows_each rows
+        if often:
+            keyed = in_part(_made_again(hashed, own, often, rows_each))
+            counts = counted(keyed)
+    # Numbers for equal rows, and hashes that are a row's own, inside the partition.
+    keyed = keyed.repartition("__fs_p").withColumn("__fs_j", F.row_number().over(Window.partitionBy("__fs_p", "__fs_1", "__fs_2").orderBy("__fs_2")))
+    keyed = keyed.withColumns({"__fs_1": F.xxhash64(F.lit(seed + 2), "__fs_1", "__fs_j"), "__fs_2": F.xxhash64(F.lit(seed + 3), "__fs_2", "__fs_j")}).drop("__fs_j")
     upto = np.cumsum(draw_matrix(counts, shards, seed), axis=1)
     matrix = _lookup(docs, [{"p": i, "upto": x.tolist()} for i, x in enumerate(upto)], "p:int,upto:array<bigint>").select(F.col("p").alias("__fs_p"), F.col("upto").alias("__fs_upto"))
     rank = F.row_number().over(Window.partitionBy("__fs_p").orderBy("__fs_1"))
@@ -110,13 +140,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
 
 
 def op4_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    """Whole documents are dealt; size and crc32 are read from what arrives."""
+    return assign(table(spark, sf_dir, "documents")).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode("text", "utf-8")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
-    out = assign(docs)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {"op4_uniform_shards": op4_uniform_shards}

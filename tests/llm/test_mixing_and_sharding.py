@@ -63,6 +63,33 @@ def test_shards_and_slots(make):
     assert abs(np.corrcoef(order, range(1003))[0, 1]) < 0.12
 
 
+def test_copies_are_dealt_like_other_rows(make):
+    """Of four copies of a document all fall into one of 16 shards as often as in a uniform shuffle (1 in 4096), and hardly ever into neighbouring slots."""
+    docs = make([(i, f"text {i}") for i in range(3000)] * 4)
+    for rows_each in (S.ROWS_EACH, 500):
+        by = {}
+        for r in S.assign(docs, rows_each=rows_each).select("doc_id", "assigned_shard", "assigned_slot").collect():
+            by.setdefault(r.doc_id, []).append((r.assigned_shard, r.assigned_slot))
+        assert all(len(set(v)) == 4 for v in by.values())
+        assert sum(len({s for s, _ in v}) == 1 for v in by.values()) <= 6
+        pairs = sum(a[0] == b[0] for v in by.values() for k, a in enumerate(v) for b in v[:k])
+        assert abs(pairs - 18000 / 16) < 5 * np.sqrt(18000 / 16)
+        near = sum(a[0] == b[0] and abs(a[1] - b[1]) == 1 for v in by.values() for k, a in enumerate(v) for b in v[:k])
+        assert near <= 15
+
+
+def test_a_content_of_a_third_of_all_rows(make):
+    docs = make([(i, f"text {i}") for i in range(4000)] + [(7, "again")] * 2000)
+    rows = S.assign(docs, rows_each=200).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.assigned_shard, []).append(r.assigned_slot)
+    assert len(rows) == 6000 and all(sorted(v) == list(range(375)) for v in by.values())
+    hot = np.bincount([r.assigned_shard for r in rows if r.text == "again"], minlength=16)
+    assert hot.sum() == 2000 and abs(hot - 125).max() < 6 * np.sqrt(125)
+    assert sorted(r.doc_id for r in rows if r.text != "again") == list(range(4000))
+
+
 def test_native_plan(make):
     plan = S.assign(make([(1, "a")])).drop("none")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
