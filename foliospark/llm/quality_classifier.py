@@ -8,7 +8,8 @@ all examples are computed exactly in blocks, and the K nearest vote with their s
 sampled apart, votes are weighted by the label's share among all training rows.
 
 Nulls and empty texts have no terms and get the share of label 1 among the training rows, as does every text if there is no
-example. Repeated rows score alike; labels given twice for a doc_id count once (the lowest); extra columns aren't read.
+example. Repeated rows score alike; labels given twice for a doc_id count once (the lowest). Of examples with the same cosine at the edge of
+the K nearest those with the smaller doc_id vote. Very long texts are read whole, in blocks. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -120,14 +121,17 @@ class Model:
             return out
         cos = unit(x[has] @ self.fold) @ self.examples.T
         k = min(K, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cos, near, 1), 0) ** POWER * self.votes[near]
+        edge = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+        over, tie = cos > edge, cos == edge
+        near = over | (tie & (np.cumsum(tie, axis=1) <= k - over.sum(axis=1, keepdims=True)))
+        w = np.where(near, np.maximum(cos, 0) ** POWER * self.votes, 0)
         size = w.sum(axis=1)
-        out[has] = np.where(size > 0, (w * self.labels[near]).sum(axis=1) / np.where(size > 0, size, 1), self.prior)
+        out[has] = np.where(size > 0, np.clip(w @ self.labels / np.where(size > 0, size, 1), 0, 1), self.prior)
         return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = 5, is_held_out: int = 0, per_class: int = PER_CLASS) -> Model:
+    prepare(docs.sparkSession)
     examples, shares = training(docs, labels, column, modulus, is_held_out, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
