@@ -1,22 +1,31 @@
 """Licence scan: canonical digests of whole texts and whole lines, hash-joined to the digests of known licence texts.
 
-The canonical form of a text drops copyright lines, lower-cases, turns each run of ASCII punctuation and white space into
-one space and brings equivalent spellings together. Its sha-256 is looked up among the digests of known texts. A document
-is looked up as a whole and line by line, since notices mostly stand in a line of their own. There is no shuffle: known
-digests are a fixed table, at most KNOWN_LIMIT rows, and broadcast.
+The canonical form of a text drops copyright lines, lower-cases, turns each run of punctuation, symbols and white space (of any
+script) into one space and brings equivalent spellings together. Its sha-256 is looked up among the digests of known texts. A document
+is looked up as a whole and line by line, since notices mostly stand in a line of their own. Up to KNOWN_LIMIT known texts
+are broadcast, so that nothing is shuffled; more are joined by a shuffle of digests.
 
-Nulls, empty texts and texts of punctuation alone have an empty canonical form and match nothing. Repeated rows give
-repeated results; extra columns aren't read. A known text given twice under one name counts once.
+Only units whose first word (behind leading copyright lines and punctuation) begins like that of a known text are brought into canonical form: no
+other can have a known digest, as no step changes the first letters of a word but for their case.
+
+Nulls, empty texts and texts of punctuation alone have an empty canonical form and match nothing. Very long texts are looked up whole.
+Repeated rows give repeated results; extra columns aren't read. A known text given twice under one name counts once, one given under several
+names gives a row for each.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm._common import prepare, table
 
 KNOWN_LIMIT = 10_000
+#: Letters of the first word by which units are picked; equivalent spellings have at least these in common.
+FIRST_LETTERS = 3
 
 # Names of licences with the notices and texts that stand for them.
 KNOWN = (
@@ -138,7 +147,8 @@ ALL_KNOWN = KNOWN + tuple((a, f"{lead} {b}") for a, b in NAMES for lead in LEADS
 SPELLINGS = (("licenc", "licens"), ("sub licens", "sublicens"), ("organisation", "organization"), ("favour", "favor"), ("honour", "honor"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("programme", "program"), ("non commercial", "noncommercial"), ("copy left", "copyleft"))
 
 COPYRIGHT_LINE = r"(?im)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$"
-PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\p{P}\p{S}\p{Z}]+"
+FIRST_WORD = r"(?i)^(?:(?<![^\n])[ \t/*#;-]*(?:copyright|\(c\)|©)[^\n]*|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\p{P}\p{S}\p{Z}])*+([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\p{P}\p{S}\p{Z}]{1,%d})" % FIRST_LETTERS
 
 
 def canonical(text: Column) -> Column:
@@ -151,17 +161,25 @@ def canonical(text: Column) -> Column:
 
 def scan(docs: DataFrame, known=ALL_KNOWN) -> DataFrame:
     """doc_id, scope (document or line), line_no (from 1; null for a document), license, digest: a row for each hit."""
-    if len(known) > KNOWN_LIMIT:
-        raise ValueError(f"{len(known)} known texts; at most {KNOWN_LIMIT} are broadcast")
     spark = prepare(docs.sparkSession)
     listed = F.array(*(F.struct(F.lit(a).alias("license"), F.lit(b).alias("body")) for a, b in known))
     lookup = spark.range(1).select(F.explode(listed).alias("k")).select(F.col("k.license").alias("license"), F.sha2(canonical(F.col("k.body")), 256).alias("digest")).distinct()
+    begins = sorted({m.lower() for _, b in known if (m := _first_letters(b))})
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("line").alias("scope"), (i + 1).cast("long").alias("line_no"), x.alias("body")))
     whole = F.array(F.struct(F.lit("document").alias("scope"), F.lit(None).cast("long").alias("line_no"), F.col("text").alias("body")))
-    units = docs.select("doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", F.explode(F.concat(whole, lines)).alias("u"))
+    likely = lambda u: F.lower(F.regexp_extract(u["body"], FIRST_WORD, 1)).isin(begins)
+    units = docs.select("doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", F.explode(F.filter(F.concat(whole, lines), likely)).alias("u"))
     units = units.select("doc_id", "u.scope", "u.line_no", canonical(F.col("u.body")).alias("body")).where(F.col("body") != "")
     units = units.select("doc_id", "scope", "line_no", F.sha2("body", 256).alias("digest"))
-    return units.join(F.broadcast(lookup), "digest").select("doc_id", "scope", "line_no", "license", "digest")
+    if len(known) <= KNOWN_LIMIT:
+        lookup = F.broadcast(lookup)
+    return units.join(lookup, "digest").select("doc_id", "scope", "line_no", "license", "digest")
+
+
+def _first_letters(text: str) -> str:
+    """What FIRST_WORD finds in a known text (whose copyright lines, if any, are in ASCII)."""
+    left = re.sub(COPYRIGHT_LINE, "", text)
+    return "".join(c if unicodedata.category(c)[0] not in "PSZC" else " " for c in left).split()[0][:FIRST_LETTERS] if left.strip() else ""
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +193,7 @@ def _sql() -> str:
             out = f"replace({out}, '{a}', '{b}')"
         return f"trim({out})"
 
-    values = ", ".join(f"('{a}', '{b}')" for a, b in KNOWN)
+    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in ALL_KNOWN)
     return f"""
 WITH k AS (SELECT DISTINCT license, sha256({form('body')}) AS digest FROM (VALUES {values}) v(license, body)),
 l AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents WHERE text IS NOT NULL),

@@ -41,6 +41,53 @@ def test_fences_follow_each_group(make):
     assert not kept[5000] and not kept[5001] and kept[5002]  # the same symbols are usual in one source and odd in another
 
 
+def brute_verdicts(rows):
+    """doc_id to kept, from quartiles of the sketch's buckets, computed with plain lists."""
+    counts = {i: Q.measure(t) for i, t, *_ in rows}
+    base = {i: c[0] < 20 or 100 * c[4] > 30 * c[0] for i, c in counts.items()}
+    group = {i: (r[0], r[1]) if r else ("en", "s") for i, _, *r in rows}
+    value = lambda i, m: counts[i][Q.COUNTS.index(m[1])] / d if (d := counts[i][Q.COUNTS.index(m[2])]) else None
+    bucket = lambda v: -100_000 if v <= 1e-6 else int(np.ceil(np.log(v) / np.log(Q.GAMMA)))
+    worth = lambda b: 0.0 if b == -100_000 else Q.GAMMA**b * 2 / (1 + Q.GAMMA)
+
+    def fences(ids, m):
+        b = sorted(bucket(value(i, m)) for i in ids)
+        at = lambda q: worth(b[max(0, int(np.ceil(q * len(b))) - 1)])
+        spread = max(at(0.75) - at(0.25), m[3])
+        return np.array([at(0.25) - Q.FENCE * spread, at(0.75) + Q.FENCE * spread])
+
+    good = [i for i in counts if not base[i]]
+    out = {}
+    for i in counts:
+        own = [j for j in good if group[j] == group[i]]
+        tongue = [j for j in good if group[j][0] == group[i][0]]
+        ok = bool(own) and not base[i]
+        for m in Q.MEASURES if ok else ():
+            share = lambda n: n / (n + Q.PRIOR_ROWS)
+            up = share(len(tongue)) * fences(tongue, m) + (1 - share(len(tongue))) * fences(good, m)
+            low, high = share(len(own)) * fences(own, m) + (1 - share(len(own))) * up
+            v = value(i, m)
+            ok &= v is not None and v <= high and (not m[4] or v >= low)
+        out[i] = ok
+    return out
+
+
+def test_verdicts_against_brute_force(make, spark, sf):
+    rng = np.random.default_rng(9)
+    rows = [(i, clean(rng, int(rng.integers(10, 80))), "en" if i % 3 else "fr", f"s{i % 4}") for i in range(260)]
+    rows += [(1000 + i, clean(rng).replace(" ", " | ", i), "en", "s1") for i in range(40)] + [(2000, clean(rng).upper(), "xx", "own"), (2001, clean(rng), None, None)]
+    assert {r.doc_id: r.kept for r in Q.judge(make(rows)).collect()} == brute_verdicts(rows)
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in real.collect()]
+    verdicts = brute_verdicts(rows)
+    assert {r.doc_id: r.kept for r in Q.judge(real).collect()} == verdicts
+    assert {r.doc_id for r in Q.filter_documents(real).collect()} == {i for i, k in verdicts.items() if k}
+
+
+def test_column_order(make):
+    assert Q.judge(make([(1, "a")])).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
 def test_sketch_merges_and_bounds():
     values = np.random.default_rng(2).gamma(2, 3, 5000)
     buckets = np.ceil(np.log(values) / np.log(Q.GAMMA)).astype(int)
@@ -64,3 +111,11 @@ def test_whole_licence_texts_and_all_lead_ins(make):
     got = {(r.doc_id, r.scope, r.license) for r in license_scan.scan(make(rows)).collect()}
     assert {(i, "document", a) for i, a in enumerate(sorted(texts))} <= got
     assert {(100, "document", "MIT"), (101, "line", "CC-BY-NC-4.0"), (102, "document", "CC-BY-4.0")} <= got
+
+
+def test_punctuation_of_any_script_and_many_known_texts(make, monkeypatch):
+    rows = [(1, "x\n\u201cReleased under the\u00a0MIT License\u201d\u2014"), (2, "\u00a9 2020 A\n\u2022 Licensed under CC BY\u2011SA 4.0."), (3, "! copyright licensed\nx"), (4, "(c) A\n/* copyright B\nAll rights reserved")]
+    want = [(1, "line", "MIT"), (2, "document", "CC-BY-SA-4.0"), (2, "line", "CC-BY-SA-4.0"), (4, "document", "LicenseRef-All-Rights-Reserved"), (4, "line", "LicenseRef-All-Rights-Reserved")]
+    assert sorted((r.doc_id, r.scope, r.license) for r in license_scan.scan(make(rows)).collect()) == want
+    monkeypatch.setattr(license_scan, "KNOWN_LIMIT", 5)  # more known texts than are broadcast
+    assert sorted((r.doc_id, r.scope, r.license) for r in license_scan.scan(make(rows)).collect()) == want
