@@ -1,15 +1,15 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 A text's words are runs of word characters, lower-cased; its shingles are runs of five words (an item of fewer words is one
-shingle). For each benchmark item of L words the windows of L words of a document are fingerprinted: each shingle votes
-on 128 bits with the weight ln(1 + N / items that hold it). A window without any shingle of an item of its size can't
+shingle). A shingle weighs the letters of its words, which no other text has a say in. For each benchmark item of L words the windows of L words of a document are fingerprinted: each shingle votes
+on 128 bits with its weight. A window without any shingle of an item of its size can't
 reach the similarity that is asked for, so only windows with one are formed, by differences of running sums. An index over
 RADIUS + 1 blocks of bits finds all items whose fingerprint is within RADIUS: within it one block at least is the same.
 Each candidate is verified by exact weighted Jaccard similarity of the shingle multisets, at least THRESHOLD.
 
-The benchmark is sent to the executors in slices of at most SLICE_ROWS items, so what is broadcast has a bound whatever its
-size; documents are never shuffled. A document shorter than an item is one window. Null, empty or wordless texts and items
-match nothing; repeated items are each reported; an empty table gives an empty result; extra columns pass by.
+The benchmark is sent to the executors in slices of about SLICE_ROWS items and SLICE_BYTES of text at most, so what is broadcast has a bound whatever its
+size; results don't depend on the slices. Documents are never shuffled; they are read once for each slice. A document shorter than an item is one window. Null, empty or wordless texts and items
+match nothing; very long texts are searched whole, in groups of windows; repeated items are each reported, under ids of any type; of windows that are equally similar the first one counts; an empty table gives an empty result; extra columns pass by.
 """
 
 from __future__ import annotations
@@ -23,18 +23,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from foliospark.llm._common import WordHashes, mix, prepare, shingle_hashes, table
 
 SIZE, THRESHOLD, BITS, RADIUS = 5, 0.8, 128, 36
-SLICE_ROWS = 20_000
+SLICE_ROWS, SLICE_BYTES = 20_000, 32_000_000
 _WORDS = re.compile(r"\w+")
 _memo = WordHashes()
 
 
-def words_of(text: str | None) -> np.ndarray:
+def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and lengths of the words of a text."""
     found = _WORDS.findall(text.lower()) if text else []
-    return np.fromiter((_memo[w.encode("utf-8", "surrogatepass")] for w in found), np.uint64, len(found))
+    return np.fromiter((_memo[w.encode("utf-8", "surrogatepass")] for w in found), np.uint64, len(found)), np.fromiter(map(len, found), np.float64, len(found))
+
+
+def shingles_of(words: tuple[np.ndarray, np.ndarray], size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of the shingles of a text; with fewer words than size all of them are one."""
+    hashes, lengths = words
+    if not len(hashes):
+        return hashes, lengths
+    upto = np.append(0.0, np.cumsum(lengths))
+    k = min(size, len(hashes))
+    return shingle_hashes(hashes, size), upto[k:] - upto[:-k]
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
@@ -47,22 +59,19 @@ class Index:
     """Items by shingle, and their fingerprints by block; see the module."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        rows = [(i, w) for i, t in items if len(w := words_of(t))]
+        rows = [(i, w) for i, t in items if len((w := words_of(t))[0])]
         self.ids = [i for i, _ in rows]
-        self.lengths = np.array([len(w) for _, w in rows], np.int64)
-        self.shingles = [shingle_hashes(w, SIZE) for _, w in rows]
-        held = Counter(h for s in self.shingles for h in set(s.tolist()))
-        self.weights = {h: float(np.log(1 + len(rows) / n)) for h, n in held.items()}
-        self.other = float(np.log(1 + max(1, len(rows))))
-        self.counts = [Counter(s.tolist()) for s in self.shingles]
-        self.totals = [sum(self.weights[h] * n for h, n in c.items()) for c in self.counts]
-        self.known = np.array(sorted(held), np.uint64)
+        self.lengths = np.array([len(w[0]) for _, w in rows], np.int64)
+        shingles = [shingles_of(w) for _, w in rows]
+        self.counts = [Counter(h.tolist()) for h, _ in shingles]
+        self.totals = [float(w.sum()) for _, w in shingles]
+        self.known = np.unique(np.concatenate([np.empty(0, np.uint64), *(h for h, _ in shingles)]))
         self.by_shingle: dict[int, set[int]] = defaultdict(set)
         for j, c in enumerate(self.counts):
             for h in c:
                 self.by_shingle[h].add(int(self.lengths[j]))
         self.edges = np.linspace(0, BITS, RADIUS + 2).astype(int)
-        prints = np.array([self._vote(s) for s in self.shingles], bool).reshape(-1, BITS)
+        prints = np.array([(_signs(h) * w[:, None]).sum(axis=0) > 1e-6 for h, w in shingles], bool).reshape(-1, BITS)
         self.prints = prints
         self.blocks: list[dict[int, np.ndarray]] = []
         for a, b in zip(self.edges, self.edges[1:], strict=False):
@@ -76,18 +85,13 @@ class Index:
     def _value(prints: np.ndarray, a: int, b: int) -> np.ndarray:
         return prints[:, a:b] @ (1 << np.arange(b - a))
 
-    def _weigh(self, hashes: np.ndarray) -> np.ndarray:
-        return np.fromiter((self.weights.get(h, self.other) for h in hashes.tolist()), np.float32, len(hashes))
-
-    def _vote(self, hashes: np.ndarray) -> np.ndarray:
-        return (_signs(hashes) * self._weigh(hashes)[:, None]).sum(axis=0) > 0
-
-    def similarity(self, hashes: np.ndarray, j: int) -> float:
+    def similarity(self, hashes: np.ndarray, weights: np.ndarray, j: int) -> float:
         """Weighted Jaccard similarity of a multiset of shingles and item j."""
         shared = rest = 0.0
         item = self.counts[j]
+        weight = dict(zip(hashes.tolist(), weights.tolist(), strict=True))
         for h, n in Counter(hashes.tolist()).items():
-            w, m = self.weights.get(h, self.other), item.get(h, 0)
+            w, m = weight[h], item.get(h, 0)
             shared += w * min(n, m)
             rest += w * max(0, n - m)
         return shared / (self.totals[j] + rest)
@@ -96,22 +100,23 @@ class Index:
         """Item number, similarity, first word (from 0) and words of the best window for each item found."""
         words = words_of(text)
         best: dict[int, tuple[float, int, int]] = {}
-        for size in {SIZE, *self.short} if len(words) else ():
-            if len(words) < size and size != SIZE:
+        n_words = len(words[0])
+        for size in {SIZE, *self.short} if n_words else ():
+            if n_words < size and size != SIZE:
                 continue
-            hashes = shingle_hashes(words, size)
+            hashes, weights = shingles_of(words, size)
             at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
             hits = np.flatnonzero(self.known[at] == hashes) if len(self.known) else at[:0]
             places = defaultdict(list)
             for h in hits.tolist():
                 for length in self.by_shingle[int(hashes[h])]:
-                    if min(length, SIZE) == min(size, len(words)):
+                    if min(length, SIZE) == min(size, n_words):
                         places[length].append(h)
             for length, near in places.items():
-                self._windows(hashes, length, np.array(near), best)
+                self._windows(hashes, weights, length, np.array(near), best)
         return [(j, *x) for j, x in sorted(best.items())]
 
-    def _windows(self, hashes: np.ndarray, length: int, near: np.ndarray, best: dict) -> None:
+    def _windows(self, hashes: np.ndarray, weights: np.ndarray, length: int, near: np.ndarray, best: dict) -> None:
         span = min(max(1, length - SIZE + 1), len(hashes))  # shingles of a window
         last = len(hashes) - span
         edge = np.zeros(last + 2, np.int64)
@@ -121,7 +126,7 @@ class Index:
         for group in np.split(starts, np.arange(4096, len(starts), 4096)):
             lo, hi = int(group[0]), int(group[-1]) + span
             sums = np.zeros((hi - lo + 1, BITS), np.float64)
-            np.cumsum(_signs(hashes[lo:hi]) * self._weigh(hashes[lo:hi])[:, None], axis=0, out=sums[1:], dtype=np.float64)
+            np.cumsum(_signs(hashes[lo:hi]) * weights[lo:hi, None], axis=0, out=sums[1:], dtype=np.float64)
             prints = (sums[group - lo + span] - sums[group - lo]) > 1e-6
             found: set[tuple[int, int]] = set()
             for k, (a, b) in enumerate(zip(self.edges, self.edges[1:], strict=False)):
@@ -135,7 +140,7 @@ class Index:
             pairs = np.array(sorted(found))
             for w, j in pairs[(prints[pairs[:, 0]] != self.prints[pairs[:, 1]]).sum(axis=1) <= RADIUS].tolist():
                 p = int(group[w])
-                s = self.similarity(hashes[p : p + span], j)
+                s = self.similarity(hashes[p : p + span], weights[p : p + span], j)
                 if s >= THRESHOLD - 1e-12 and (j not in best or s > best[j][0]):
                     best[j] = (s, p, min(length, len(hashes) + SIZE - 1))
 
@@ -154,12 +159,13 @@ def _here(sent, key) -> Index:
 def _slices(benchmark: DataFrame) -> Iterator[tuple[object, tuple]]:
     spark = prepare(benchmark.sparkSession)
     items = benchmark.select("item_id", "text").where("text is not null")
-    n = -(-items.count() // SLICE_ROWS)
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    n = max(-(-rows // SLICE_ROWS), -(-size // SLICE_BYTES))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = sorted((tuple(r) for r in part.collect()), key=repr)
-        sent = spark.sparkContext.broadcast(rows)
-        yield sent, (id(sent), len(rows), hash(tuple(rows)))
+        held = sorted((tuple(r) for r in part.collect()), key=repr)
+        sent = spark.sparkContext.broadcast(held)
+        yield sent, (id(sent), len(held), hash(tuple(held)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,11 +180,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 rows = [(i, *m) for i, t in enumerate(batch.column(1)) for m in index.matches(t.as_py())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.ids[r[1]] for r in rows], pa.int64()).cast(to_arrow), *(pa.array([r[c] for r in rows], kind) for c, kind in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
+                    [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.ids[r[1]] for r in rows], to_arrow), *(pa.array([r[c] for r in rows], kind) for c, kind in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
                     names=["doc_id", "item_id", "similarity", "start_word", "n_words"],
                 )
 
-        to_arrow = pa.int64() if item_kind == "bigint" else pa.int32()
+        to_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
     found = [slice_(*x) for x in _slices(benchmark)]

@@ -15,14 +15,15 @@ def items(spark):
 def brute(index, text):
     """Best similarity over all windows of each item's size, without SimHash."""
     words = D.words_of(text)
+    n_words = len(words[0])
     out = {}
     for j, length in enumerate(index.lengths.tolist()):
         size = min(D.SIZE, length)
-        if len(words) < size:
+        if n_words < size:
             continue
-        h = D.shingle_hashes(words, size if length < D.SIZE else D.SIZE)
+        h, w = D.shingles_of(words, size if length < D.SIZE else D.SIZE)
         span = min(max(1, length - D.SIZE + 1), len(h))
-        best = max(index.similarity(h[p : p + span], j) for p in range(len(h) - span + 1))
+        best = max(index.similarity(h[p : p + span], w[p : p + span], j) for p in range(len(h) - span + 1))
         if best >= D.THRESHOLD - 1e-12:
             out[index.ids[j]] = round(best, 9)
     return out
@@ -51,6 +52,20 @@ def test_same_as_all_windows(items, make):
     assert len(got) > 10 and got[501] == {5: 1.0} and got[500] == {6: 1.0}
 
 
+def test_slices_change_nothing(items, make, spark, monkeypatch):
+    """Items by the slice, with ids of text."""
+    rows, table = items
+    docs = make([(i, f"before it {t} and after") for i, t in rows if t] + [(50, None), (51, "")])
+    named = table.selectExpr("concat('item ', item_id) AS item_id", "text")
+    once = sorted(D.leaks(docs, named).collect())
+    monkeypatch.setattr(D, "SLICE_ROWS", 3)
+    assert once == sorted(D.leaks(docs, named).collect()) and len(once) >= 8 and {r.item_id for r in once} >= {"item 2", "item 9"}
+    monkeypatch.setattr(D, "SLICE_ROWS", 100)
+    monkeypatch.setattr(D, "SLICE_BYTES", 200)
+    assert once == sorted(D.leaks(docs, named).collect())
+    assert {r.doc_id for r in D.clean(docs, named).collect()} == {50, 51} | ({i for i, t in rows if t} - {r.doc_id for r in once})
+
+
 def test_index_finds_all_within_radius():
     rng = np.random.default_rng(4)
     index = D.Index([(i, " ".join(f"a{x}" for x in rng.integers(0, 10**6, 30))) for i in range(50)])
