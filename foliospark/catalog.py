@@ -129,9 +129,9 @@ def doc_plain_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return plain_text.to_markdown(table(spark, sf, "documents"))
 
 
-@query(f"SELECT doc_id, {_s(_YAML, 'left(text, 40)')} AS scalar FROM documents")
+@query(f"SELECT doc_id, {_s(_YAML, 'text')} AS scalar FROM documents")
 def yaml_quote(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", md.yaml_scalar(F.substring("text", 1, 40)).alias("scalar"))
+    return table(spark, sf, "documents").select("doc_id", md.yaml_scalar("text").alias("scalar"))
 
 
 @query(f"SELECT p_partkey, '---' || chr(10) || 'title: ' || {_s(_YAML, 'p_name')} || chr(10) || 'brand: ' || {_s(_YAML, 'p_brand')} || chr(10) || 'size: ' || {_s(_YAML, 'CAST(p_size AS VARCHAR)')} || chr(10) || '---' AS front FROM part")
@@ -418,7 +418,7 @@ def _as_files(spark: SparkSession, sf: str) -> DataFrame:
 (SELECT 'page-' || page_id || '.html' AS name, 'html' AS ext, lower(ltrim(left(html, 1024))) AS h FROM pages UNION ALL SELECT 'text-' || doc_id || '.txt', 'txt', lower(ltrim(left(text, 1024))) FROM documents)"""
 )
 def detect_format(spark: SparkSession, sf: str) -> DataFrame:
-    return convert_plan.convert_files(_as_files(spark, sf)).select("name", "format")
+    return convert_plan.detected(_as_files(spark, sf))
 
 
 @query()

@@ -66,29 +66,23 @@ def to_cells(rows: DataFrame, keys: list[str], order: list[str], columns: list[s
 # -------------------------------------------------------------- delimited text
 
 
-def _outside_quotes(line: Column, delimiter: str) -> Column:
-    """Delimiters of a line outside quotes; a doubled quote inside quotes stays inside."""
-    bare = F.regexp_replace(line, '"(?:[^"]|"")*("|$)', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))
-
-
 def sniff_delimiter(text) -> Column:
-    """The delimiter with the best score over the first 8192 characters and 20 lines: mean * n - 2 * variance of the non-zero counts."""
+    """The delimiter with the best score over the first 8192 characters and 20 lines: mean * n - 2 * variance of the non-zero counts outside quotes.
+
+    Each line is read once: quoted parts are taken out (a doubled quote stays inside), the counts of all delimiters go into running sums.
+    """
     text = F.col(text) if isinstance(text, str) else text
     sample = F.slice(F.split(F.substring(text, 1, 8192), "\r?\n", -1), 1, 20)
-
-    def scored(d: str) -> Column:
-        counts = F.filter(F.transform(sample, lambda x: _outside_quotes(x, d).cast("double")), lambda n: n > 0)
-        n = F.size(counts)
-        mean = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) / n
-        var = F.aggregate(counts, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-        return F.when(n > 0, mean * n - 2 * var).otherwise(F.lit(-1.0))
-
-    best, score = F.lit(","), F.lit(-1.0)
-    for d in DELIMITERS:
-        s = scored(d)
-        best, score = F.when(s > score, F.lit(d)).otherwise(best), F.greatest(s, score)
-    return best
+    bare = F.transform(sample, lambda x: F.regexp_replace(x, '"(?:[^"]|"")*("|$)', ""))
+    counts = F.transform(bare, lambda x: F.array(*((F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))).cast("double") for d in DELIMITERS)))
+    sums = lambda n, s, q: F.struct(n.alias("n"), s.alias("s"), q.alias("q"))
+    none = F.array_repeat(sums(F.lit(0.0), F.lit(0.0), F.lit(0.0)), len(DELIMITERS))
+    added = F.aggregate(counts, none, lambda held, line: F.zip_with(held, line, lambda a, c: sums(a["n"] + F.when(c > 0, 1.0).otherwise(0.0), a["s"] + c, a["q"] + c * c)))
+    score = lambda a: F.when(a["n"] > 0, F.round(a["s"] - 2 * (a["q"] / a["n"] - (a["s"] / a["n"]) * (a["s"] / a["n"])), 9)).otherwise(F.lit(-1.0))
+    best = F.array_max(F.transform(added, lambda a, i: F.struct(score(a).alias("score"), (-i).alias("place"))))
+    named = F.struct(best.alias("best"))
+    chosen = F.element_at(F.transform(F.array(named), lambda x: F.when(x["best"]["score"] > -1, F.element_at(F.array(*map(F.lit, DELIMITERS)), 1 - x["best"]["place"])).otherwise(F.lit(","))), 1)
+    return chosen
 
 
 def delimited_cells(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -36,7 +36,7 @@ def detect(name: str, data: bytes) -> tuple[str, str]:
     """Format and label; the first rule that fits counts."""
     ext = extension_of(name)
     if ext in SHORTCUTS:
-        raise Refused(f"A .{ext} file is only a link to an online document. Download the document as {SHORTCUTS[ext]} and convert that.")
+        raise Refused(f"Only a pointer to an online document is stored in a .{ext} file; export it as {SHORTCUTS[ext]} first.")
     if data.startswith(b"%PDF"):
         return "pdf", "PDF"
     if data.startswith(b"{\\rtf"):
@@ -44,7 +44,7 @@ def detect(name: str, data: bytes) -> tuple[str, str]:
     if data.startswith(b"PK") and len(data) > 4:
         return detect_package(data, ext)
     if data.startswith(b"\xd0\xcf\x11\xe0"):
-        raise Refused("This is a legacy binary Office file (.doc, .xls or .ppt). Save it as .docx, .xlsx or .pptx and convert that.")
+        raise Refused("Binary Office formats from before 2007 are not supported; resave the file in the XML-based form (docx, xlsx, pptx).")
     if data.startswith((b"\x89PNG", b"\xff\xd8\xff", b"GIF8", b"BM")) or data.startswith(b"RIFF") and data[8:10] == b"WE" or ext in IMAGES - {"svg"}:
         return "image", "Image"
     if ext in ("eml", "mht", "mhtml"):
@@ -54,7 +54,7 @@ def detect(name: str, data: bytes) -> tuple[str, str]:
     if ext in ("html", "htm", "xhtml"):
         return "html", "HTML"
     if not looks_textual(data):
-        raise Refused(f"“{name}” does not look like a document that can be read.")
+        raise Refused(f"No known format fits “{name}”, and its bytes are not text.")
     head = decode(data[:1024])[0].lstrip().lower()
     if head.startswith(("<!doctype html", "<html")) or "<body" in head:
         return "html", "HTML"
@@ -67,7 +67,7 @@ def detect_package(data: bytes, ext: str) -> tuple[str, str]:
     try:
         package = Package(data)
     except PackageError as e:
-        raise Refused(f"This ZIP-based file could not be opened: {e}") from e
+        raise Refused(f"The file’s ZIP container is damaged: {e}") from e
     for part, found in (("word/document.xml", ("docx", "Word (.docx)")), ("xl/workbook.xml", ("xlsx", "Excel (.xlsx)")), ("ppt/presentation.xml", ("pptx", "PowerPoint (.pptx)"))):
         if part in package:
             return found
@@ -76,7 +76,7 @@ def detect_package(data: bytes, ext: str) -> tuple[str, str]:
         return "epub", "EPUB"
     if kind.startswith("application/vnd.oasis.opendocument") or "content.xml" in package:
         return "odf", "OpenDocument " + ("spreadsheet" if "spreadsheet" in kind else "presentation" if "presentation" in kind else "text")
-    raise Refused(f"“.{ext}” is a ZIP archive, but not a document format. Unzip it first and convert the files inside.")
+    raise Refused(f"The .{ext} archive holds no known kind of document; unpack it and convert its files one by one.")
 
 
 def _delimited(name: str, data: bytes, out: Output) -> str:
@@ -108,7 +108,7 @@ def run(name: str, data: bytes, options: Options) -> dict:
     """format, label, markdown (without front matter), meta, warnings, images, error."""
     blank = {"format": None, "label": None, "markdown": None, "meta": {}, "warnings": [], "images": 0, "error": None}
     if len(data) > SIZE_LIMIT:
-        return blank | {"error": "The file is larger than 200 MB."}
+        return blank | {"error": f"Files of over {SIZE_LIMIT >> 20} MB are not converted."}
     try:
         kind, label = detect(name, data)
     except Refused as e:

@@ -24,7 +24,7 @@ SCHEMA = "name string, format string, label string, markdown string, meta array<
 def route(files: DataFrame) -> DataFrame:
     """files with early_error (too large, or only a link) and is_markdown (opened as it is, not converted)."""
     ext = md.extension("name")
-    early = F.when(F.col("length") > SIZE_LIMIT, "The file is larger than 200 MB.").when(ext.isin(*SHORTCUTS), F.concat(F.lit("A ."), ext, F.lit(" file is only a link to an online document.")))
+    early = F.when(F.col("length") > SIZE_LIMIT, f"Files of over {SIZE_LIMIT >> 20} MB are not converted.").when(ext.isin(*SHORTCUTS), F.concat(F.lit("Only a pointer to an online document is stored in a ."), ext, F.lit(" file.")))
     return files.withColumns({"early_error": early, "is_markdown": F.col("name").rlike(md.MARKDOWN_NAME)})
 
 
@@ -42,6 +42,27 @@ def quick_format(head, name):
     )
 
 
+def detected(files: DataFrame) -> DataFrame:
+    """name, format of each row of files (name, content, length); only what the first bytes and the name leave open goes to Python. Null where there is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from foliospark.parse.convert import Refused, detect
+
+        for batch in batches:
+            found = []
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                try:
+                    found.append(detect(name, bytes(content or b""))[0])
+                except Refused:
+                    found.append(None)
+            yield pd.DataFrame({"name": batch["name"], "format": pd.Series(found, dtype=object)})
+
+    prepare(files.sparkSession)
+    routed = route(files).withColumn("format", F.when(F.col("early_error").isNull(), quick_format(F.substring("content", 1, 16), F.col("name"))))
+    known = routed.where("format is not null or early_error is not null").select("name", "format")
+    return known.unionByName(routed.where("format is null and early_error is null").select("name", "content").mapInPandas(run, "name string, format string"))
+
+
 def converted(files: DataFrame, options: Options | None = None) -> DataFrame:
     """name and the parser's result for each row of files (name, content)."""
     options = options or Options()

@@ -12,6 +12,9 @@ _ROOT = str(Path(__file__).resolve().parents[1])
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.chunkBase64String.enabled": "false",  # data URIs must not hold line breaks
+    # Files may have some hundred MB: a worker holds few of them at a time.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 

@@ -106,7 +106,7 @@ def test_others(name, data, part):
     assert part in text(name, data)
 
 
-@pytest.mark.parametrize(("name", "data", "part"), [("m.doc", b"\xd0\xcf\x11\xe0xx", "legacy"), ("n.gdoc", b"{}", "Word"), ("o.bin", b"\0\1\2", "does not look"), ("p.zip", package({"a": "b"}), "ZIP archive"), ("q.pdf", b"%PDF-1.4", "no text"), ("r.docx", b"PK\x03\x04 damaged", "could not be opened")])
+@pytest.mark.parametrize(("name", "data", "part"), [("m.doc", b"\xd0\xcf\x11\xe0xx", "before 2007"), ("n.gdoc", b"{}", "Word"), ("o.bin", b"\0\1\2", "No known format"), ("p.zip", package({"a": "b"}), "no known kind"), ("q.pdf", b"%PDF-1.4", "no text"), ("r.docx", b"PK\x03\x04 damaged", "is damaged")])
 def test_refused(name, data, part):
     assert part in run(name, data, Options())["error"]
 
