@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import tempfile
@@ -66,7 +67,19 @@ def materialize(df: DataFrame, name: str = "t", compression: str = "zstd") -> Da
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more, and have the driver drop what shuffles have left behind."""
+    for df in frames:
+        if path := getattr(df, "_written_to", None):
+            _delete(df.sparkSession, path)
+    gc.collect()
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def crc_text(column) -> "F.Column":

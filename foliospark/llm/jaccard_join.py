@@ -16,12 +16,13 @@ the memberships aside, so that no bucket gathers a hot signature. What comes bac
 the memberships (signature, node) of signatures that several nodes have: linear in the signatures, no pairs.
 1. Each node is verified against its smallest candidate, and the links are contracted to components.
 2. Signatures whose nodes are of one component are done. Of the others, those of up to SMALL nodes give their pairs of different components.
-A pair that this leaves open shares TIMES segments that are all in larger ones; nodes with fewer such segments go, which makes groups
-smaller, and so on for up to ROUNDS rounds.
+A pair that this leaves open shares TIMES segments that are all in larger ones: the rarest of them still joins the two if each node gives up
+its most frequent signatures, of TIMES - 1 segments. That leaves few nodes and small groups; there are up to ROUNDS rounds.
 Larger groups give, in each round, the pairs of their nodes with one of them, picked by a hash of the round: linear, and most of a family of copies is one component soon.
-3. What is still larger and of several components is *hot*. Its nodes are written as differences D(x) from a pivot q (a node of the component of the one picked last): two sets
-differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles whatever q is, so linked nodes of which one isn't linked to q must share much of their
-differences. A prefix filter over the differences, by bands of |D| of the larger one and with shingles that q lacks first, rare ones before others, finds every such pair. Near copies of one text
+3. What is still larger and of several components is *hot*. Its nodes are written as differences D(x) from a centre q (what most of a sample of
+the nodes have of one of them): two sets differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles whatever q is. Either |D(x)| and |D(y)| alone are small enough, then both
+are linked to the node with the least difference for its size, or linked nodes share some of their differences. A prefix filter over the
+differences, by bands of |D| of the larger one and with shingles that q lacks first, rare ones before others, finds every such pair. Near copies of one text
 differ from it each in its own way, and texts that share a passage each have a rest of their own, so that neither yields pairs that don't link.
 4. Sets uncovered to the last meet by a prefix filter of their own.
 All candidates pass sizes and a sketch of 256 counts (which only drop pairs that can't link) and are then verified exactly on the whole sets.
@@ -39,10 +40,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import materialize, mix, prepare, shingle_hashes, table, word_hashes
+from foliospark.llm._common import materialize, mix, prepare, release, shingle_hashes, table, word_hashes
 from foliospark.llm.components import connected_components
 
 SIZE, NUM, DEN = 5, 80, 100
@@ -50,8 +51,8 @@ GROWTH = 1.5
 #: What a shingle of an uncovered set costs, in signatures: it is cut once more.
 UNCOVERED = 2
 SMALL = 8
-#: Segments that a linked pair has in common at least (the number of a segment is a signature's lowest byte), and rounds in which nodes with fewer go.
-TIMES, ROUNDS = 3, 3
+#: Segments that a linked pair has in common at least (the number of a segment is a signature's lowest byte); rounds of step 2.
+TIMES, ROUNDS = 4, 3
 ANY_SEGMENT = 255
 #: Cuts of the universe that an uncovered set goes through.
 CUTS = 4
@@ -59,6 +60,8 @@ CUTS = 4
 BUCKET, FLUSH = 400_000, 500_000
 #: Counters that order the shingles of hot groups, and how many of them one row holds.
 COUNTERS, COUNTER_PART = 1 << 20, 1 << 14
+#: Nodes of a hot group, about, that make its centre.
+SAMPLE = 12
 _U = np.uint64
 
 
@@ -328,6 +331,10 @@ def _met_in_bucket(rows: pa.Table) -> pa.Table:
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
     order, start, size = _runs(sig, node)
     sig, node = sig[order], node[order]
+    once = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+    if not once.all():  # a node may come from several tasks
+        sig, node = sig[once], node[once]
+        _, start, size = _runs(sig, node)
     bucket = rows.column("bucket")[0].as_py()
     name = (_U(bucket << 8 * SIG_BYTES) | sig).astype(np.int64)
     kind, node, other = _shared(name, node, start, size, size > 1)
@@ -414,29 +421,23 @@ def difference_bands(upto: int = 1 << 40) -> np.ndarray:
 
 
 def difference_prefixes(x: np.ndarray, q: np.ndarray, often: np.ndarray) -> tuple[int, list[tuple[int, int, np.ndarray]]]:
-    """|D| of a sorted set x against its pivot q, and (band, roles, shingles): what x shares with a linked partner that differs from q by no less (1) or no more (2), or either (3).
+    """|D| of a sorted set x against its centre q, and (band, roles, shingles): what x shares with a linked partner that differs from q by no less (1) or no more (2), or either (3).
 
     Linked sets of sizes n and m differ in at most (n + m) / 9 shingles, so in n / 4. With D >= E the sizes of both differences,
-    they share at least (D + E - n / 4) / 2 elements of their differences, and at least D - n / 4. If one of the two isn't linked to q, that number is positive.
+    they share at least (D + E - n / 4) / 2 elements of their differences, and at least D - n / 4; pairs with D + E <= (n + m) / 9 may share none.
     """
-    n, m = len(x), len(q)
     added, removed = np.setdiff1d(x, q, assume_unique=True), np.setdiff1d(q, x, assume_unique=True)
     added = added[np.lexsort((added, often[_cell(added)]))]
-    diff = np.concatenate([added, removed])  # one order for all sets with this pivot
-    d, most, first = len(diff), n // 4, difference_bands()
+    diff = np.concatenate([added, removed])  # one order for all sets with this centre
+    d, most, first = len(diff), len(x) // 4, difference_bands()
     if not d:
         return 0, []
-    out, near = [], (DEN + NUM) * d <= (DEN - NUM) * (n + m)
-    least_far = (NUM * n + DEN * m) * (DEN - NUM) // (DEN * (DEN + NUM))  # a partner of up to so many differences is linked to q itself
-    own = int(np.searchsorted(first, d, side="right")) - 1
-    more = most + 1 if d > least_far else 0  # else a partner that differs less is linked to q too
-    band = own
+    band = int(np.searchsorted(first, d, side="right")) - 1
+    less = most // 2 + 1
+    out = [(band, 3, diff[:less]), (band, 2, diff[less : most + 1])]
+    band += 1
     while first[band] <= d + most:
-        less = (d - max(int(first[band]), d) + most) // 2 + 1 if not near or first[band + 1] - 1 > least_far else 0
-        if band > own or not more:
-            out.append((band, 1, diff[:less]))
-        else:
-            out += [(band, 3, diff[:less]), (band, 2, diff[less:more])]
+        out.append((band, 1, diff[: (d - int(first[band]) + most) // 2 + 1]))
         band += 1
     return d, [x for x in out if len(x[2])]
 
@@ -468,22 +469,65 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _differing(often: Callable[[], np.ndarray]) -> Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, bool]]]:
-    """Of pivot, node, the pivot's set and the node's: 4 * node + roles and the keys of its differences."""
+def _centres(sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """a, centre: of each pivot a (a, b: it and its nodes) the shingles that half of a sample of its nodes have; any set would do, a good one leaves small differences."""
+    size = asked.groupBy("a").agg(F.count("*").alias("k"))
+    some = asked.join(size, "a").where(f"pmod(xxhash64(b), greatest(1L, k div {SAMPLE})) = 0").select("a", "b")
 
-    def of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, bool]]:
-        last, q = None, None
-        for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if a != last:
-                last, q = a, _unpack(x.as_py())
-            keys: dict[int, list] = {1: [], 2: [], 3: []}
-            for band, role, shingles in difference_prefixes(_unpack(y.as_py()), q, often())[1]:
-                keys[role].append(mix(shingles ^ mix(np.array([a * 1024 + band], np.int64).astype(_U))))
-            for role, found in keys.items():
-                if found:
-                    yield 4 * b + role, np.concatenate(found), True
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, q, n, out = None, np.empty(0, _U), None, []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if a != last:
+                    last, q, n = a, _unpack(x.as_py()), 0
+                out.append(np.isin(q, _unpack(y.as_py()), assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["a", "set_a", "has"])
+
+    def centre(rows: pa.Table) -> pa.Table:
+        q = _unpack(rows.column("set_a")[0].as_py())
+        has = np.zeros(len(q), np.int64)
+        for x in rows.column("has"):
+            x = np.frombuffer(x.as_py(), np.bool_)
+            has += x if len(x) == len(q) else 0  # a doc_id with rows of several sets: any of them
+        return pa.table([rows.column("a").slice(0, 1), pa.array([_pack(q[2 * has >= rows.num_rows])], pa.binary())], names=["a", "centre"])
 
-    return of
+    met = _facing(sets, some).select("a", "set_a", "set").mapInArrow(held, "a long, set_a binary, has binary")
+    return materialize(met.groupBy("a").applyInArrow(centre, "a long, centre binary"), "centres", "none")
+
+
+def _differences(sets: DataFrame, asked: DataFrame, centres: DataFrame, often: Callable[[], np.ndarray]) -> DataFrame:
+    """a, b, n, d (size of the difference of b from the centre of a), keys1, keys2, keys3 (by role) for each row of asked."""
+    names = ["a", "b", "n", "d", "keys1", "keys2", "keys3"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, q = None, None
+        for batch in batches:
+            sizes, ds, made = [], [], ([], [], [])
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, q = a, _unpack(x.as_py())
+                s = _unpack(y.as_py())
+                d, prefixes = difference_prefixes(s, q, often())
+                sizes.append(len(s))
+                ds.append(d)
+                keys: dict[int, list] = {1: [], 2: [], 3: []}
+                for band, role, shingles in prefixes:
+                    keys[role].append(mix(shingles ^ mix(np.array([a * 1024 + band], np.int64).astype(_U))))
+                for role, found in keys.items():
+                    made[role - 1].append(np.concatenate(found).tobytes() if found else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ds, pa.int64()), *(pa.array(m, pa.binary()) for m in made)], names=names)
+
+    far = _only(sets, asked.withColumnRenamed("b", "node"))
+    both = centres.join(far, "a").select("a", F.col("node").alias("b"), "centre", "set")
+    return materialize(both.mapInArrow(run, "a long, b long, n long, d long, keys1 binary, keys2 binary, keys3 binary"), "differences", "none")
+
+
+def _keyed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """Of b, keys1, keys2, keys3: 4 * b + roles and the keys."""
+    for b, *keys in zip(batch.column(0).to_pylist(), *batch.columns[1:4], strict=True):
+        for role, x in enumerate(keys, 1):
+            if x := x.as_py():
+                yield 4 * b + role, np.frombuffer(x, _U), True
 
 
 def _smallest(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, bool]]:
@@ -505,49 +549,63 @@ def join_groups(docs: DataFrame) -> DataFrame:
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(64, math.ceil(1.4 * total / BUCKET))
     found = materialize(met_in_buckets(own.select(F.col("doc_id").alias("node"), "set"), _signed, buckets), "found")
+    bare = materialize(found.where(f"kind = {BARE}").select("node").distinct(), "bare")
     # 1. Each node against its smallest candidate; what that connects needs no other pair.
     first = found.where(f"kind = {FIRST}").groupBy(F.col("node").alias("b")).agg(F.min("other").alias("a"))
     links = _verified(sets, _likely(first, reps), "first").unionAll(materialize(several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "several"))
     components = materialize(connected_components(links), "components")
     # 2. Signatures that nodes of several components have.
     members = found.where(f"kind = {MEMBER}").select("node", F.col("other").alias("sig"))
+    written = [first]
     for k in range(ROUNDS):
-        placed = _with_component(members, components, "node", "component")
-        placed = materialize(placed, "members") if k == 0 else placed
+        placed = materialize(_with_component(members, components, "node", "component"), "placed")
         pivot = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")).alias("p")
         groups = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot, F.count("*").alias("times"))
-        groups = groups.where("low <> high").select("sig", F.col("p.node").alias("pivot"), F.col("p.component").alias("of"), (F.col("times") > SMALL).alias("hot"))
-        members = materialize(placed.join(groups, "sig"), "members")
-        stars = members.where("hot and component <> of").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        pairs = _pairs_of(members.where("not hot")).unionAll(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        groups = groups.where("low <> high").select("sig", F.col("p.node").alias("pivot"), F.col("p.component").alias("of"), "times", (F.col("times") > SMALL).alias("hot"))
+        joined = materialize(placed.join(groups, "sig"), "members")
+        release(placed, *written)
+        stars = joined.where("hot and component <> of").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        pairs = _pairs_of(joined.where("not hot")).unionAll(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = _verified(sets, _likely(pairs, reps), "near")
         links = links.unionAll(new)
         components = materialize(connected_components(links), "components")
-        members = members.where("hot")
-        segment = F.expr("sig & 255")
-        enough = members.groupBy("node").agg(F.count_distinct(segment).alias("k"), F.max(segment).alias("last")).where((F.col("k") >= TIMES) | (F.col("last") == ANY_SEGMENT)).select("node")
-        members = materialize(members.select("sig", "node", "pivot").join(enough, "node", "left_semi"), "members")
+        members = joined.where("hot").select("sig", "node", "pivot", "times")
+        if k == 0:
+            # Linked nodes share TIMES segments: the rarest common signature stays if each gives up its most frequent ones, of less segments.
+            members = _with_component(members, components, "node", "component")
+            several = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
+            upto = Window.partitionBy("node").orderBy(F.desc("times"), "sig")
+            given = F.size(F.collect_set(F.expr("sig & 255")).over(upto))
+            counted = F.max(F.expr("sig & 255")).over(Window.partitionBy("node")) < ANY_SEGMENT
+            members = members.join(several, "sig", "left_semi").withColumns({"given": given, "counted": counted}).where((F.col("given") >= TIMES) | ~F.col("counted"))
+        members = materialize(members.select("sig", "node", "pivot"), "members")
+        written = [joined]
         if k == ROUNDS - 1 or k and new.isEmpty():
             break
-        members = members.select("sig", "node")
-    # 3. Hot ones that still hold several components, by differences from a pivot: one node for each component of their pivots.
+        written, members = [joined, members], members.select("sig", "node")
+    # 3. Hot ones that still hold several components, by differences from a centre; one for each component of the pivots.
     hot = _with_component(_with_component(members, components, "node", "component"), components, "pivot", "of")
     hot = materialize(hot, "hot")
+    release(found, members, *written)
     open_ = hot.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     hot = hot.join(open_, "sig", "left_semi")
     pivots = hot.groupBy("of").agg(F.min(F.struct(F.xxhash64("pivot").alias("h"), "pivot"))["pivot"].alias("a"))
-    asked = materialize(hot.select("of", F.col("node").alias("b")).distinct().join(pivots, "of").where("a <> b").select("a", "b"), "asked")
+    asked = materialize(hot.select("of", F.col("node").alias("b")).distinct().join(pivots, "of").select("a", "b"), "asked")
     if asked.limit(1).count():
-        # To a pivot itself each of its nodes is held directly.
-        links = links.unionAll(_verified(sets, _likely(asked, reps), "pivots"))
-        components = materialize(connected_components(links), "components")
         sent = docs.sparkSession.sparkContext.broadcast(_frequencies(_only(sets, asked.select(F.col("b").alias("node")).distinct())))
-        met = met_in_buckets(_facing(sets, asked.select("a", "b")).select("a", "b", "set_a", "set"), _differing(lambda: sent.value), max(64, math.ceil(100 * asked.count() / BUCKET)))
-        met = materialize(met, "differences")
+        differences = _differences(sets, asked, _centres(sets, asked), lambda: sent.value)
+        spare = (DEN + NUM) * F.col("d") - (DEN - NUM) * F.col("n")  # two nodes are linked for certain if theirs add up to 0 at most
+        by_spare = differences.select("a", "b", spare.alias("spare"))
+        least = by_spare.groupBy("a").agg(F.min(F.struct("spare", "b")).alias("z"))
+        certain = by_spare.join(least, "a").where("spare + z.spare <= 0 and b <> z.b").select(F.col("z.b").alias("a"), "b")
+        links = links.unionAll(materialize(certain.distinct(), "certain"))
+        components = materialize(connected_components(links), "components")
+        met = met_in_buckets(differences.select("b", "keys1", "keys2", "keys3"), _keyed, max(64, math.ceil(100 * asked.count() / BUCKET)))
+        met = materialize(met, "keys")
+        release(differences)
         links = links.unionAll(_verified(sets, _likely(_pairs_by_key(met, components), reps), "hot"))
         components = materialize(connected_components(links), "components")
     # 4. Sets that no cut covers.
-    bare = materialize(found.where(f"kind = {BARE}").select("node").distinct(), "bare")
     if bare.limit(1).count():
         met = materialize(met_in_buckets(_only(sets, bare).select("node", "set"), _smallest, 64), "bare")
         links = links.unionAll(_verified(sets, _likely(_pairs_by_key(met, components), reps), "bare"))
