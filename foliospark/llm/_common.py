@@ -32,8 +32,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), _ROOT) if x)
     # Workers give memory back when a batch is done: several share an executor's.
-    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
-    env.setdefault("MALLOC_ARENA_MAX", "2")
+    for key, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_MMAP_THRESHOLD_", "262144"), ("MALLOC_TRIM_THRESHOLD_", "262144")):
+        env.setdefault(key, value)
     return spark
 
 
