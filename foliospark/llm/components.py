@@ -1,6 +1,6 @@
 """Connected components of a graph of integer nodes, without gathering it anywhere.
 
-Edges are first contracted inside each partition (union-find over that partition alone). Then large-star and small-star
+Edges are first contracted inside each partition (union-find over that partition alone). Up to ONE_TASK edges are then contracted by one task. Beyond, large-star and small-star
 rounds alternate until the edges no longer change: each node learns the smallest neighbour by a pre-aggregated
 minimum, and its larger neighbours are linked to that. A hub's edges are joined by a sort-merge join whose hot partition
 the adaptive planner can split. Each round is written to the shared folder.
@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from foliospark.llm._common import materialize
 
 MOST_ROUNDS = 60
+#: Contracted edges (a forest in each partition) up to which one task, of some ten MB, finishes the work.
+ONE_TASK = 200_000
+#: Nodes that a task holds; below it, what a task sends is a forest of whole stars.
+MOST_HELD = 1_000_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +42,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != b:
                 low, high = min(a, b), max(a, b)
                 parent[high] = low
-        if len(parent) > 1_000_000:  # bounded memory: a partition may send several contracted pieces
+        if len(parent) > MOST_HELD:  # bounded memory: a partition may send several contracted pieces
             yield flush()
     yield flush()
 
@@ -62,6 +66,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for each node of edges (a long, b long)."""
     now = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
     now = materialize(now.mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    if now.count() <= ONE_TASK:
+        now = materialize(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "edges")
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select("b", "b").distinct())
     state = None
     for _ in range(MOST_ROUNDS):
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -128,7 +128,9 @@ def test_candidates_of_a_large_family_are_linear(make, monkeypatch):
     assert sum(r.component_id == largest for r in rows) > 2600
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [components.ONE_TASK, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000, 2001 + i) for i in range(200)]
     parent = {x: x for e in edges for x in e}
