@@ -1,30 +1,33 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks and shared pieces, edit similarity, one occurrence for each connected group.
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence for each connected group.
 
-A line is a part of a text between newlines. Its normal form is its words (runs of word characters), decomposed without
-accents, lower-cased, runs of digits as 0, joined by single spaces. Lines of one normal form are one node. Two
+A line is a part of a text between newlines. Its normal form is its words, lower-cased, decomposed without accents, runs of digits
+as 0, joined by single spaces; words are runs of ASCII letters, digits, underscores and characters beyond ASCII but for general punctuation and
+Latin-1 symbols. Lines of one normal form are one node, named by 64 bits of its words' hashes. Two
 nodes are linked if the edit similarity of their normal forms, 1 - Levenshtein / longer length, is at least SIMILARITY.
 Of each group of connected nodes the occurrence with the smallest (doc_id, line) stays; all others are taken out of their texts.
 
-Pairs to verify share a block. Blocks are the four 32-bit parts of the 128-bit SimHash (each word votes once for each time it
-stands there; a pair within three bits shares one) and pieces of the form, as an edit of one word flips about ten bits:
-the first PIECES pairs of neighbouring words in one order for all lines (longest first, as these are rare, then by hash). Where the
+A SimHash of 64 bits has each distinct word vote on each bit. One edited word flips about ten bits, so its own bits make poor blocks;
+blocks are made by words instead: a hash deals a line's words to about a third as many blocks (a power of two, four at least; a line close below a change of
+that number is dealt to both, one of four blocks twice by different hashes), and each block is the SimHash of its words alone. An edited word touches two blocks at most, so by the
+pigeonhole principle lines that differ in fewer words than half of the blocks share one. Blocks of few letters say little and are left out, unless a line has no others. Where the
 shorter line has up to SHORT characters, the longer one is cut into one segment more than edits can touch, and the shorter one is looked up
-under all its substrings that can be such a segment: no pair of these is lost. Before verification a pair is dropped if its lengths
-rule it out, or if both lines are longer than SHORT and their SimHashes differ in over FAR bits.
+under all its substrings that can be such a segment: no pair of these is lost. Nodes that share a block are verified by their
+edit distance, unless their lengths rule it out, or both are longer than SHORT and their SimHashes differ in over FAR bits.
 
-Every line of every text takes part. A node's occurrences are only counted and joined, never gathered: a line that stands
+Texts are read once, with numpy over the bytes of a batch. Every line of every text takes part. A node's occurrences are only counted and joined, never gathered: a line that stands
 in a third of all documents is a hot key of a join, whose partition the adaptive planner can split. Blocks travel packed
-by hash bucket. A block with over EDGES pairs a node gives a few pairs of each node at first (LEADERS); where these left its nodes in several
-groups, all its pairs between two groups are verified too, by slices of its nodes, so that the size of a block changes no result.
+by hash bucket; what comes back is each node's smallest companion and memberships (block, node). Nodes are held against their smallest companion; then, in
+rounds, small groups give their pairs of different components, larger ones the pairs with one node picked by a hash. What larger groups then still
+hold in several components is compared in slices of their nodes, by lengths and SimHashes first, so that the size of a group changes no result.
 
-Lines without a word are left alone and no occurrence of anything. Null texts stay null, empty ones empty. Rows that share a doc_id are
-one document; rows without one are left alone and take no part. Extra columns pass by in `dedup`.
+Lines without a word are left alone and no occurrence of anything. Null texts stay null, empty ones empty; very long texts are read in pieces of whole
+lines. Rows that share a doc_id are one document; rows without one are left alone and take no part. Equal lines are told apart by (doc_id, line). Extra
+columns pass by in `dedup`; where they are named n_lines or n_removed the result's begin with __fs_.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -34,68 +37,178 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import WordHashes, materialize, mix, prepare, table
+from foliospark.llm._common import materialize, mix, prepare, table
 from foliospark.llm.components import connected_components
-
-#: RADIUS: SimHashes of linked lines may differ in all bits.
-LEAST_WORDS, RADIUS, SIMILARITY, PRINT_BLOCKS = 1, 128, 0.9, 4
-PIECES, SHORT, FAR = 6, 40, 44
-EDGES, LEADERS, SLICE = 8, 3, 4096
-BUCKET, FLUSH_BYTES = 500_000, 12_000_000
-_WORDS = re.compile(r"\w+")
-_DIGITS = re.compile(r"\d+")
-_MARKS = re.compile("[\u0300-\u036f]+")
-_memo = WordHashes()
+from foliospark.llm.jaccard_join import FIRST, MEMBER, met_in_buckets
+
+SIMILARITY, SHORT, FAR = 0.9, 40, 20
+#: Bounds of the edit distance that are tried before the largest one; characters beyond which lines are compared by bit vectors.
+STEPS, LONG = (4, 16), 400
+#: Words a block, least characters of the distinct words of a block, share of the words from which a line is dealt to the next number of blocks too.
+WORDS_EACH, LEAST_CHARS, CLOSE = 3, 10, 0.85
+#: The number of blocks is 2 to this power at most (there are 12 bits for it, and 20 for the lines of a piece).
+MOST_BITS = 11
+SMALL, ROUNDS, SLICE, BUCKET = 8, 3, 4096, 400_000
+#: Bytes of text read at a time; words whose bits are spread out at a time (64 bytes each); nodes that a task remembers.
+PIECE, WORDS_AT_ONCE, SEEN = 2_000_000, 100_000, 300_000
+_U = np.uint64
+
+# Classes of bytes. 0: between words, 1: in a word, 2: newline, 3: digit, 4: left out.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(97, 123), *range(65, 91), 95, *range(128, 256)]] = 1
+_KIND[48:58], _KIND[10] = 3, 2
+
+
+def fold(text: str) -> str:
+    text = text.lower()
+    return text if text.isascii() else unicodedata.normalize("NFKD", text)
+
+
+_powers: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of an odd number and of its inverse, modulo 2 ** 64."""
+    global _powers
+    if _powers is None or len(_powers[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        size = max(n, 1 << 16)
+        out = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, x, _U)
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=_U))
+        _powers = (out[0], out[1])
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _hash_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run values[start:end], the same wherever the run stands."""
+    p, inverse = powers(len(values) + 1)
+    upto = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * p[:-1], out=upto[1:])
+    return mix((upto[end] - upto[start]) * inverse[start] + (end - start).astype(_U))
+
+
+class Lines:
+    """The lines with a word of some folded texts: text (its place), number, key, first word and words; hash and characters of words; normal forms."""
+
+    def __init__(self, folded: list[str]):
+        data = np.frombuffer("\n".join(folded).encode("utf-8", "surrogatepass"), np.uint8)
+        kind = _KIND[data]
+        lead = np.flatnonzero((data == 0xCC) | (data == 0xCD))  # combining marks U+0300 to U+036F
+        lead = lead[(data[lead] == 0xCC) | (data[lead + 1] < 0xB0)]
+        kind[lead] = kind[lead + 1] = 4
+        lead = np.flatnonzero(data == 0xC2)  # U+0080 to U+00BF
+        kind[lead] = kind[lead + 1] = 0
+        lead = np.flatnonzero(data == 0xE2)
+        lead = lead[(data[lead + 1] == 0x80) | (data[lead + 1] == 0x81)]  # U+2000 to U+207F
+        kind[lead] = kind[lead + 1] = kind[lead + 2] = 0
+        digit = kind == 3
+        if digit.any():
+            again = digit.copy()
+            again[1:] &= digit[:-1]
+            again[:1] = False
+            kind = np.where(again, 4, kind)
+            data = np.where(digit, 48, data).astype(np.uint8)
+        left_out = kind == 4
+        if left_out.any():
+            data, kind = data[~left_out], kind[~left_out]
+        in_word = (kind == 1) | (kind == 3)
+        edge = np.diff(in_word.astype(np.int8), prepend=0, append=0)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.hash = _hash_runs(data.astype(_U) + _U(1), start, end)
+        heads = np.zeros(len(data) + 1, np.int64)  # characters, not bytes
+        np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
+        self.chars = heads[end] - heads[start]
+        line = np.searchsorted(np.flatnonzero(kind == 2), start)
+        self.first = np.flatnonzero(np.append(True, line[1:] != line[:-1])[: len(line)])
+        self.words = np.diff(np.append(self.first, len(line)))
+        line = line[self.first]
+        self.key = _hash_runs(self.hash, self.first, self.first + self.words).view(np.int64)
+        offset = np.cumsum([0] + [t.count("\n") + 1 for t in folded])
+        self.text = np.searchsorted(offset, line, side="right") - 1
+        self.number = line - offset[self.text]
+        upto = np.append(0, np.cumsum(self.chars))
+        self.size = upto[self.first + self.words] - upto[self.first] + self.words - 1
+        # Normal forms: words and one space behind each.
+        kept = in_word.copy()
+        kept[1:] |= in_word[:-1]
+        places = np.append(0, np.cumsum(kept))
+        self._bytes = np.where(in_word, data, 32)[kept].astype(np.uint8).tobytes()
+        self._from, self._to = places[start[self.first]], places[end[self.first + self.words - 1]] if len(line) else places[:0]
+
+    def form(self, i: int) -> str:
+        return self._bytes[self._from[i] : self._to[i]].decode("utf-8", "surrogatepass")
+
+    def pick(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes and characters of some lines one behind the other, and the place of the line of each."""
+        n = self.words[lines]
+        at = np.repeat(self.first[lines] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return self.hash[at], self.chars[at], np.repeat(np.arange(len(lines)), n)
 
 
 def normal(line: str) -> str:
-    if not line.isascii():
-        line = _MARKS.sub("", unicodedata.normalize("NFKD", line))
-    return " ".join(_WORDS.findall(_DIGITS.sub("0", line.lower())))
-
-
-def key(form: str) -> int:
-    h = xxhash.xxh3_64_intdigest(form.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
-
-
-#: Words whose bits are spread out at a time (128 bytes each).
-WORDS_AT_ONCE = 100_000
-
-
-def simhashes(forms: list[str]) -> np.ndarray:
-    """A row of 16 bytes for each normal form (none empty)."""
-    sizes = np.array([f.count(" ") + 1 for f in forms], np.int64)
-    h = np.fromiter((_memo[w.encode("utf-8", "surrogatepass")] for f in forms for w in f.split(" ")), np.uint64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(forms)), sizes)
-    ones = np.zeros((len(forms), 128), np.int32)
-    for a in range(0, len(h), WORDS_AT_ONCE):
-        part, lines = h[a : a + WORDS_AT_ONCE], owner[a : a + WORDS_AT_ONCE]
-        bits = np.unpackbits(np.stack([mix(part), mix(part ^ np.uint64(0x5DEECE66D1234567))], axis=1).view(np.uint8), axis=1)
-        starts = np.flatnonzero(np.append(True, lines[1:] != lines[:-1]))
-        short = np.diff(np.append(starts, len(lines))).max() < 256  # sums that fit the bits' own type are several times faster
-        ones[lines[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.uint8 if short else np.int32)
-    return np.packbits(2 * ones > sizes[:, None], axis=1)
-
-
-def _first(pieces: np.ndarray, owner: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each owner (a line) the most[owner] smallest distinct pieces (of 40 bits), and their owners."""
-    both = np.sort((owner.astype(np.uint64) << np.uint64(40)) | pieces)
-    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
-    owner = (both >> np.uint64(40)).astype(np.int64)
-    rank = np.arange(len(both)) - np.searchsorted(owner, owner)
-    take = rank < most[owner]
-    return both[take] & np.uint64((1 << 40) - 1), owner[take]
-
-
-def _run_hashes(h: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of runs of `size` values of one owner, and where they start."""
-    n = max(len(h) - size + 1, 0)
-    out = np.full(n, size, np.uint64)
-    for i in range(size):
-        out = mix(out + h[i : n + i])
-    at = np.flatnonzero(owner[:n] == owner[size - 1 : n + size - 1])
-    return out[at], at
+    """The normal form of one line; empty without a word."""
+    found = Lines([fold(line)])
+    return found.form(0) if len(found.key) else ""
+
+
+def simhash_blocks(words: np.ndarray, chars: np.ndarray, owner: np.ndarray, blocks: np.ndarray, deal: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SimHash of each owner's words (all owners have some); the values of its blocks that have LEAST_CHARS, and their owners. blocks: their number, by owner."""
+    number = blocks[owner].astype(_U)
+    group = (((mix(words ^ _U(0xA24BAED4963EE407 + deal)) >> _U(32)) * number) >> _U(32)).astype(np.int64)
+    key = owner.astype(_U) << _U(44) | group.astype(_U) << _U(32) | words >> _U(32)
+    order = np.argsort(key)
+    order = order[np.append(True, key[order[1:]] != key[order[:-1]])[: len(order)]]  # each word of a line votes once
+    words, chars, owner, group = words[order], chars[order], owner[order], group[order]
+    start = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (group[1:] != group[:-1]))[: len(owner)])
+    size = np.diff(np.append(start, len(owner)))
+    prints = np.empty(len(start), _U)
+    ones = np.zeros((len(blocks), 64), np.int32)
+    of = owner[start]
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + WORDS_AT_ONCE, side="right")) - 1)
+        stop = start[b] if b < len(start) else len(owner)
+        bits = np.unpackbits(words[start[a] : stop].view(np.uint8).reshape(-1, 8), axis=1)
+        votes = np.add.reduceat(bits, start[a:b] - start[a], axis=0, dtype=np.uint8 if size[a:b].max() < 256 else np.int32)
+        prints[a:b] = np.packbits(2 * votes.astype(np.int32) > size[a:b, None], axis=1).view(_U).ravel()
+        line = np.flatnonzero(np.append(True, of[a + 1 : b] != of[a : b - 1]))
+        ones[of[a:b][line]] += np.add.reduceat(votes, line, axis=0, dtype=np.int32)
+        a = b
+    whole = np.packbits(2 * ones > np.bincount(owner, minlength=len(blocks))[:, None], axis=1).view(_U).ravel()
+    full = np.add.reduceat(chars, start) >= LEAST_CHARS if len(start) else np.empty(0, bool)
+    full |= (np.bincount(of, full, len(blocks)) == 0)[of]  # a line of few distinct letters has no better ones
+    place = (group[start] + (blocks[of] << 24) + (deal << 60)).astype(_U)
+    return whole, mix(prints ^ mix(place))[full], of[full]
+
+
+def fingerprints(lines: Lines, new: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """SimHash of each of the lines in new, and all values under which it is looked up."""
+    if not len(new):
+        return np.empty(0, _U), []
+    words, chars, owner = lines.pick(new)
+    n, size = lines.words[new], lines.size[new]
+    blocks = 1 << np.clip( np.log2(np.maximum(n, 1) / WORDS_EACH + 1e-9).astype(np.int64), 2, MOST_BITS)
+    prints, value, of = simhash_blocks(words, chars, owner, blocks)
+    values, owners = [value], [of]
+    close = (n >= CLOSE * 2 * blocks * WORDS_EACH) & (size > SHORT) & (blocks < 1 << MOST_BITS)
+    few = (blocks == 4) & (size > SHORT)
+    for also, number, deal in ((close, 2 * blocks, 0), (few, blocks, 1)):
+        if also.any():
+            _, value, of = simhash_blocks(*lines.pick(new[also]), number[also], deal)
+            values.append(value)
+            owners.append(np.flatnonzero(also)[of])
+    value, of = np.concatenate(values), np.concatenate(owners)
+    long_ = size[of] > SHORT
+    value, of = value[long_], of[long_]
+    short = np.flatnonzero(size <= SHORT * 10 // 9)
+    own = [(x, i) for i in short.tolist() for x in segments(lines.form(int(new[i])))]
+    value = np.concatenate([value, mix(np.array([x for x, _ in own], _U))])
+    of = np.concatenate([of, np.array([i for _, i in own], np.int64)])
+    order = np.argsort(of, kind="stable")
+    return prints, np.split(value[order], np.cumsum(np.bincount(of, minlength=len(new)))[:-1])
 
 
 def segments(form: str) -> set[int]:
@@ -122,222 +235,199 @@ def _piece(m: int, i: int, part: str) -> int:
     return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), m << 8 | i) >> 24
 
 
-def pieces(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of 40 bits of normal forms (none empty), and the places of their forms."""
-    words = [f.split(" ") for f in forms]
-    sizes = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter((_memo[x.encode("utf-8", "surrogatepass")] for w in words for x in w), np.uint64, int(sizes.sum()))
-    long_ = np.fromiter((len(x) for w in words for x in w), np.int64, len(h))
-    owner = np.repeat(np.arange(len(forms)), sizes)
-    pair, at = _run_hashes(h, owner, 2)
-    rare = (255 - np.minimum(long_[at] + long_[at + 1], 255)).astype(np.uint64)
-    found, of = _first((rare << np.uint64(32)) | (pair >> np.uint64(32)), owner[at], np.full(len(forms), PIECES))
-    own = [(x, i) for i, f in enumerate(forms) if len(f) <= SHORT * 10 // 9 for x in segments(f)]
-    whole = np.array([len(f) > SHORT for f in forms], bool)[of] if len(of) else np.empty(0, bool)
-    return np.concatenate([found[whole], np.array([x for x, _ in own], np.uint64)]), np.concatenate([of[whole], np.array([i for _, i in own], np.int64)])
-
-
-def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
-    """doc_id, line number (from 0) and normal form of the lines with a word."""
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """doc_ids, numbers of the first lines and folded texts, of about PIECE characters; longer texts are cut between lines."""
+    ids, firsts, texts, held = [], [], [], 0
     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        if doc is not None and (t := text.as_py()):
-            for n, line in enumerate(t.split("\n")):
-                if form := normal(line):
-                    yield doc, n, form
-
-
-SCANNED = "node long, doc_id long, line long, bucket int, block int, nodes binary, prints binary, sizes binary"
-
-
-def _scan(docs: DataFrame, buckets: int) -> DataFrame:
-    """In one reading of the texts: a row (node, doc_id, line) for each line with a word, and rows (bucket, block, packed nodes and prints) of the nodes that may be linked."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    names = ["node", "doc_id", "line", "bucket", "block", "nodes", "prints", "sizes"]
-
-    def batch_of(seen: list[tuple], packs: list[tuple]) -> pa.RecordBatch:
-        empty = (pa.nulls(len(packs), k) if i < 3 else pa.nulls(len(seen), k) for i, k in enumerate(kinds))
-        full = [pa.array([r[i] for r in seen], kinds[i]) for i in range(3)] + [pa.array([r[i] for r in packs], kinds[i + 3]) for i in range(5)]
-        columns = [pa.concat_arrays([f, e] if i < 3 else [e, f]) for i, (f, e) in enumerate(zip(full, empty, strict=True))]
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    def packed(forms: dict[int, str]) -> list[tuple]:
-        nodes = np.array(list(forms), np.int64)
-        prints = simhashes(list(forms.values()))
-        size = np.array([len(f) for f in forms.values()], np.int32)
-        value = np.ascontiguousarray(prints).view(">u4").astype(np.uint64)  # a column for each block
-        places = np.arange(len(nodes))
-        blocks = [(b, value[:, b], places) for b in range(PRINT_BLOCKS)] + [(PRINT_BLOCKS, *pieces(list(forms.values())))]
-        rows = []
-        for b, v, place in blocks:
-            to = ((mix(v ^ np.uint64(b << 40)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])) if len(order) else np.empty(0, np.int64)
-            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):
-                at = place[order[i:j]]
-                held = v[order[i:j]] if b == PRINT_BLOCKS else np.empty(0, np.uint64)
-                rows.append((int(to[order[i]]), b, nodes[at].tobytes() + held.tobytes(), prints[at].tobytes(), size[at].tobytes()))
-        return rows
+        t = text.as_py()
+        if doc is None or not t:
+            continue
+        first = 0
+        while t:
+            cut = t.rfind("\n", 0, PIECE) if len(t) > PIECE else -1
+            cut = t.find("\n", PIECE) if cut < 0 and len(t) > PIECE else cut
+            part, t = (t[:cut], t[cut + 1 :]) if cut >= 0 else (t, "")
+            ids.append(doc)
+            firsts.append(first)
+            texts.append(fold(part))
+            first += part.count("\n") + 1
+            held += len(part)
+            if held >= PIECE:
+                yield ids, firsts, texts
+                ids, firsts, texts, held = [], [], [], 0
+    if ids:
+        yield ids, firsts, texts
+
+
+SCANNED = "node long, doc_id long, line long, form string, print long, size int, blocks binary"
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    """In one reading of the texts: a row (node, doc_id, line) for each line with a word, and a row (node, form, print, size, blocks) for each node that is new to the task."""
+    names = ["node", "doc_id", "line", "form", "print", "size", "blocks"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms: dict[int, str] = {}
-        size = 0
+        seen: set[int] = set()
         for batch in batches:
-            seen = []
-            for d, n, f in _lines(batch):
-                k = key(f)
-                seen.append((k, d, n))
-                if k not in forms and f.count(" ") >= LEAST_WORDS - 1:
-                    forms[k] = f
-                    size += len(f) + 100
-            packs = []
-            if size > FLUSH_BYTES:
-                packs = packed(forms)
-                forms, size = {}, 0
-            yield batch_of(seen, packs)
-        if forms:
-            yield batch_of([], packed(forms))
+            for ids, firsts, texts in _pieces(batch):
+                lines = Lines(texts)
+                keys, at = np.unique(lines.key, return_index=True)
+                new = at[[k not in seen for k in keys.tolist()]] if len(keys) else at
+                if len(seen) + len(new) > SEEN:
+                    seen.clear()
+                seen.update(lines.key[new].tolist())
+                prints, blocks = fingerprints(lines, new)
+                seen_rows = [pa.array(lines.key), pa.array(np.array(ids, np.int64)[lines.text]), pa.array(lines.number + np.array(firsts, np.int64)[lines.text])]
+                yield pa.RecordBatch.from_arrays([*seen_rows, *(pa.nulls(len(lines.key), k) for k in kinds[3:])], names=names)
+                node_rows = [pa.array([lines.form(i) for i in new.tolist()], pa.string()), pa.array(prints.view(np.int64)), pa.array(lines.size[new].astype(np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(lines.key[new]), pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.int64()), *node_rows], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCANNED)
 
 
-def may_link(p: np.ndarray, q: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether lines of prints p, q and lengths z, y can be similar."""
-    return (10 * np.abs(z - y) <= np.maximum(z, y)) & ((np.minimum(z, y) <= SHORT) | (np.bitwise_count(p ^ q).sum(axis=-1) <= FAR))
-
-
-NEAR = "a long, b long, dense long, print binary, size int"
-
-
-def _near(rows: pa.Table) -> pa.Table:
-    """Pairs a < b of nodes of one bucket that share a block and may be similar, and rows (dense, b, print, size) of the nodes of blocks of which not all pairs are given."""
-    parts = []
-    for b, x, p, n in zip(*(rows.column(c).to_pylist() for c in ("block", "nodes", "prints", "sizes")), strict=True):
-        ids, p, n = np.frombuffer(x, np.int64), np.frombuffer(p, np.uint64).reshape(-1, 2), np.frombuffer(n, np.int32)
-        value = ids[len(n) :] if b == PRINT_BLOCKS else np.ascontiguousarray(p).view(">u4")[:, b].astype(np.int64)
-        parts.append((np.full(len(n), b, np.int64), ids[: len(n)], p, n, value))
-    block, node, prints, sizes, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((node, value, block))
-    block, node, prints, sizes, value = block[order], node[order], prints[order], sizes[order], value[order]
-    first = np.append(True, (block[1:] != block[:-1]) | (value[1:] != value[:-1]))
-    new = first | np.append(True, node[1:] != node[:-1])  # one node comes from several tasks
-    block, node, prints, sizes, value = block[new], node[new], prints[new], sizes[new], value[new]
-    start = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (value[1:] != value[:-1])))
-    size = np.diff(np.append(start, len(node)))
-    left, right, held, dense_of = [], [], [], []
-    for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        ids, p, z = node[s : s + n], prints[s : s + n], sizes[s : s + n]
-        led = np.zeros(n, np.int64)
-        touched = np.zeros(n, bool)
-        count, dense = 0, False
-        for i in range(n - 1):
-            at = np.arange(i + 1, n)
-            if dense and led[i]:
-                at = at[led[i + 1 :] < LEADERS]
-            close = at[may_link(p[at], p[i], z[at], z[i])]
-            if dense:
-                close = close[(led[close] < LEADERS) | ((np.arange(len(close)) < LEADERS) & (led[i] == 0))]
-            if len(close):
-                right.append(ids[close])
-                left.append(np.full(len(close), ids[i]))
-                led[close] += 1
-                touched[i] = touched[close] = True
-                count += len(close)
-                dense = dense or count > EDGES * n
-            if dense and led[i + 1 :].min() >= LEADERS:
-                break
-        if dense:
-            held.append(s + np.flatnonzero(touched))
-            dense_of.append(np.full(len(held[-1]), (int(block[s]) << 41) | int(value[s])))
-    a, b, at, of = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (left, right, held, dense_of))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    n, m = len(pairs), len(at)
-    columns = [
-        pa.concat_arrays([pa.array(pairs[:, 0], pa.int64()), pa.nulls(m, pa.int64())]),
-        pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.array(node[at], pa.int64())]),
-        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(of, pa.int64())]),
-        pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([x.tobytes() for x in prints[at]], pa.binary())]),
-        pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(sizes[at], pa.int32())]),
-    ]
-    return pa.table(columns, names=["a", "b", "dense", "print", "size"])
+def _blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, bool]]:
+    for node, blocks in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        yield node, np.unique(np.frombuffer(blocks.as_py(), _U)), True
+
+
+def distance(x: str, y: str) -> int:
+    """Levenshtein distance: columns of the table as bit vectors of differences, in integers as long as the shorter text."""
+    if len(x) > len(y):
+        x, y = y, x
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+    n = len(a)
+    head = int(np.argmin(np.append(a == b[:n], False)))
+    tail = int(np.argmin(np.append(a[head:][::-1] == b[head:][::-1][: n - head], False)))
+    a, b = a[head : n - tail], b[head : len(b) - tail]
+    m = len(a)
+    if not m:
+        return len(b)
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    places = {int(c): int.from_bytes(np.packbits(a == c, bitorder="little").tobytes(), "little") for c in np.unique(a)}
+    up, down, score = full, 0, m
+    for c in b.tolist():
+        same = places.get(c, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        right = down | (full & ~(across | up))
+        left = up & across
+        score += 1 if right & last else -1 if left & last else 0
+        right = right << 1 | 1
+        up = full & (left << 1 | ~(level | right))
+        down = full & right & level
+    return score
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, forms: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose normal forms are similar."""
+    for c in "ab":
+        pairs = pairs.join(prints.select(F.col("node").alias(c), F.col("print").alias(f"p{c}"), F.col("size").alias(f"z{c}")), c)
+    close = f"10 * abs(za - zb) <= greatest(za, zb) and (least(za, zb) <= {SHORT} or bit_count(pa ^ pb) <= {FAR})"
+    pairs = materialize(pairs.where(close).select("a", "b"), f"{name}-pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    found = materialize(forms.join(asked, "node", "left_semi").dropDuplicates(["node"]), "forms")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("form").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("form").alias("y")), "b")
+    most = f"cast(floor({1 - SIMILARITY:.6f} * greatest(length(x), length(y))) as int)"
+    # The time grows with the bound, so it is raised in steps: most similar pairs are within a small one.
+    long_ = F.greatest(F.length("x"), F.length("y")) > LONG
+    similar = " or ".join([f"levenshtein(x, y, least({STEPS[0]}, {most})) >= 0", *(f"({most} > {a} and levenshtein(x, y, least({b}, {most})) >= 0)" for a, b in zip(STEPS, (*STEPS[1:], 1 << 30), strict=True))])
+    short = both.where(~long_).where(F.expr(similar)).select("a", "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [distance(x, y) * 10 <= max(len(x), len(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return materialize(short.unionAll(both.where(long_).select("a", "b", "x", "y").mapInArrow(check, "a long, b long")), f"{name}-links")
+
+
+def _placed(rows: DataFrame, components: DataFrame, node: str = "node", as_: str = "component") -> DataFrame:
+    c = components.select(F.col("node").alias(node), F.col("component").alias(as_))
+    return rows.join(c, node, "left").withColumn(as_, F.coalesce(as_, node))
 
 
 def _between(rows: pa.Table) -> pa.Table:
-    """Pairs a < b of nodes of one slice of a dense block that may be similar and are in two components."""
-    node, of, z = (rows.column(c).to_numpy() for c in ("node", "component", "size"))
-    p = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint64).reshape(-1, 2)
+    """Pairs a < b of nodes of one slice of a group that may be similar and are in two components."""
+    node, of, z, p = (rows.column(c).to_numpy() for c in ("node", "component", "size", "print"))
     order = np.argsort(node)
-    node, of, z, p = node[order], of[order], z[order], p[order]
+    node, of, z, p = node[order], of[order], z[order], p[order].astype(np.int64).view(_U)
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i in range(len(node) - 1):
-        close = (of[i + 1 :] != of[i]) & may_link(p[i + 1 :], p[i], z[i + 1 :], z[i])
+        y, q = z[i + 1 :], p[i + 1 :]
+        close = (of[i + 1 :] != of[i]) & (10 * np.abs(y - z[i]) <= np.maximum(y, z[i])) & ((np.minimum(y, z[i]) <= SHORT) | (np.bitwise_count(q ^ p[i]) <= FAR))
         if close.any():
             right.append(node[i + 1 :][close])
             left.append(np.full(len(right[-1]), node[i]))
     return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], names=["a", "b"])
 
 
-def _left_apart(dense: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of nodes of dense blocks (dense, node, print, size) that may be similar and are in two components."""
-    placed = dense.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("dense").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / SLICE).alias("slices")).where("low <> high")
-    rows = placed.join(apart.select("dense", "slices"), "dense").withColumn("own", F.expr("pmod(xxhash64(node), slices)"))
+def _left_apart(members: DataFrame, components: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs of nodes of hot groups (sig, node) that may be similar and are in two components."""
+    placed = _placed(members, components)
+    apart = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / SLICE).alias("slices")).where("low <> high")
+    rows = placed.join(apart.select("sig", "slices"), "sig").join(prints, "node").withColumn("own", F.expr("pmod(xxhash64(node), slices)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, slices - 1)"))).withColumns({"i": F.least("own", "other"), "k": F.greatest("own", "other")})
-    return rows.select("dense", "i", "k", "node", "component", "print", "size").groupBy("dense", "i", "k").applyInArrow(_between, "a long, b long").distinct()
-
-
-def _forms(docs: DataFrame, nodes: DataFrame, near: DataFrame) -> DataFrame:
-    """Normal forms of the nodes of pairs, read from each node's first occurrence."""
-    asked = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct().join(nodes.select("node", "first.doc_id", "first.line"), "node")
-
-    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [normal(t.split("\n")[n]) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["node", "form"])
-
-    once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = asked.join(once, "doc_id").select("node", "text", F.col("line").cast("int").alias("line"))
-    return materialize(found.mapInArrow(forms, "node long, form string").dropDuplicates(["node"]), "forms")
-
-
-def _links(near: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose normal forms are similar."""
-    both = near.join(found.select(F.col("node").alias("a"), F.col("form").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("form").alias("y")), "b")
-    most = f"cast(floor({1 - SIMILARITY:.6f} * greatest(length(x), length(y))) as int)"
-    # The time grows with the bound: most similar pairs are within a small one.
-    similar = " or ".join(f"levenshtein(x, y, {m}) >= 0" for m in (f"least(8, {most})", f"least(32, {most})", most))
-    return both.where(F.expr(similar)).select("a", "b")
+    return rows.select("sig", "i", "k", "node", "component", "print", "size").groupBy("sig", "i", "k").applyInArrow(_between, "a long, b long").distinct()
+
+
+def groups_of(nodes: DataFrame) -> DataFrame:
+    """node, component of the nodes that are linked to another one; nodes: node, form, print, size, blocks, a node more than once or not."""
+    prints = materialize(nodes.select("node", "print", "size").dropDuplicates(["node"]), "prints")
+    forms = nodes.select("node", "form")
+    size = nodes.agg(F.coalesce(F.sum(F.octet_length("blocks")), F.lit(0))).first()[0] / 8
+    found = materialize(met_in_buckets(nodes.select("node", "blocks"), _blocks_of, max(64, math.ceil(size / BUCKET))), "found")
+    first = found.where(f"kind = {FIRST}").groupBy(F.col("node").alias("b")).agg(F.min("other").alias("a"))
+    links = _similar(first.select("a", "b"), prints, forms, "first")
+    components = materialize(connected_components(links), "components")
+    members = found.where(f"kind = {MEMBER}").select("node", F.col("other").alias("sig")).distinct()
+    for k in range(ROUNDS):
+        placed = _placed(members, components)
+        placed = materialize(placed, "members") if k == 0 else placed
+        pivot = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")).alias("p")
+        groups = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot, F.count("*").alias("times"))
+        groups = groups.where("low <> high").select("sig", F.col("p.node").alias("pivot"), F.col("p.component").alias("of"), (F.col("times") > SMALL).alias("hot"))
+        members = materialize(placed.join(groups, "sig"), "members")
+        few = members.where("not hot")
+        x, y = (few.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        pairs = x.join(y, "sig").where("a < b and ca <> cb").select("a", "b")
+        pairs = pairs.unionAll(members.where("hot and component <> of").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))).distinct()
+        new = _similar(pairs, prints, forms, "near")
+        links = links.unionAll(new)
+        components = materialize(connected_components(links), "components")
+        members = members.where("hot").select("sig", "node")
+        if k and new.isEmpty():
+            break
+    apart = materialize(_left_apart(members, components, prints), "apart")
+    if not apart.isEmpty():
+        components = materialize(connected_components(links.unionAll(_similar(apart, prints, forms, "apart"))), "components")
+    return components
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with its text changed, and n_lines, n_removed (lines with a word)."""
+    """docs with its text changed, and n_lines (with a word), n_removed."""
     prepare(docs.sparkSession)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Buckets by the texts' length: a line has some hundred characters; that only sets how much one task holds.
-    length = known.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
-    scanned = materialize(_scan(known, max(64, math.ceil((PRINT_BLOCKS + PIECES) * length / 200 / BUCKET))), "lines")
-    seen = scanned.where("node is not null").select("node", "doc_id", "line")
-    nodes = materialize(seen.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "nodes")
-    rows = scanned.where("bucket is not null").select("bucket", "block", "nodes", "prints", "sizes").groupBy("bucket").applyInArrow(_near, NEAR)
-    rows = materialize(rows, "rows")
-    near = materialize(rows.where("dense is null").select("a", "b").distinct(), "near")
-    forms = _forms(known, nodes, near)
-    links = materialize(_links(near, forms), "links")
-    groups = connected_components(links)
-    dense = rows.where("dense is not null").select("dense", F.col("b").alias("node"), "print", "size")
-    apart = materialize(_left_apart(dense, groups).join(near, ["a", "b"], "left_anti"), "apart")
-    if not apart.isEmpty():
-        groups = connected_components(links.unionAll(_links(apart, forms)))
-    placed = nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed, "placed")
+    scanned = materialize(_scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "lines")
+    seen = scanned.where("doc_id is not null").select("node", "doc_id", "line")
+    components = groups_of(scanned.where("doc_id is null").select("node", "form", "print", "size", "blocks"))
+    nodes = seen.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
+    placed = materialize(_placed(nodes, components), "placed")
     kept = placed.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("component", "keep")
     several = materialize(placed.select("node", "component").join(kept, "component").select("node", "keep"), "several")
-    gone = seen.join(several, "node").where("doc_id <> keep.doc_id or line <> keep.line")
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.col("line").cast("int")).alias("__fs_gone")).withColumnRenamed("doc_id", "__fs_id")
-    lines = F.split("text", "\n", -1)
-    has_gone = F.col("__fs_gone").isNotNull()
-    text = F.when(has_gone, F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__fs_gone", i)), "\n")).otherwise(F.col("text"))
-    extra = [(F.coalesce(F.array_size(F.filter(lines, lambda x: x.rlike(r"[\p{L}\p{N}_]"))), F.lit(0)), "n_lines"), (F.coalesce(F.array_size("__fs_gone"), F.lit(0)), "n_removed")]
-    out = docs.join(gone, docs["doc_id"].cast("long") == F.col("__fs_id"), "left")
+    gone = F.when((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")), F.col("line").cast("int"))
+    by_doc = seen.join(several, "node", "left").groupBy(F.col("doc_id").alias("__fs_id")).agg(F.count_distinct("line").cast("int").alias("__fs_lines"), F.collect_set(gone).alias("__fs_gone"))
+
+    @F.pandas_udf("string")
+    def without(texts, lines):
+        import pandas as pd
+
+        return pd.Series([None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in zip(texts, map(set, lines), strict=True)], dtype=object)
+
+    out = docs.join(by_doc, docs["doc_id"].cast("long") == F.col("__fs_id"), "left")
+    some = F.size("__fs_gone") > 0  # only these texts go to Python
+    out = out.withColumn("__fs_text", without(F.when(some, F.col("text")), F.when(some, F.col("__fs_gone")).otherwise(F.array().cast("array<int>"))))
+    text = F.when(some, F.col("__fs_text")).otherwise(F.col("text"))
+    extra = [(F.coalesce("__fs_lines", F.lit(0)), "n_lines"), (F.when(some, F.size("__fs_gone")).otherwise(0), "n_removed")]
     return out.select(*((text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns), *(e.alias(n if n not in docs.columns else f"__fs_{n}") for e, n in extra))
 
 
