@@ -16,7 +16,7 @@ from foliospark.operators import layout, library, plain_text, tables
 from foliospark.plans import convert as convert_plan
 from foliospark.plans import pages as pages_plan
 from foliospark.session import table
-from foliospark.sources import sinks
+from foliospark.sources import samples, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -432,3 +432,52 @@ def markdown_archives(spark: SparkSession, sf: str) -> DataFrame:
     """The converted pages as archives of at most a thousand files."""
     files = _as_files(spark, sf).where(F.col("name").startswith("page-"))
     return sinks.archives(convert_plan.convert_files(files)).select("archive", F.octet_length("content").alias("n_bytes"))
+
+
+# -------------------------------------------------- containers, made and read back
+
+_REGIONS = "SELECT r_regionkey AS k, " + _s(_ESC, "r_name") + " AS h, n_nationkey AS i, CAST(n_nationkey AS VARCHAR) AS c, " + _s(_ESC, "n_name") + " AS v, lower(" + _s(_ESC, "n_name") + ") AS low, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey"
+_HEAD = r"'| ' || rpad('n\_nationkey', CAST(max(w0) AS INTEGER), ' ') || ' | ' || rpad('n\_name', CAST(max(w1) AS INTEGER), ' ') || ' |'"
+_RULE = "'| ' || repeat('-', CAST(max(w0) AS INTEGER)) || ' | ' || repeat('-', CAST(max(w1) AS INTEGER)) || ' |'"
+_BLANK = "'| ' || repeat(' ', CAST(max(w0) AS INTEGER)) || ' | ' || repeat(' ', CAST(max(w1) AS INTEGER)) || ' |'"
+_ROWS = "string_agg('| ' || rpad(c, CAST(w0 AS INTEGER), ' ') || ' | ' || rpad(v, CAST(w1 AS INTEGER), ' ') || ' |', chr(10) ORDER BY i)"
+_NL, _GAP = "chr(10)", "chr(10) || chr(10)"
+_SENTENCE = "'Nation ' || v || ' has the key ' || c || '.'"
+_NAMES = ("n_nationkey", "n_name")
+
+# Format: how a region (its name, its nations) becomes a file, and its Markdown in SQL.
+_CONTAINERS = {
+    "docx": (lambda h, rows: samples.docx(h, [v for _, v in rows], [_NAMES, *rows]), f"'# ' || min(h) || {_GAP} || string_agg(n || '. ' || v, {_NL} ORDER BY i) || {_GAP} || {_HEAD} || {_NL} || {_RULE} || {_NL} || {_ROWS} || {_NL}"),
+    "xlsx": (lambda h, rows: samples.xlsx(h, [_NAMES, *rows]), f"{_HEAD} || {_NL} || {_RULE} || {_NL} || {_ROWS} || {_NL}"),
+    "pptx": (lambda h, rows: samples.pptx(h, [v for _, v in rows]), f"'## ' || min(h) || {_GAP} || string_agg(CASE WHEN n % 2 = 1 THEN '- ' ELSE '  - ' END || v, {_NL} ORDER BY i) || {_NL}"),
+    "odt": (lambda h, rows: samples.odt(h, [v for _, v in rows], [_NAMES, *rows]), f"'## ' || min(h) || {_GAP} || string_agg('- ' || v, {_NL} ORDER BY i) || {_GAP} || {_BLANK} || {_NL} || {_RULE} || {_NL} || {_HEAD} || {_NL} || {_ROWS} || {_NL}"),
+    "epub": (lambda h, rows: samples.epub(h, [v for _, v in rows]), f"string_agg('# ' || v || {_GAP} || 'About *' || low || '*', {_GAP} || '---' || {_GAP} ORDER BY i) || {_NL}"),
+    "rtf": (lambda h, rows: samples.rtf(h, [f"Nation {v} has the key {c}." for c, v in rows]), f"'# ' || min(h) || {_GAP} || string_agg(replace({_SENTENCE}, 'Nation ', '**Nation** '), {_GAP} ORDER BY i) || {_NL}"),
+    "eml": (lambda h, rows: samples.eml(h, "post@example.org", [v for _, v in rows]), f"'# ' || min(h) || {_GAP} || '| Field | Value            |' || {_NL} || '| ----- | ---------------- |' || {_NL} || '| From  | post@example.org |' || {_GAP} || string_agg('- ' || v, {_NL} ORDER BY i) || {_NL}"),
+    "pdf": (lambda h, rows: samples.pdf(h, [f"Nation {v} has the key {c}." for c, v in rows]), f"'# ' || min(h) || {_GAP} || string_agg({_SENTENCE}, ' ' ORDER BY i) || {_NL}"),
+}
+
+
+def _container_query(kind: str, build: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def files(batches):
+        import pandas as pd
+
+        for batch in batches:
+            made = [build(h, [(str(x["n_nationkey"]), x["n_name"]) for x in rows]) for h, rows in zip(batch["r_name"], batch["rows"], strict=True)]
+            yield pd.DataFrame({"name": [f"region-{k}.{kind}" for k in batch["r_regionkey"]], "content": made})
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        regions = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
+        regions = regions.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+        made = regions.mapInPandas(files, "name string, content binary").withColumn("length", F.octet_length("content").cast("long"))
+        found = convert_plan.convert_files(made)
+        return found.select(F.regexp_extract("name", "([0-9]+)", 1).cast("int").alias("r_regionkey"), "format", "markdown")
+
+    return run
+
+
+for _kind, (_build, _markdown) in _CONTAINERS.items():
+    QUERIES[f"{_kind}_regions"] = _container_query(_kind, _build)
+    ORACLES[f"{_kind}_regions"] = f"""WITH s AS ({_REGIONS}),
+t AS (SELECT *, greatest(12, max(length(c)) OVER (PARTITION BY k)) AS w0, greatest(7, max(length(v)) OVER (PARTITION BY k)) AS w1 FROM s)
+SELECT k AS r_regionkey, '{'odf' if _kind == 'odt' else _kind}' AS format, {_markdown} AS markdown FROM t GROUP BY k"""
