@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
+from foliospark.parse.crypt import Security
 from foliospark.parse.office import Options, Output
 from foliospark.parse.text import Writer, escape_block, escape_inline, strip
 
@@ -190,25 +191,29 @@ class Pdf:
     def __init__(self, data: bytes):
         self.warnings: list[str] = []
         self.objects: dict[int, object] = {}
-        self.places = {int(m[1]): m.end() for m in re.finditer(rb"(?<!\d)(\d+)[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+obj(?![a-z])", data)}
+        found = [(int(m[1]), int(m[2]), m.end()) for m in re.finditer(rb"(?<!\d)(\d+)[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+obj(?![a-z])", data)]
+        self.places, self.generations = {n: at for n, _, at in found}, {n: g for n, g, _ in found}
+        self.security: Security | None = None
         self.data, self.trailer = data, {}
         for m in re.finditer(rb"trailer[\0\t\n\f\r ]*(?=<<)", data):
             found = next((v for v, _ in tokens(data, m.end())), None)
             if isinstance(found, dict):
                 self.trailer = found | self.trailer
-        packed = []
+        for value in (self.get(Ref(n)) for n in self.places):
+            if isinstance(value, Stream) and value.dict.get("Type") == "XRef":
+                self.trailer = {k: v for k, v in value.dict.items() if k in ("Root", "Info", "Encrypt", "ID")} | self.trailer
+        locked = self.trailer.get("Encrypt")
+        if locked is not None:
+            entry, ids = self.get(locked), self.get(self.trailer.get("ID"))
+            entry = {k: self.get(v) for k, v in entry.items()} if isinstance(entry, dict) else {}
+            first = self.get(ids[0]) if isinstance(ids, list) and ids else b""
+            self.security = Security(entry, first if isinstance(first, bytes) else b"")
+            self.plain = locked.number if isinstance(locked, Ref) else None
+            self.objects = {}  # what was read so far wasn't opened
         for n in self.places:
             value = self.get(Ref(n))
-            if isinstance(value, Stream):
-                kind = value.dict.get("Type")
-                if kind == "XRef":
-                    self.trailer = {k: v for k, v in value.dict.items() if k in ("Root", "Info", "Encrypt", "ID")} | self.trailer
-                elif kind == "ObjStm":
-                    packed.append(value)
-        if self.trailer.get("Encrypt") is not None:
-            raise ValueError("The PDF is encrypted and cannot be read without its password.")
-        for s in packed:
-            self._unpack(s)
+            if isinstance(value, Stream) and value.dict.get("Type") == "ObjStm":
+                self._unpack(value)
         self.pages = self._pages()
 
     def _unpack(self, s: Stream) -> None:
@@ -226,10 +231,24 @@ class Pdf:
                 if n not in self.places:
                     return None
                 self.objects[n] = None  # a cycle ends here
-                self.objects[n] = self._read(self.places[n])
+                value = self._read(self.places[n])
+                self.objects[n] = value if self.security is None or n == self.plain else self._opened(value, n)
             v = self.objects[n]
         return None if isinstance(v, Ref) else v
 
+    def _opened(self, value, n: int):
+        """An object with its strings and its stream decrypted."""
+        if isinstance(value, Stream):
+            kind = value.dict.get("Type")
+            if kind == "XRef" or (kind == "Metadata" and not self.security.metadata):
+                return value
+            return Stream(self._opened(value.dict, n), self.security.open(value.raw, n, self.generations[n], True))
+        if isinstance(value, dict):
+            return {k: self._opened(v, n) for k, v in value.items()}
+        if isinstance(value, list):
+            return [self._opened(v, n) for v in value]
+        return self.security.open(value, n, self.generations[n], False) if isinstance(value, bytes) else value
+
     def _read(self, at: int):
         value, end = next(tokens(self.data, at), (None, at))
         m = re.compile(rb"[\0\t\n\f\r ]*stream(\r\n|\n|\r)?").match(self.data, end) if isinstance(value, dict) else None
