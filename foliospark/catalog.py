@@ -197,6 +197,12 @@ def size_labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", md.format_bytes(n).alias("size"))
 
 
+@query("SELECT o_orderkey, CASE WHEN v >= 1000000 THEN printf('%.1f MB', v / 1000000.0) ELSE printf('%d KB', greatest(1, CAST(floor(v / 1000.0 + 0.5) AS BIGINT))) END AS size FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 40) + 1 AS v FROM orders)")
+def picture_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.floor("o_totalprice").cast("long") * (F.col("o_orderkey") % 40) + 1
+    return table(spark, sf, "orders").select("o_orderkey", md.describe_size(n).alias("size"))
+
+
 @query("SELECT page_id, 'data:text/html;base64,' || to_base64(encode(html)) AS uri FROM pages")
 def page_data_uri(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", md.data_uri(F.encode("html", "utf-8"), F.lit("text/html")).alias("uri"))

@@ -205,6 +205,12 @@ def format_bytes(n) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
 
 
+def describe_size(n) -> Column:
+    """What a picture adds to a document: whole thousands of bytes, one at least, or millions with one digit."""
+    n = _col(n)
+    return F.when(n >= 1_000_000, F.format_string("%.1f MB", n / 1_000_000)).otherwise(F.format_string("%d KB", F.greatest(F.lit(1), F.floor(n / 1000 + 0.5)).cast("long")))
+
+
 def image_type(name) -> Column:
     return F.coalesce(F.element_at(_map(IMAGE_TYPES), extension(name)), F.lit("application/octet-stream"))
 

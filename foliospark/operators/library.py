@@ -25,7 +25,21 @@ def apply_changes(docs: DataFrame, changes: DataFrame) -> DataFrame:
     rows = docs.select("id", F.lit("save").alias("op"), "name", "markdown", "updated").unionByName(changes.select("id", "op", "name", "markdown", "updated"))
     known = docs.select("id").unionByName(changes.where("op = 'save' and name is not null and markdown is not null").select("id")).distinct()
     latest = rows.groupBy("id").agg(F.max_by("op", "updated").alias("op"), F.max_by("name", F.when(F.col("name").isNotNull(), F.col("updated"))).alias("name"), F.max_by("markdown", F.when(F.col("markdown").isNotNull(), F.col("updated"))).alias("markdown"), F.max("updated").alias("updated"))
-    return latest.join(known, "id", "left_semi").where("op <> 'delete'").drop("op")
+    left = latest.join(known, "id", "left_semi").where("op <> 'delete'").drop("op")
+    # A name that a rename or a new document takes from another one is numbered: who had it first keeps it.
+    named = unique_names(left.withColumns({"name": md.library_name("name"), "__o": F.struct("updated", "id")}), "name", "__o")
+    return named.select("id", F.col("unique_name").alias("name"), "markdown", "updated")
+
+
+def read(docs: DataFrame, id_: str) -> DataFrame:
+    """The whole document of an id: no row where it is unknown or lacks a part."""
+    return docs.where((F.col("id") == id_) & F.col("name").isNotNull() & F.col("markdown").isNotNull() & F.col("updated").isNotNull()).select("id", "name", "markdown", "updated")
+
+
+def created(names: DataFrame) -> DataFrame:
+    """Changes that create documents (id, name or null, updated): each begins with its title as a heading."""
+    name = md.library_name(F.coalesce("name", F.lit("Untitled")))
+    return names.select("id", F.lit("save").alias("op"), name.alias("name"), F.concat(F.lit("# "), _stem(name), F.lit("\n\n")).alias("markdown"), "updated")
 
 
 def _stem(name: Column) -> Column:

@@ -90,13 +90,14 @@ IMAGE = re.compile(r"(?i)(data:image/|https?:)")
 _INLINE_ANY = re.compile("")
 _INLINE = re.compile(
     r"(?P<image>!\[(?P<alt>(?:\\.|[^\]\\])*)\]\((?P<src><[^>]*>|[^)\s]*)(?:\s+\"[^\"]*\")?\))|(?P<link>\[(?P<label>(?:\\.|[^\[\]\\]|!?\[[^\]]*\]\([^)]*\))*)\]\((?P<href><[^>]*>|[^)\s]*)(?:\s+\"[^\"]*\")?\))"
-    r"|(?P<code>(?P<f>`+)(?P<c>.+?)(?<!`)(?P=f)(?!`))|(?P<bold>\*\*(?P<b>.+?)\*\*)|(?P<strike>~~(?P<s>.+?)~~)|(?P<italic>\*(?P<i>[^*\s](?:.*?[^*\s])?)\*)|(?P<auto><(?P<u>(?:https?://|mailto:)[^>\s]+)>)",
+    r"|(?P<code>(?P<f>`+)(?P<c>.+?)(?<!`)(?P=f)(?!`))|(?P<bold>\*\*(?P<b>.+?)\*\*)|(?P<strike>~~(?P<s>.+?)~~)|(?P<italic>\*(?P<i>[^*\s](?:.*?[^*\s])?)\*)|(?P<auto><(?P<u>(?:https?://|mailto:)[^>\s]+)>)"
+    r"|(?P<sup><sup>(?P<above>[^<]*)</sup>)|(?P<sub><sub>(?P<below>[^<]*)</sub>)|(?P<br><br\s*/?>)",
     re.S,
 )
 
 
 def inline(text: str) -> list[dict]:
-    """kind (image, link, code, bold, strike, italic, auto, text), text and target of a text's parts; targets of other schemes are dropped."""
+    """kind (image, link, code, bold, strike, italic, auto, sup, sub, br, text), text and target of a text's parts; targets of other schemes are dropped."""
     out, at = [], 0
     # Escaped characters stand aside as private-use ones, so that they open and close nothing.
     hidden = re.sub(r"\\([\\`*_\[\]<>|#+\-.!~()])", lambda m: chr(0xE000 + ord(m[1])), text)
@@ -108,12 +109,16 @@ def inline(text: str) -> list[dict]:
 
     for m in _INLINE.finditer(hidden):
         add("text", shown(hidden[at : m.start()]))
-        kind = next(k for k in ("image", "link", "code", "bold", "strike", "italic", "auto") if m[k])
-        said = {"image": "alt", "link": "label", "code": "c", "bold": "b", "strike": "s", "italic": "i", "auto": "u"}[kind]
+        kind = next(k for k in ("image", "link", "code", "bold", "strike", "italic", "auto", "sup", "sub", "br") if m[k])
+        said = {"image": "alt", "link": "label", "code": "c", "bold": "b", "strike": "s", "italic": "i", "auto": "u", "sup": "above", "sub": "below", "br": "br"}[kind]
         target = {"image": m["src"], "link": m["href"], "auto": m["u"]}.get(kind)
         target = shown(target.strip("<>")) if target else None
         if target and not (IMAGE if kind == "image" else LINK if kind == "link" else _INLINE_ANY).match(target):
             target = None
+        if kind == "br":
+            add(kind, "\n")
+            at = m.end()
+            continue
         add(kind, shown(m[said].strip(), "\\") if kind == "code" else shown(m[said]), target)
         at = m.end()
     add("text", shown(hidden[at:]))

@@ -19,6 +19,15 @@ from foliospark.parse.text import normalize, render_table
 SHORTCUTS = {"gdoc": "Word (.docx)", "gsheet": "Excel (.xlsx)", "gslides": "PowerPoint (.pptx)", "gdraw": "PNG or SVG"}
 IMAGES = frozenset("png jpg jpeg gif bmp svg webp tif tiff heic avif ico".split())
 LABELS = {"md": "Markdown", "markdown": "Markdown", "json": "JSON", "jsonl": "JSON", "ndjson": "JSON", "yaml": "YAML", "yml": "YAML", "xml": "XML", "srt": "Subtitles", "vtt": "Subtitles", "": "Plain text"}
+# The extensions that a file picker offers; what a file is doesn't depend on them.
+SUPPORTED = (
+    "pdf", "docx", "docm", "dotx", "xlsx", "xlsm", "xltx", "pptx", "pptm", "potx",
+    "odt", "ods", "odp", "epub", "rtf", "html", "htm", "xhtml", "eml", "mht", "mhtml",
+    "csv", "tsv", "txt", "md", "markdown", "json", "jsonl", "ndjson", "yaml", "yml",
+    "xml", "srt", "vtt", "log", "png", "jpg", "jpeg", "gif", "webp", "bmp", "svg",
+    "js", "ts", "py", "rb", "go", "rs", "java", "kt", "swift", "c", "h", "cpp", "cs",
+    "php", "sh", "sql", "dart", "toml", "ini",
+)
 ROW_CAP = 5000
 #: Largest file that is converted.
 SIZE_LIMIT = 200 * 1024 * 1024

@@ -274,3 +274,8 @@ def to_markdown(html: str, **options) -> dict:
     root = parse_html(html)
     markdown, images = render(root, **options)
     return {"markdown": markdown, "title": title_of(root), "meta": meta_of(root), "images": images}
+
+
+def editable_to_markdown(html: str) -> str:
+    """Markdown of an editor's HTML: the hard spaces that keep runs of spaces alive there become plain ones."""
+    return to_markdown(html, bullet="-")["markdown"].replace("\u00a0", " ")

@@ -97,6 +97,16 @@ class Node:
             else:
                 stack.pop()
 
+    def path_to(self, node: Node) -> str:
+        """Names from this element's kids down to node, joined by slashes; empty where node isn't below."""
+        stack: list[tuple[Node, str]] = [(k, k.name) for k in self.elements()]
+        while stack:
+            here, path = stack.pop()
+            if here is node:
+                return path
+            stack += [(k, f"{path}/{k.name}") for k in here.elements()]
+        return ""
+
     def all(self, query: str) -> list[Node]:
         return [k for k in self.walk() if k.is_(query)]
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import markdown as md
-from foliospark.parse.convert import SHORTCUTS, SIZE_LIMIT
+from foliospark.parse.convert import SHORTCUTS, SIZE_LIMIT, SUPPORTED
 from foliospark.parse.office import Options
 from foliospark.session import prepare
 
@@ -42,6 +42,11 @@ def quick_format(head, name):
     )
 
 
+def offered(files: DataFrame) -> DataFrame:
+    """The files whose extension a file picker offers; all others can be converted too."""
+    return files.where(md.extension("name").isin(*SUPPORTED))
+
+
 def detected(files: DataFrame) -> DataFrame:
     """name, format of each row of files (name, content, length); only what the first bytes and the name leave open goes to Python. Null where there is an error."""
 

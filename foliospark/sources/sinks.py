@@ -26,6 +26,14 @@ def archives(documents: DataFrame, per_archive: int = 1000) -> DataFrame:
     return placed.select("archive", "unique_name", "document").groupBy("archive").applyInPandas(pack, "archive long, content binary")
 
 
+def exported(documents: DataFrame, per_archive: int = 1000) -> DataFrame:
+    """name, content of what a user is given: the file itself if one document was converted, else archives."""
+    kept = documents.where("document is not null")
+    if len(kept.select("output_name").head(2)) == 1:
+        return kept.select(F.col("output_name").alias("name"), F.encode("document", "utf-8").alias("content"))
+    return archives(documents, per_archive).select(F.format_string("documents-%d.zip", "archive").alias("name"), "content")
+
+
 def write_markdown(documents: DataFrame, folder: str) -> DataFrame:
     """Write each document to a local or mounted folder; gives name and path. Each task writes its own rows, so nothing is gathered."""
 

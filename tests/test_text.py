@@ -74,6 +74,33 @@ def test_library_changes(spark):
     assert [(r.id, r.words) for r in library.listing(docs).collect()] == [("b", 1), ("a", 2)]
     got = {r.id: (r.name, r.markdown) for r in library.apply_changes(docs.where("name is not null"), changes).collect()}
     assert got == {"a": ("AA.md", "x y")}
+    taken = spark.createDataFrame([("a", "rename", "b.MD", None, 5), ("n", "save", "B", "w", 9)], "id string, op string, name string, markdown string, updated long")
+    got = {r.id: r.name for r in library.apply_changes(docs.where("name is not null"), taken).collect()}
+    assert got == {"b": "B.md", "a": "b 2.md", "n": "B 3.md"}
+    assert [r.markdown for r in library.read(docs, "a").collect()] == ["x y"] and not library.read(docs, "c").collect()
+    new = library.created(spark.createDataFrame([("n", None, 4), ("m", "Tide", 5)], "id string, name string, updated long"))
+    assert {(r.name, r.markdown) for r in library.apply_changes(docs.where("1 = 0"), new).collect()} == {("Untitled.md", "# Untitled\n\n"), ("Tide.md", "# Tide\n\n")}
+
+
+def test_small_functions(spark):
+    got = [r.s for r in spark.createDataFrame([(1,), (1499,), (1500,), (2_345_000,)], "n long").select(md.describe_size("n").alias("s")).collect()]
+    assert got == ["1 KB", "1 KB", "2 KB", "2.3 MB"]
+    from foliospark.parse.blocks import inline
+    from foliospark.parse.html import editable_to_markdown
+    from foliospark.parse.markup import parse_html
+
+    assert [(p["kind"], p["text"]) for p in inline("x<sup>2</sup> H<sub>2</sub>O<br/>end")] == [("text", "x"), ("sup", "2"), ("text", " H"), ("sub", "2"), ("text", "O"), ("br", "\n"), ("text", "end")]
+    assert editable_to_markdown("<p>a\u00a0 b&nbsp;c</p>").strip() == "a b c"
+    root = parse_html("<div><ul><li>x</li></ul></div>")
+    assert root.path_to(root.first("li")).endswith("div/ul/li") and root.path_to(parse_html("<p>y</p>")) == ""
+
+
+def test_one_document_is_given_as_it_is(spark):
+    from foliospark.sources import sinks
+
+    one = spark.createDataFrame([("a.md", "a.txt", "text"), ("b.md", "b.txt", None)], "output_name string, name string, document string")
+    assert [(r.name, bytes(r.content)) for r in sinks.exported(one).collect()] == [("a.md", b"text")]
+    assert all(r.name.endswith(".zip") for r in sinks.exported(one.fillna("x")).collect())
 
 
 def test_tables_natively_and_in_python(spark):
