@@ -18,14 +18,15 @@ the memberships (signature, node) of signatures that several nodes have: linear
 2. Signatures whose nodes are of one component are done. Of the others, those of up to SMALL nodes give their pairs of different components.
 A pair that this leaves open shares TIMES segments that are all in larger ones: the rarest of them still joins the two if each node gives up
 its most frequent signatures, of TIMES - 1 segments. That leaves few nodes and small groups; there are up to ROUNDS rounds.
-Larger groups give, in each round, the pairs of their nodes with one of them, picked by a hash of the round: linear, and most of a family of copies is one component soon.
-3. What is still larger and of several components is *hot*. Its nodes are written as differences D(x) from a centre q (what most of a sample of
-the nodes have of one of them): two sets differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles whatever q is. Either |D(x)| and |D(y)| alone are small enough, then both
+Of a larger group one node is picked by a hash, and each node is held against one that is picked in any of its groups: one pair a node and round, and most of a family of copies is one component soon.
+3. What is still larger and of several components is *hot*. Its nodes are written as differences D(x) from a centre q (what half of a sample of
+the nodes have): two sets differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles whatever q is. Either |D(x)| and |D(y)| alone are small enough, then both
 are linked to the node with the least difference for its size, or linked nodes share some of their differences. A prefix filter over the
 differences, by bands of |D| of the larger one and with shingles that q lacks first, rare ones before others, finds every such pair. Near copies of one text
 differ from it each in its own way, and texts that share a passage each have a rest of their own, so that neither yields pairs that don't link.
 4. Sets uncovered to the last meet by a prefix filter of their own.
-All candidates pass sizes and a sketch of 256 counts (which only drop pairs that can't link) and are then verified exactly on the whole sets.
+In 3 and 4 pairs pass the parities of their shingles in 1024 cells, in the join itself. All candidates pass sizes and a sketch of 256 counts. These only drop pairs that
+can't link; what is left is verified exactly on the whole sets.
 
 Nulls, empty texts and texts of separators have an empty set and link with nothing; their component is their own doc_id. doc_id is of an integer type and
 names a document: rows that share one are one node of the graph. A row without a doc_id has a null component. Repeated rows are copies like others; very long texts have long
@@ -62,6 +63,8 @@ BUCKET, FLUSH = 400_000, 500_000
 COUNTERS, COUNTER_PART = 1 << 20, 1 << 14
 #: Nodes of a hot group, about, that make its centre.
 SAMPLE = 12
+#: Numbers of 64 parity bits of a set.
+PARITIES = 16
 _U = np.uint64
 
 
@@ -401,14 +404,38 @@ def _pairs_of(members: DataFrame) -> DataFrame:
     return x.join(y, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
 
 
-def _pairs_by_key(found: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs a < b of different components, one of role 1 and one of role 2, under one key; found: met_in_buckets of 4 * node + roles (each key of a node once)."""
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITIES numbers of 64 bits, each bit telling whether an odd number of shingles fall on it: two sets differ in no less shingles than bits."""
+    place = (shingles >> _U(16)) % _U(64 * PARITIES)
+    odd = (np.bincount(place.astype(np.int64), minlength=64 * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _parities(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, p0 to p15 for nodes (node)."""
+    names = [f"p{i}" for i in range(PARITIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_unpack(x.as_py()) for x in batch.column(1)]
+            bits = np.array([parity(x) for x in found], np.int64).reshape(-1, PARITIES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(PARITIES))], names=["node", "n", *names])
+
+    return materialize(_only(sets, nodes).select("node", "set").mapInArrow(run, ", ".join(f"{c} long" for c in ["node", "n", *names])), "parities")
+
+
+def _pairs_by_key(found: DataFrame, components: DataFrame, parities: DataFrame) -> DataFrame:
+    """Pairs a < b of different components, one of role 1 and one of role 2, under one key, that parities don't rule out; found: met_in_buckets of 4 * node + roles (each key of a node once)."""
     rows = found.where(f"kind = {MEMBER}").select(F.col("other").alias("key"), F.expr("node >> 2").alias("node"), F.expr("node & 3").alias("roles"))
     rows = materialize(_with_component(rows, components, "node", "component").distinct(), "keys")
     shared = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_or("roles").alias("all"))
-    rows = materialize(rows.join(shared.where("low <> high and all = 3").select("key"), "key", "left_semi"), "keys")
-    x, y = (rows.where(F.expr(f"roles & {r} > 0")).select("key", F.col("node").alias(f"node{r}"), F.col("component").alias(f"component{r}")) for r in (1, 2))
-    return x.join(y, "key").where("component1 <> component2").select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    rows = rows.join(shared.where("low <> high and all = 3").select("key"), "key", "left_semi").join(parities, "node")
+    rows = materialize(rows, "keys")
+    x, y = (rows.where(F.expr(f"roles & {r} > 0")).select("key", *(F.col(c).alias(f"{c}_{r}") for c in rows.columns if c not in ("key", "roles"))) for r in (1, 2))
+    apart = " + ".join(f"bit_count(p{i}_1 ^ p{i}_2)" for i in range(PARITIES))
+    fit = f"component_1 <> component_2 and {DEN} * least(n_1, n_2) >= {NUM} * greatest(n_1, n_2) and {DEN + NUM} * ({apart}) <= {DEN - NUM} * (n_1 + n_2)"
+    met = x.join(y, (x["key"] == y["key"]) & F.expr(fit))
+    return met.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
 @lru_cache
@@ -470,29 +497,15 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def _centres(sets: DataFrame, asked: DataFrame) -> DataFrame:
-    """a, centre: of each pivot a (a, b: it and its nodes) the shingles that half of a sample of its nodes have; any set would do, a good one leaves small differences."""
+    """a, centre: of each pivot a (asked has its nodes b) the shingles that half of a sample of its nodes have; any set would do, a good one leaves small differences."""
     size = asked.groupBy("a").agg(F.count("*").alias("k"))
-    some = asked.join(size, "a").where(f"pmod(xxhash64(b), greatest(1L, k div {SAMPLE})) = 0").select("a", "b")
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last, q, n, out = None, np.empty(0, _U), None, []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if a != last:
-                    last, q, n = a, _unpack(x.as_py()), 0
-                out.append(np.isin(q, _unpack(y.as_py()), assume_unique=True).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["a", "set_a", "has"])
+    some = asked.join(size, "a").where(f"pmod(xxhash64(b), greatest(1L, k div {SAMPLE})) = 0 or b = a").select("a", F.col("b").alias("node"))
 
     def centre(rows: pa.Table) -> pa.Table:
-        q = _unpack(rows.column("set_a")[0].as_py())
-        has = np.zeros(len(q), np.int64)
-        for x in rows.column("has"):
-            x = np.frombuffer(x.as_py(), np.bool_)
-            has += x if len(x) == len(q) else 0  # a doc_id with rows of several sets: any of them
-        return pa.table([rows.column("a").slice(0, 1), pa.array([_pack(q[2 * has >= rows.num_rows])], pa.binary())], names=["a", "centre"])
+        held, times = np.unique(np.concatenate([_unpack(x.as_py()) for x in rows.column("set")]), return_counts=True)
+        return pa.table([rows.column("a").slice(0, 1), pa.array([_pack(held[2 * times >= rows.num_rows])], pa.binary())], names=["a", "centre"])
 
-    met = _facing(sets, some).select("a", "set_a", "set").mapInArrow(held, "a long, set_a binary, has binary")
-    return materialize(met.groupBy("a").applyInArrow(centre, "a long, centre binary"), "centres", "none")
+    return materialize(_only(sets, some).select("a", "set").groupBy("a").applyInArrow(centre, "a long, centre binary"), "centres", "none")
 
 
 def _differences(sets: DataFrame, asked: DataFrame, centres: DataFrame, often: Callable[[], np.ndarray]) -> DataFrame:
@@ -564,8 +577,8 @@ def join_groups(docs: DataFrame) -> DataFrame:
         groups = groups.where("low <> high").select("sig", F.col("p.node").alias("pivot"), F.col("p.component").alias("of"), "times", (F.col("times") > SMALL).alias("hot"))
         joined = materialize(placed.join(groups, "sig"), "members")
         release(placed, *written)
-        stars = joined.where("hot and component <> of").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        pairs = _pairs_of(joined.where("not hot")).unionAll(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        stars = joined.where("hot and component <> of").groupBy(F.col("node").alias("b")).agg(F.min(F.struct(F.xxhash64("pivot", F.lit(k)).alias("h"), "pivot"))["pivot"].alias("a"))
+        pairs = _pairs_of(joined.where("not hot")).unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = _verified(sets, _likely(pairs, reps), "near")
         links = links.unionAll(new)
         components = materialize(connected_components(links), "components")
@@ -590,7 +603,8 @@ def join_groups(docs: DataFrame) -> DataFrame:
     open_ = hot.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     hot = hot.join(open_, "sig", "left_semi")
     pivots = hot.groupBy("of").agg(F.min(F.struct(F.xxhash64("pivot").alias("h"), "pivot"))["pivot"].alias("a"))
-    asked = materialize(hot.select("of", F.col("node").alias("b")).distinct().join(pivots, "of").select("a", "b"), "asked")
+    asked = hot.select("of", F.col("node").alias("b")).distinct().join(pivots, "of").select("a", "b")
+    asked = materialize(asked.unionAll(pivots.select("a", F.col("a").alias("b"))).distinct(), "asked")
     if asked.limit(1).count():
         sent = docs.sparkSession.sparkContext.broadcast(_frequencies(_only(sets, asked.select(F.col("b").alias("node")).distinct())))
         differences = _differences(sets, asked, _centres(sets, asked), lambda: sent.value)
@@ -602,13 +616,14 @@ def join_groups(docs: DataFrame) -> DataFrame:
         components = materialize(connected_components(links), "components")
         met = met_in_buckets(differences.select("b", "keys1", "keys2", "keys3"), _keyed, max(64, math.ceil(100 * asked.count() / BUCKET)))
         met = materialize(met, "keys")
+        parities = _parities(sets, asked.select(F.col("b").alias("node")).distinct())
         release(differences)
-        links = links.unionAll(_verified(sets, _likely(_pairs_by_key(met, components), reps), "hot"))
+        links = links.unionAll(_verified(sets, _likely(_pairs_by_key(met, components, parities), reps), "hot"))
         components = materialize(connected_components(links), "components")
     # 4. Sets that no cut covers.
     if bare.limit(1).count():
         met = materialize(met_in_buckets(_only(sets, bare).select("node", "set"), _smallest, 64), "bare")
-        links = links.unionAll(_verified(sets, _likely(_pairs_by_key(met, components), reps), "bare"))
+        links = links.unionAll(_verified(sets, _likely(_pairs_by_key(met, components, _parities(sets, bare)), reps), "bare"))
         components = materialize(connected_components(links), "components")
     named = _with_component(reps, components, "rep", "component")
     out = sets.select("doc_id", "n", "print").join(materialize(named.select("print", F.col("n").alias("n2"), "component"), "named"), "print", "left")
