@@ -62,7 +62,7 @@ BUCKET, FLUSH = 400_000, 500_000
 #: Counters that order the shingles of hot groups, and how many of them one row holds.
 COUNTERS, COUNTER_PART = 1 << 20, 1 << 14
 #: Nodes of a hot group, about, that make its centre.
-SAMPLE = 12
+SAMPLE = 6
 #: Numbers of 64 parity bits of a set.
 PARITIES = 16
 _U = np.uint64
@@ -346,6 +346,8 @@ def _met_in_bucket(rows: pa.Table) -> pa.Table:
 
 #: Rows (16 bytes each) up to which the nodes that are asked for are broadcast to pick their sets out of all; beyond, a shuffle join picks them.
 BROADCAST_NODES = 1_000_000
+#: Bytes of centres up to which they are broadcast to their nodes; beyond, a shuffle join brings them together.
+BROADCAST_BYTES = 32_000_000
 
 
 def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -364,6 +366,9 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             ok = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *cells)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
+    pairs = materialize(pairs.select("a", "b"), "candidates")
+    if pairs.count() <= BROADCAST_NODES:
+        pairs = F.broadcast(pairs)
     for c in "ab":
         pairs = pairs.join(reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
     return pairs.where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
@@ -395,6 +400,8 @@ def _verified(sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
 
 def _with_component(rows: DataFrame, components: DataFrame, node: str, as_: str) -> DataFrame:
     c = components.select(F.col("node").alias(node), F.col("component").alias(as_))
+    if components.count() <= BROADCAST_NODES:
+        c = F.broadcast(c)
     return rows.join(c, node, "left").withColumn(as_, F.coalesce(as_, node))
 
 
@@ -531,7 +538,9 @@ def _differences(sets: DataFrame, asked: DataFrame, centres: DataFrame, often: C
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ds, pa.int64()), *(pa.array(m, pa.binary()) for m in made)], names=names)
 
     far = _only(sets, asked.withColumnRenamed("b", "node"))
-    both = centres.join(far, "a").select("a", F.col("node").alias("b"), "centre", "set")
+    if centres.agg(F.coalesce(F.sum(F.octet_length("centre")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        centres = F.broadcast(centres)
+    both = far.join(centres, "a").select("a", F.col("node").alias("b"), "centre", "set")
     return materialize(both.mapInArrow(run, "a long, b long, n long, d long, keys1 binary, keys2 binary, keys3 binary"), "differences", "none")
 
 
@@ -625,9 +634,12 @@ def join_groups(docs: DataFrame) -> DataFrame:
         met = materialize(met_in_buckets(_only(sets, bare).select("node", "set"), _smallest, 64), "bare")
         links = links.unionAll(_verified(sets, _likely(_pairs_by_key(met, components, _parities(sets, bare)), reps), "bare"))
         components = materialize(connected_components(links), "components")
-    named = _with_component(reps, components, "rep", "component")
-    out = sets.select("doc_id", "n", "print").join(materialize(named.select("print", F.col("n").alias("n2"), "component"), "named"), "print", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    named = _with_component(reps, components, "rep", "component").select("print", F.col("n").alias("n2"), "component")
+    out = sets.select("doc_id", "n", "print").join(materialize(named, "named"), "print", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = materialize(out, "groups")
+    release(sets, reps)
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
