@@ -37,20 +37,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import materialize, mix, prepare, table
+from foliospark.llm._common import materialize, mix, prepare, release, table
 from foliospark.llm.components import connected_components
-from foliospark.llm.jaccard_join import FIRST, MEMBER, met_in_buckets
+from foliospark.llm.jaccard_join import BROADCAST_NODES, FIRST, MEMBER, met_in_buckets
 
 SIMILARITY, SHORT, FAR = 0.9, 40, 20
 #: Bounds of the edit distance that are tried before the largest one; characters beyond which lines are compared by bit vectors.
-STEPS, LONG = (4, 16), 400
+STEPS, LONG = (4, 16, 64, 256), 1500
 #: Words a block, least characters of the distinct words of a block, share of the words from which a line is dealt to the next number of blocks too.
 WORDS_EACH, LEAST_CHARS, CLOSE = 3, 10, 0.85
 #: The number of blocks is 2 to this power at most (there are 12 bits for it, and 20 for the lines of a piece).
 MOST_BITS = 11
 SMALL, ROUNDS, SLICE, BUCKET = 8, 3, 4096, 400_000
 #: Bytes of text read at a time; words whose bits are spread out at a time (64 bytes each); nodes that a task remembers.
-PIECE, WORDS_AT_ONCE, SEEN = 2_000_000, 100_000, 300_000
+PIECE, WORDS_AT_ONCE, SEEN = 500_000, 100_000, 300_000
 _U = np.uint64
 
 # Classes of bytes. 0: between words, 1: in a word, 2: newline, 3: digit, 4: left out.
@@ -154,6 +154,16 @@ def normal(line: str) -> str:
     return found.form(0) if len(found.key) else ""
 
 
+def _added(rows: np.ndarray, start: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows of 64 numbers, each sum at most `most`; eight numbers of a byte are added at a time where that fits."""
+    small = most < 256
+    out = np.add.reduceat(rows.astype(np.uint8, copy=False).view(_U), start, axis=0).view(np.uint8).astype(np.int32)
+    ends = np.append(start[1:], len(rows))
+    for i in np.flatnonzero(~small).tolist():
+        out[i] = rows[start[i] : ends[i]].sum(axis=0, dtype=np.int32)
+    return out
+
+
 def simhash_blocks(words: np.ndarray, chars: np.ndarray, owner: np.ndarray, blocks: np.ndarray, deal: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """SimHash of each owner's words (all owners have some); the values of its blocks that have LEAST_CHARS, and their owners. blocks: their number, by owner."""
     number = blocks[owner].astype(_U)
@@ -172,10 +182,10 @@ def simhash_blocks(words: np.ndarray, chars: np.ndarray, owner: np.ndarray, bloc
         b = max(a + 1, int(np.searchsorted(start, start[a] + WORDS_AT_ONCE, side="right")) - 1)
         stop = start[b] if b < len(start) else len(owner)
         bits = np.unpackbits(words[start[a] : stop].view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, start[a:b] - start[a], axis=0, dtype=np.uint8 if size[a:b].max() < 256 else np.int32)
-        prints[a:b] = np.packbits(2 * votes.astype(np.int32) > size[a:b, None], axis=1).view(_U).ravel()
+        votes = _added(bits, start[a:b] - start[a], size[a:b])
+        prints[a:b] = np.packbits(2 * votes > size[a:b, None], axis=1).view(_U).ravel()
         line = np.flatnonzero(np.append(True, of[a + 1 : b] != of[a : b - 1]))
-        ones[of[a:b][line]] += np.add.reduceat(votes, line, axis=0, dtype=np.int32)
+        ones[of[a:b][line]] += _added(votes, line, np.add.reduceat(size[a:b], line))
         a = b
     whole = np.packbits(2 * ones > np.bincount(owner, minlength=len(blocks))[:, None], axis=1).view(_U).ravel()
     full = np.add.reduceat(chars, start) >= LEAST_CHARS if len(start) else np.empty(0, bool)
@@ -321,12 +331,14 @@ def distance(x: str, y: str) -> int:
 
 def _similar(pairs: DataFrame, prints: DataFrame, forms: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose normal forms are similar."""
+    held = pairs = materialize(pairs.select("a", "b"), "candidates")
+    few = held.count() <= BROADCAST_NODES
     for c in "ab":
-        pairs = pairs.join(prints.select(F.col("node").alias(c), F.col("print").alias(f"p{c}"), F.col("size").alias(f"z{c}")), c)
+        pairs = (F.broadcast(pairs) if few else pairs).join(prints.select(F.col("node").alias(c), F.col("print").alias(f"p{c}"), F.col("size").alias(f"z{c}")), c)
     close = f"10 * abs(za - zb) <= greatest(za, zb) and (least(za, zb) <= {SHORT} or bit_count(pa ^ pb) <= {FAR})"
     pairs = materialize(pairs.where(close).select("a", "b"), f"{name}-pairs")
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    found = materialize(forms.join(asked, "node", "left_semi").dropDuplicates(["node"]), "forms")
+    found = materialize(forms.join(F.broadcast(asked) if few else asked, "node", "left_semi").dropDuplicates(["node"]), "forms")
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("form").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("form").alias("y")), "b")
     most = f"cast(floor({1 - SIMILARITY:.6f} * greatest(length(x), length(y))) as int)"
     # The time grows with the bound, so it is raised in steps: most similar pairs are within a small one.
@@ -339,11 +351,15 @@ def _similar(pairs: DataFrame, prints: DataFrame, forms: DataFrame, name: str) -
             ok = [distance(x, y) * 10 <= max(len(x), len(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return materialize(short.unionAll(both.where(long_).select("a", "b", "x", "y").mapInArrow(check, "a long, b long")), f"{name}-links")
+    links = materialize(short.unionAll(both.where(long_).select("a", "b", "x", "y").mapInArrow(check, "a long, b long")), f"{name}-links")
+    release(held, pairs, found)
+    return links
 
 
 def _placed(rows: DataFrame, components: DataFrame, node: str = "node", as_: str = "component") -> DataFrame:
     c = components.select(F.col("node").alias(node), F.col("component").alias(as_))
+    if components.count() <= BROADCAST_NODES:
+        c = F.broadcast(c)
     return rows.join(c, node, "left").withColumn(as_, F.coalesce(as_, node))
 
 
@@ -392,6 +408,7 @@ def groups_of(nodes: DataFrame) -> DataFrame:
         x, y = (few.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
         pairs = x.join(y, "sig").where("a < b and ca <> cb").select("a", "b")
         pairs = pairs.unionAll(members.where("hot and component <> of").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))).distinct()
+        release(placed)
         new = _similar(pairs, prints, forms, "near")
         links = links.unionAll(new)
         components = materialize(connected_components(links), "components")
