@@ -206,9 +206,11 @@ def format_bytes(n) -> Column:
 
 
 def describe_size(n) -> Column:
-    """What a picture adds to a document: whole thousands of bytes, one at least, or millions with one digit."""
+    """What a picture adds to a document: whole thousands of bytes, one at least, or millions with one digit.
+
+    format_number rounds the quotient's own binary value, as printf does; format_string's %.1f would round its shortest digits (1.15 to 1.2)."""
     n = _col(n)
-    return F.when(n >= 1_000_000, F.format_string("%.1f MB", n / 1_000_000)).otherwise(F.format_string("%d KB", F.greatest(F.lit(1), F.floor(n / 1000 + 0.5)).cast("long")))
+    return F.when(n >= 1_000_000, F.concat(F.call_function("format_number", n / 1_000_000, F.lit("0.0")), F.lit(" MB"))).otherwise(F.format_string("%d KB", F.greatest(F.lit(1), F.floor(n / 1000 + 0.5)).cast("long")))
 
 
 def image_type(name) -> Column:

@@ -141,3 +141,10 @@ def test_long_numbers_count_as_taken(spark):
     rows = [(0, "page-1500.md"), (1, "page-99999999999999999999.md"), *((i, "page.md") for i in range(2, 1602))]
     got = [r.unique_name for r in library.unique_names(spark.createDataFrame(rows, "id int, name string"), "name", "id", spaced=False).collect()]
     assert len(set(got)) == len(got) and "page-1499.md" in got and "page-1501.md" in got
+
+
+def test_sizes_round_like_printf(spark):
+    """The binary value of a quotient is rounded (1.15 is a little less, 1.35 a little more), exact halves to the even digit."""
+    n = [1_000_000, 1_050_000, 1_150_000, 1_250_000, 1_350_000, 1_750_000, 2_949_999, 9_950_000, 12_250_000, 12_345_678_950_000, *range(1_050_000, 20_000_000, 100_000)]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in n], "n long").select(md.describe_size("n").alias("s")).collect()]
+    assert got == [f"{x / 1_000_000:.1f} MB" for x in n]
