@@ -12,13 +12,17 @@ that number is dealt to both, one of four blocks twice by different hashes), and
 pigeonhole principle lines that differ in fewer words than half of the blocks share one. Blocks of few letters say little and are left out, unless a line has no others. Where the
 shorter line has up to SHORT characters, the longer one is cut into one segment more than edits can touch, and the shorter one is looked up
 under all its substrings that can be such a segment: no pair of these is lost. Nodes that share a block are verified by their
-edit distance, unless their lengths rule it out, or both are longer than SHORT and their SimHashes differ in over FAR bits.
+edit distance, unless their lengths or bags rule it out, or both are longer than SHORT and their SimHashes differ in over FAR bits.
+
+A bag counts a form's characters in 16 bins, modulo 16, each as eight bits of a Johnson counter: codes of counts i and j differ in as many bits as
+there are steps from i to j around the circle, never more than |i - j|. An edit takes one character away, adds one, or both, so the bits in which two bags differ
+and the difference in length are together at most twice the edit distance: bags rule out no similar pair, and all but few of the others.
 
 Texts are read once, with numpy over the bytes of a batch. Every line of every text takes part. A node's occurrences are only counted and joined, never gathered: a line that stands
 in a third of all documents is a hot key of a join, whose partition the adaptive planner can split. Blocks travel packed
 by hash bucket; what comes back is each node's smallest companion and memberships (block, node). Nodes are held against their smallest companion; then, in
 rounds, small groups give their pairs of different components, larger ones the pairs with one node picked by a hash. What larger groups then still
-hold in several components is compared in slices of their nodes, by lengths and SimHashes first, so that the size of a group changes no result.
+hold in several components is compared in slices of their nodes, by lengths, SimHashes and bags first, so that the size of a group changes no result.
 
 Lines without a word are left alone and no occurrence of anything. Null texts stay null, empty ones empty; very long texts are read in pieces of whole
 lines. Rows that share a doc_id are one document; rows without one are left alone and take no part. Equal lines are told apart by (doc_id, line). Extra
@@ -57,6 +61,11 @@ _U = np.uint64
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(97, 123), *range(65, 91), 95, *range(128, 256)]] = 1
 _KIND[48:58], _KIND[10] = 3, 2
+# Bins of a bag: twelve for a frequent letter each, four that the other ASCII characters share; characters beyond share all. Codes of 0 to 15.
+_BIN = (12 + np.arange(256) % 4).astype(np.int64)
+_BIN[[*b"etaoinsrhldu"]] = np.arange(12)
+_STEP = np.array([(1 << i) - 1 for i in range(8)] + [0xFF & ~((1 << i) - 1) for i in range(8)], np.uint8)
+BAG = ["bag0", "bag1"]
 
 
 def fold(text: str) -> str:
@@ -147,6 +156,23 @@ class Lines:
         at = np.repeat(self.first[lines] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         return self.hash[at], self.chars[at], np.repeat(np.arange(len(lines)), n)
 
+    def bags(self, lines: np.ndarray) -> np.ndarray:
+        """Two numbers for each of some lines: its characters in 16 bins, as codes of eight bits."""
+        n = (self._to - self._from)[lines]
+        at = np.repeat(self._from[lines] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        data = np.append(np.frombuffer(self._bytes, np.uint8)[at], np.zeros(3, np.uint8))
+        head = np.flatnonzero((data[:-3] & 0xC0) != 0x80)
+        owner = np.repeat(np.arange(len(lines)), n)[head]
+        place = _BIN[data[head]]
+        wide = np.flatnonzero(data[head] >= 0xC0)
+        first = head[wide]
+        code = data[first].astype(np.int64)
+        for i, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+            code = code * 67 + np.where(data[first] >= least, data[first + i], 0)
+        place[wide] = (code * 0x9E3779B1 >> 16) % 16
+        count = np.bincount(owner * 16 + place, minlength=len(lines) * 16).reshape(-1, 16)
+        return np.ascontiguousarray(_STEP[count & 15]).view(np.int64)
+
 
 def normal(line: str) -> str:
     """The normal form of one line; empty without a word."""
@@ -269,13 +295,13 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[
         yield ids, firsts, texts
 
 
-SCANNED = "node long, doc_id long, line long, form string, print long, size int, blocks binary"
+SCANNED = "node long, doc_id long, line long, form string, print long, size int, blocks binary, " + ", ".join(f"{c} long" for c in BAG)
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """In one reading of the texts: a row (node, doc_id, line) for each line with a word, and a row (node, form, print, size, blocks) for each node that is new to the task."""
-    names = ["node", "doc_id", "line", "form", "print", "size", "blocks"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
+    """In one reading of the texts: a row (node, doc_id, line) for each line with a word, and a row (node, form, print, size, blocks, bag) for each node that is new to the task."""
+    names = ["node", "doc_id", "line", "form", "print", "size", "blocks", *BAG]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), *(pa.int64() for _ in BAG)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -290,7 +316,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 prints, blocks = fingerprints(lines, new)
                 seen_rows = [pa.array(lines.key), pa.array(np.array(ids, np.int64)[lines.text]), pa.array(lines.number + np.array(firsts, np.int64)[lines.text])]
                 yield pa.RecordBatch.from_arrays([*seen_rows, *(pa.nulls(len(lines.key), k) for k in kinds[3:])], names=names)
-                node_rows = [pa.array([lines.form(i) for i in new.tolist()], pa.string()), pa.array(prints.view(np.int64)), pa.array(lines.size[new].astype(np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())]
+                node_rows = [pa.array([lines.form(i) for i in new.tolist()], pa.string()), pa.array(prints.view(np.int64)), pa.array(lines.size[new].astype(np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary()), *map(pa.array, lines.bags(new).T.copy())]
                 yield pa.RecordBatch.from_arrays([pa.array(lines.key[new]), pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.int64()), *node_rows], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCANNED)
@@ -334,8 +360,10 @@ def _similar(pairs: DataFrame, prints: DataFrame, forms: DataFrame, name: str) -
     held = pairs = materialize(pairs.select("a", "b"), "candidates")
     few = held.count() <= BROADCAST_NODES
     for c in "ab":
-        pairs = (F.broadcast(pairs) if few else pairs).join(prints.select(F.col("node").alias(c), F.col("print").alias(f"p{c}"), F.col("size").alias(f"z{c}")), c)
-    close = f"10 * abs(za - zb) <= greatest(za, zb) and (least(za, zb) <= {SHORT} or bit_count(pa ^ pb) <= {FAR})"
+        own = prints.select(F.col("node").alias(c), F.col("print").alias(f"p{c}"), F.col("size").alias(f"z{c}"), *(F.col(x).alias(f"{x}{c}") for x in BAG))
+        pairs = (F.broadcast(pairs) if few else pairs).join(own, c)
+    apart = " + ".join(f"bit_count({x}a ^ {x}b)" for x in BAG)
+    close = f"10 * abs(za - zb) <= greatest(za, zb) and (least(za, zb) <= {SHORT} or bit_count(pa ^ pb) <= {FAR}) and 5 * ({apart} + abs(za - zb)) <= greatest(za, zb)"
     pairs = materialize(pairs.where(close).select("a", "b"), f"{name}-pairs")
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
     found = materialize(forms.join(F.broadcast(asked) if few else asked, "node", "left_semi").dropDuplicates(["node"]), "forms")
@@ -367,14 +395,18 @@ def _between(rows: pa.Table) -> pa.Table:
     """Pairs a < b of nodes of one slice of a group that may be similar and are in two components."""
     node, of, z, p = (rows.column(c).to_numpy() for c in ("node", "component", "size", "print"))
     order = np.argsort(node)
-    node, of, z, p = node[order], of[order], z[order], p[order].astype(np.int64).view(_U)
+    node, of, z, p = node[order], of[order], z[order].astype(np.int64), p[order].astype(np.int64).view(_U)
+    bag = np.stack([rows.column(c).to_numpy().astype(np.int64).view(_U) for c in BAG], axis=1)[order]
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i in range(len(node) - 1):
         y, q = z[i + 1 :], p[i + 1 :]
         close = (of[i + 1 :] != of[i]) & (10 * np.abs(y - z[i]) <= np.maximum(y, z[i])) & ((np.minimum(y, z[i]) <= SHORT) | (np.bitwise_count(q ^ p[i]) <= FAR))
-        if close.any():
-            right.append(node[i + 1 :][close])
-            left.append(np.full(len(right[-1]), node[i]))
+        at = np.flatnonzero(close) + i + 1
+        if len(at):
+            steps = np.bitwise_count(bag[at] ^ bag[i]).sum(axis=1, dtype=np.int64)
+            at = at[5 * (steps + np.abs(z[at] - z[i])) <= np.maximum(z[at], z[i])]
+            right.append(node[at])
+            left.append(np.full(len(at), node[i]))
     return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], names=["a", "b"])
 
 
@@ -384,40 +416,42 @@ def _left_apart(members: DataFrame, components: DataFrame, prints: DataFrame) ->
     apart = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / SLICE).alias("slices")).where("low <> high")
     rows = placed.join(apart.select("sig", "slices"), "sig").join(prints, "node").withColumn("own", F.expr("pmod(xxhash64(node), slices)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, slices - 1)"))).withColumns({"i": F.least("own", "other"), "k": F.greatest("own", "other")})
-    return rows.select("sig", "i", "k", "node", "component", "print", "size").groupBy("sig", "i", "k").applyInArrow(_between, "a long, b long").distinct()
+    return rows.select("sig", "i", "k", "node", "component", "print", "size", *BAG).groupBy("sig", "i", "k").applyInArrow(_between, "a long, b long").distinct()
 
 
 def groups_of(nodes: DataFrame) -> DataFrame:
-    """node, component of the nodes that are linked to another one; nodes: node, form, print, size, blocks, a node more than once or not."""
-    prints = materialize(nodes.select("node", "print", "size").dropDuplicates(["node"]), "prints")
+    """node, component of the nodes that are linked to another one; nodes: node, form, print, size, blocks, bag, a node more than once or not."""
+    prints = materialize(nodes.select("node", "print", "size", *BAG).dropDuplicates(["node"]), "prints")
     forms = nodes.select("node", "form")
     size = nodes.agg(F.coalesce(F.sum(F.octet_length("blocks")), F.lit(0))).first()[0] / 8
     found = materialize(met_in_buckets(nodes.select("node", "blocks"), _blocks_of, max(64, math.ceil(size / BUCKET))), "found")
     first = found.where(f"kind = {FIRST}").groupBy(F.col("node").alias("b")).agg(F.min("other").alias("a"))
     links = _similar(first.select("a", "b"), prints, forms, "first")
     components = materialize(connected_components(links), "components")
-    members = found.where(f"kind = {MEMBER}").select("node", F.col("other").alias("sig")).distinct()
+    members, written = found.where(f"kind = {MEMBER}").select("node", F.col("other").alias("sig")).distinct(), [found]
     for k in range(ROUNDS):
         placed = _placed(members, components)
         placed = materialize(placed, "members") if k == 0 else placed
         pivot = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")).alias("p")
         groups = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot, F.count("*").alias("times"))
         groups = groups.where("low <> high").select("sig", F.col("p.node").alias("pivot"), F.col("p.component").alias("of"), (F.col("times") > SMALL).alias("hot"))
-        members = materialize(placed.join(groups, "sig"), "members")
+        members = joined = materialize(placed.join(groups, "sig"), "members")
+        release(*written)
         few = members.where("not hot")
         x, y = (few.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
         pairs = x.join(y, "sig").where("a < b and ca <> cb").select("a", "b")
         pairs = pairs.unionAll(members.where("hot and component <> of").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))).distinct()
-        release(placed)
         new = _similar(pairs, prints, forms, "near")
         links = links.unionAll(new)
         components = materialize(connected_components(links), "components")
-        members = members.where("hot").select("sig", "node")
+        members, written = members.where("hot").select("sig", "node"), [placed, joined]
         if k and new.isEmpty():
             break
     apart = materialize(_left_apart(members, components, prints), "apart")
+    release(*written)
     if not apart.isEmpty():
         components = materialize(connected_components(links.unionAll(_similar(apart, prints, forms, "apart"))), "components")
+    release(prints, apart)
     return components
 
 
@@ -425,13 +459,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs with its text changed, and n_lines (with a word), n_removed."""
     prepare(docs.sparkSession)
     scanned = materialize(_scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "lines")
-    seen = scanned.where("doc_id is not null").select("node", "doc_id", "line")
-    components = groups_of(scanned.where("doc_id is null").select("node", "form", "print", "size", "blocks"))
+    components = groups_of(scanned.where("doc_id is null").select("node", "form", "print", "size", "blocks", *BAG))
+    seen = materialize(scanned.where("doc_id is not null").select("node", "doc_id", "line"), "seen")
+    release(scanned)
     nodes = seen.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
     placed = materialize(_placed(nodes, components), "placed")
     kept = placed.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("component", "keep")
     several = materialize(placed.select("node", "component").join(kept, "component").select("node", "keep"), "several")
     gone = F.when((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")), F.col("line").cast("int"))
+    release(placed)
     by_doc = seen.join(several, "node", "left").groupBy(F.col("doc_id").alias("__fs_id")).agg(F.count_distinct("line").cast("int").alias("__fs_lines"), F.collect_set(gone).alias("__fs_gone"))
 
     @F.pandas_udf("string")

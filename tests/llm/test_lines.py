@@ -171,3 +171,40 @@ def test_members_of_a_hot_group_unlike_its_first_are_found(make):
     rows = L.dedup(make([*texts.items(), *copies.items()]).repartition(3)).collect()
     removed = {r.doc_id for r in rows if r.n_removed}
     assert set(copies) <= removed and len(removed) < 200
+
+
+def test_bags_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnorstu0_ éüжω漢字\U0001f600")
+    texts = []
+    for _ in range(400):
+        a = "".join(rng.choice(letters, rng.integers(5, 150)))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 9))):
+            i = int(rng.integers(len(b))) if b else 0
+            b[i : i + int(rng.integers(0, 2))] = rng.choice(letters, rng.integers(0, 2)).tolist()
+        texts += [a, "".join(b)]
+    lines = L.Lines(texts)
+    bags = lines.bags(np.arange(len(lines.key))).view(np.uint64)
+    at = {t: i for i, t in enumerate(lines.text.tolist())}
+    held = 0
+    for k in range(0, len(texts), 2):
+        if k in at and k + 1 in at:
+            a, b = lines.form(at[k]), lines.form(at[k + 1])
+            assert int(np.bitwise_count(bags[at[k]] ^ bags[at[k + 1]]).sum()) + abs(len(a) - len(b)) <= 2 * distance(a, b)
+            held += 1
+    assert held > 350
+
+
+def test_slices_of_a_group_send_no_pairs_of_unlike_letters():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    forms = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60, p=rng.dirichlet(np.full(26, 0.4)))) for _ in range(60)]
+    forms += [f[:30] + "zq" + f[32:] for f in forms[:10]]
+    lines = L.Lines(forms)
+    bags = lines.bags(np.arange(len(forms)))
+    columns = {"node": np.arange(len(forms)), "component": np.arange(len(forms)), "size": np.full(len(forms), 60, np.int32), "print": np.zeros(len(forms), np.int64)}
+    made = L._between(pa.table({**columns, **{c: np.ascontiguousarray(bags[:, i]) for i, c in enumerate(L.BAG)}}))
+    pairs = set(zip(made.column("a").to_pylist(), made.column("b").to_pylist(), strict=True))
+    assert {(i, 60 + i) for i in range(10)} <= pairs and len(pairs) < 40  # of 2415 with equal SimHashes
