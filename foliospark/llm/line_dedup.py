@@ -22,7 +22,8 @@ Texts are read once, with numpy over the bytes of a batch. Every line of every t
 in a third of all documents is a hot key of a join, whose partition the adaptive planner can split. Blocks travel packed
 by hash bucket; what comes back is each node's smallest companion and memberships (block, node). Nodes are held against their smallest companion; then, in
 rounds, small groups give their pairs of different components, larger ones the pairs with one node picked by a hash. What larger groups then still
-hold in several components is compared in slices of their nodes, by lengths, SimHashes and bags first, so that the size of a group changes no result.
+hold in several components is compared in slices of their nodes, by lengths, SimHashes and bags, which names the nodes whose forms are needed, and then by edit
+distance in the slice itself, which gives no more links than it has components: pairs are compared there but not written, and the size of a group changes no result.
 
 Lines without a word are left alone and no occurrence of anything. Null texts stay null, empty ones empty; very long texts are read in pieces of whole
 lines. Rows that share a doc_id are one document; rows without one are left alone and take no part. Equal lines are told apart by (doc_id, line). Extra
@@ -46,8 +47,14 @@ from foliospark.llm.components import connected_components
 from foliospark.llm.jaccard_join import BROADCAST_NODES, FIRST, MEMBER, met_in_buckets
 
 SIMILARITY, SHORT, FAR = 0.9, 40, 20
-#: Bounds of the edit distance that are tried before the largest one; characters beyond which lines are compared by bit vectors.
-STEPS, LONG = (4, 16, 64, 256), 1500
+#: Characters beyond which a form doesn't come along into slices; beyond which lines are compared by bit vectors, one pair at a time.
+LONG, LONGEST = 1500, 10_000
+#: Pairs that are compared side by side, and their characters; the least pairs for that; rows and pairs that are gathered.
+LANES, CHARS, FEW, GATHERED = 2048, 6_000_000, 8, 8192
+#: Antidiagonals between two looks at which pairs are decided.
+LOOK = 32
+#: Groups of a node by which a pair that shares several of them is left to one.
+GROUPS = 16
 #: Words a block, least characters of the distinct words of a block, share of the words from which a line is dealt to the next number of blocks too.
 WORDS_EACH, LEAST_CHARS, CLOSE = 3, 10, 0.85
 #: The number of blocks is 2 to this power at most (there are 12 bits for it, and 20 for the lines of a piece).
@@ -355,6 +362,101 @@ def distance(x: str, y: str) -> int:
     return score
 
 
+def within(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Whether each pair's edit distance is at most a tenth of its longer length."""
+    n, m = (np.array([len(t) for t in texts], np.int64) for texts in (xs, ys))
+    most, apart = np.maximum(n, m) // 10, np.abs(n - m)
+    ok = np.zeros(len(xs), bool)
+    rest = np.flatnonzero(apart <= most)
+    rest = rest[np.argsort((n + m)[rest], kind="stable")]
+    while len(rest):
+        at = rest[:LANES]
+        at = at[: max(1, int((np.arange(1, len(at) + 1) * (n + m)[at] <= CHARS).sum()))]
+        if len(at) < FEW or max(n[at].max(), m[at].max()) > LONGEST:
+            at = at[:FEW]
+            ok[at] = [distance(xs[i], ys[i]) <= most[i] for i in at.tolist()]
+        else:
+            ok[at] = _side_by_side([xs[i] for i in at.tolist()], [ys[i] for i in at.tolist()], most[at])
+        rest = rest[len(at) :]
+    return ok
+
+
+def _side_by_side(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the distance of each pair is at most its `most`: the tables of all pairs by antidiagonals, a byte or two a cell.
+
+    A path to the last cell that costs no more than `most` stays on diagonals up to (most + difference in length) / 2 from the first one.
+    Pairs that are decided, or whose smallest values on two antidiagonals exceed their bound, are taken out.
+    """
+    n, m = (np.array([len(t) for t in texts], np.int64) for texts in (xs, ys))
+    codes = np.frombuffer("".join([*xs, *ys]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) and codes.max() >= 254:
+        known, codes = np.unique(codes, return_inverse=True)
+        codes = codes.astype(np.uint8 if len(known) < 254 else np.uint32)
+    else:
+        codes = codes.astype(np.uint8)
+    top = np.iinfo(codes.dtype).max
+    kind, far = (np.uint8, 200) if most.max() < 160 else (np.uint16, 50_000)  # far: too large a distance, with room for LOOK steps
+    reach = max(1, int(((most + np.abs(n - m)) // 2).max()))
+    last = int((n + m).max())
+    front = reach + 2
+    width = front + (last + reach) // 2 + 4
+
+    def laid(codes: np.ndarray, n: np.ndarray, fill: int) -> np.ndarray:
+        out = np.full((len(n), width), fill, codes.dtype)
+        place = np.arange(width)
+        out[(place >= front) & (place < front + n[:, None])] = codes
+        return out.T
+
+    cut = int(n.sum())
+    x, y = np.ascontiguousarray(laid(codes[:cut], n, top)[::-1]), np.ascontiguousarray(laid(codes[cut:], m, top - 1))
+    lane, ends, aim = np.arange(len(xs)), n + m, m - n
+    ok = np.zeros(len(xs), bool)
+    # Cells of diagonals -reach, -reach + 2 to reach, and of those between, with one beyond at either side.
+    wide, between = np.full((reach + 1, len(xs)), far, kind), np.full((reach + 2, len(xs)), far, kind)
+    (between[(reach + 1) // 2] if reach % 2 else wide[reach // 2])[:] = 0
+    ok[ends == 0] = True
+    held = np.empty_like(wide)
+    unlike = np.empty(wide.shape, bool)
+    by_end = np.argsort(ends, kind="stable")
+    place = int(np.searchsorted(ends[by_end], 1))
+    for s in range(1, last + 1):
+        odd = (s + reach) & 1
+        cells = reach if odd else reach + 1
+        j, i = front + (s - reach + odd) // 2 - 1, width - 1 - front - (s + reach - odd) // 2 + 1
+        now = between[1:-1] if odd else wide
+        step, differ = held[:cells], unlike[:cells]
+        beside = wide if odd else between
+        np.minimum(beside[:-1], beside[1:], out=step)
+        np.add(step, 1, out=step)
+        np.not_equal(x[i : i + cells], y[j : j + cells], out=differ)
+        np.add(now, differ.view(np.uint8), out=now)
+        np.minimum(now, step, out=now)
+        while place < len(by_end) and ends[by_end[place]] == s:
+            k = by_end[place]
+            ok[lane[k]] = now[(aim[k] + reach - odd) // 2, k] <= most[lane[k]]
+            place += 1
+        if s % LOOK == 0:
+            np.minimum(wide, far, out=wide)
+            np.minimum(between, far, out=between)
+            alive = (ends > s) & (np.minimum(wide.min(axis=0), between.min(axis=0)) <= most[lane])
+            if not alive.any():
+                break
+            if alive.sum() < 0.8 * len(alive):
+                x, y, wide, between = (np.ascontiguousarray(t[:, alive]) for t in (x, y, wide, between))
+                lane, ends, aim = lane[alive], ends[alive], aim[alive]
+                held, unlike = np.empty_like(wide), np.empty(wide.shape, bool)
+                by_end = np.argsort(ends, kind="stable")
+                place = 0
+    return ok
+
+
+def _forms(forms: DataFrame, asked: DataFrame) -> DataFrame:
+    """node, form of the nodes in asked (each once); the forms of others aren't exchanged while those asked for can be broadcast."""
+    if asked.count() <= BROADCAST_NODES:
+        asked = F.broadcast(asked)
+    return materialize(forms.join(asked, "node", "left_semi").dropDuplicates(["node"]), "forms")
+
+
 def _similar(pairs: DataFrame, prints: DataFrame, forms: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose normal forms are similar."""
     held = pairs = materialize(pairs.select("a", "b"), "candidates")
@@ -365,25 +467,33 @@ def _similar(pairs: DataFrame, prints: DataFrame, forms: DataFrame, name: str) -
     apart = " + ".join(f"bit_count({x}a ^ {x}b)" for x in BAG)
     close = f"10 * abs(za - zb) <= greatest(za, zb) and (least(za, zb) <= {SHORT} or bit_count(pa ^ pb) <= {FAR}) and 5 * ({apart} + abs(za - zb)) <= greatest(za, zb)"
     pairs = materialize(pairs.where(close).select("a", "b"), f"{name}-pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    found = materialize(forms.join(F.broadcast(asked) if few else asked, "node", "left_semi").dropDuplicates(["node"]), "forms")
+    found = _forms(forms, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("form").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("form").alias("y")), "b")
-    most = f"cast(floor({1 - SIMILARITY:.6f} * greatest(length(x), length(y))) as int)"
-    # The time grows with the bound, so it is raised in steps: most similar pairs are within a small one.
-    long_ = F.greatest(F.length("x"), F.length("y")) > LONG
-    similar = " or ".join([f"levenshtein(x, y, least({STEPS[0]}, {most})) >= 0", *(f"({most} > {a} and levenshtein(x, y, least({b}, {most})) >= 0)" for a, b in zip(STEPS, (*STEPS[1:], 1 << 30), strict=True))])
-    short = both.where(~long_).where(F.expr(similar)).select("a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, rows, chars = [], 0, 0
         for batch in batches:
-            ok = [distance(x, y) * 10 <= max(len(x), len(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    links = materialize(short.unionAll(both.where(long_).select("a", "b", "x", "y").mapInArrow(check, "a long, b long")), f"{name}-links")
+            gathered.append(batch)
+            rows += batch.num_rows
+            chars += batch.nbytes
+            if rows >= GATHERED or chars >= GATHERED * LONG:
+                yield _checked(gathered)
+                gathered, rows, chars = [], 0, 0
+        if gathered:
+            yield _checked(gathered)
+
+    links = materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{name}-links")
     release(held, pairs, found)
     return links
 
 
+def _checked(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """a, b of the rows (a, b, x, y) with similar x and y."""
+    rows = pa.Table.from_batches(batches)
+    ok = within(rows.column(2).to_pylist(), rows.column(3).to_pylist())
+    return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[ok], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+
 def _placed(rows: DataFrame, components: DataFrame, node: str = "node", as_: str = "component") -> DataFrame:
     c = components.select(F.col("node").alias(node), F.col("component").alias(as_))
     if components.count() <= BROADCAST_NODES:
@@ -391,32 +501,151 @@ def _placed(rows: DataFrame, components: DataFrame, node: str = "node", as_: str
     return rows.join(c, node, "left").withColumn(as_, F.coalesce(as_, node))
 
 
+class Slices:
+    """Rows of slices (sig, i, k) of groups, or of one without these columns: what tells whether two of them may be similar."""
+
+    def __init__(self, rows: pa.Table):
+        self.of, z, p = (rows.column(c).to_numpy() for c in ("component", "size", "print"))
+        self.z, self.p = z.astype(np.int64), p.astype(np.int64).view(_U)
+        self.bag = np.stack([rows.column(c).to_numpy().astype(np.int64).view(_U) for c in BAG], axis=1)
+        self.starts, self.sigs = np.array([0, rows.num_rows]), None
+        if "own" in rows.column_names:
+            self.sig, self.i, self.k, self.own = (rows.column(c).to_numpy() for c in ("sig", "i", "k", "own"))
+            self.starts = np.append(_starts(rows), rows.num_rows)
+            lists = rows.column("sigs").combine_chunks()
+            self.sigs = np.full((rows.num_rows, GROUPS), np.iinfo(np.int64).max)
+            self.sigs[np.arange(GROUPS) < lists.value_lengths().to_numpy()[:, None]] = lists.flatten().to_numpy()
+
+    def close(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of rows of one slice that may be similar and are in two components.
+
+        Pairs of one slice are left to that slice by itself, and pairs that share several of their first GROUPS groups to the smallest.
+        """
+        for low, high in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
+            a, each = low, max(1, 100_000 // max(1, high - low))
+            while a < high:
+                x, y = np.arange(a, min(a + each, high))[:, None], np.arange(a, high)
+                near = (self.of[x] != self.of[y]) & (x < y)
+                if self.sigs is not None and self.i[low] != self.k[low]:
+                    near &= self.own[x] != self.own[y]
+                longer, shorter = np.maximum(self.z[x], self.z[y]), np.minimum(self.z[x], self.z[y])
+                near &= 10 * (longer - shorter) <= longer
+                near &= (shorter <= SHORT) | (np.bitwise_count(self.p[x] ^ self.p[y]) <= FAR)
+                left, right = np.nonzero(near)
+                left, right = left + a, right + a
+                z = np.maximum(self.z[left], self.z[right])
+                steps = np.bitwise_count(self.bag[left] ^ self.bag[right]).sum(axis=1, dtype=np.int64)
+                ok = 5 * (steps + np.abs(self.z[left] - self.z[right])) <= z
+                left, right = left[ok], right[ok]
+                if self.sigs is not None and len(left):
+                    sooner = np.where(self.sigs[left] < self.sig[low], self.sigs[left], -1)[:, :, None] == np.where(self.sigs[right] < self.sig[low], self.sigs[right], -2)[:, None, :]
+                    ok = ~sooner.any(axis=(1, 2))
+                    left, right = left[ok], right[ok]
+                if len(left):
+                    yield left, right
+                a += each
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    new = np.append(True, np.zeros(max(0, rows.num_rows - 1), bool))[: rows.num_rows]
+    for c in ("sig", "i", "k"):
+        x = rows.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (sig, i, k), some whole slices at a time."""
+    held, rows, enough = [], 0, GATHERED
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= enough:
+            table = pa.Table.from_batches(held)
+            last = int(_starts(table)[-1])
+            if last:
+                yield table.slice(0, last)
+            held, rows = table.slice(last).to_batches(), rows - last
+            enough = max(GATHERED, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def _between(rows: pa.Table) -> pa.Table:
     """Pairs a < b of nodes of one slice of a group that may be similar and are in two components."""
-    node, of, z, p = (rows.column(c).to_numpy() for c in ("node", "component", "size", "print"))
-    order = np.argsort(node)
-    node, of, z, p = node[order], of[order], z[order].astype(np.int64), p[order].astype(np.int64).view(_U)
-    bag = np.stack([rows.column(c).to_numpy().astype(np.int64).view(_U) for c in BAG], axis=1)[order]
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in range(len(node) - 1):
-        y, q = z[i + 1 :], p[i + 1 :]
-        close = (of[i + 1 :] != of[i]) & (10 * np.abs(y - z[i]) <= np.maximum(y, z[i])) & ((np.minimum(y, z[i]) <= SHORT) | (np.bitwise_count(q ^ p[i]) <= FAR))
-        at = np.flatnonzero(close) + i + 1
-        if len(at):
-            steps = np.bitwise_count(bag[at] ^ bag[i]).sum(axis=1, dtype=np.int64)
-            at = at[5 * (steps + np.abs(z[at] - z[i])) <= np.maximum(z[at], z[i])]
-            right.append(node[at])
-            left.append(np.full(len(at), node[i]))
-    return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], names=["a", "b"])
-
-
-def _left_apart(members: DataFrame, components: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs of nodes of hot groups (sig, node) that may be similar and are in two components."""
+    rows = rows.take(pa.array(np.argsort(rows.column("node").to_numpy())))
+    node, none = rows.column("node").to_numpy(), np.empty(0, np.int64)
+    found = [(none, none), *((node[x], node[y]) for x, y in Slices(rows).close())]
+    return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+
+def _not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by slices, that may be similar to another one of their slice."""
+    for rows in _whole_slices(batches):
+        some = np.zeros(rows.num_rows, bool)
+        for x, y in Slices(rows).close():
+            some[x] = some[y] = True
+        yield from rows.filter(pa.array(some)).to_batches()
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, sure, of rows sorted by slices: links that join components; pairs with a line of over LONG characters, whose form doesn't come along, are not sure."""
+    parent: dict[int, int] = {}
+    out: list[tuple[int, int, bool]] = []
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
+
+    def settle(pairs: list[tuple[int, int, int, int, str, str]]) -> None:
+        pairs = [p for p in pairs if root(p[2]) != root(p[3])]
+        for k in np.flatnonzero(within([p[4] for p in pairs], [p[5] for p in pairs])).tolist():
+            x, y = root(pairs[k][2]), root(pairs[k][3])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((*pairs[k][:2], True))
+
+    def made() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
+        out.clear()
+        return done
+
+    pairs = []
+    for rows in _whole_slices(batches):
+        node, of, forms = rows.column("node").to_pylist(), rows.column("component").to_pylist(), rows.column("form").to_pylist()
+        for left, right in Slices(rows).close():
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                if forms[i] is None or forms[j] is None:
+                    out.append((node[i], node[j], False))
+                else:
+                    pairs.append((node[i], node[j], of[i], of[j], forms[i], forms[j]))
+            if len(pairs) >= GATHERED:
+                settle(pairs)
+                pairs = []
+            if len(out) >= GATHERED:
+                yield made()
+        if len(parent) > SEEN:
+            parent.clear()  # links that join what is joined already do no harm
+    settle(pairs)
+    yield made()
+
+
+def _left_apart(members: DataFrame, components: DataFrame, prints: DataFrame, forms: DataFrame) -> DataFrame:
+    """a, b, sure: links between components, of nodes of hot groups (sig, node); what isn't sure is to be verified."""
     placed = _placed(members, components)
     apart = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / SLICE).alias("slices")).where("low <> high")
-    rows = placed.join(apart.select("sig", "slices"), "sig").join(prints, "node").withColumn("own", F.expr("pmod(xxhash64(node), slices)"))
+    opened = materialize(placed.join(apart.select("sig", "slices"), "sig"), "opened")
+    nodes = prints.join(opened.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, GROUPS).alias("sigs")), "node")
+    rows = opened.join(nodes, "node").withColumn("own", F.expr("pmod(xxhash64(node), slices)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, slices - 1)"))).withColumns({"i": F.least("own", "other"), "k": F.greatest("own", "other")})
-    return rows.select("sig", "i", "k", "node", "component", "print", "size", *BAG).groupBy("sig", "i", "k").applyInArrow(_between, "a long, b long").distinct()
+    rows = rows.select("sig", "i", "k", "own", "sigs", "node", "component", "print", "size", *BAG)
+    sliced = lambda rows: rows.repartition("sig", "i", "k").sortWithinPartitions("sig", "i", "k")
+    some = materialize(sliced(rows).mapInArrow(_not_alone, rows.schema), "some")
+    found = _forms(forms, some.where(f"size <= {LONG}").select("node").distinct())
+    out = materialize(sliced(some.join(found, "node", "left")).mapInArrow(_joined, "a long, b long, sure boolean"), "apart")
+    release(opened, some, found)
+    return out
 
 
 def groups_of(nodes: DataFrame) -> DataFrame:
@@ -447,10 +676,12 @@ def groups_of(nodes: DataFrame) -> DataFrame:
         members, written = members.where("hot").select("sig", "node"), [placed, joined]
         if k and new.isEmpty():
             break
-    apart = materialize(_left_apart(members, components, prints), "apart")
+    apart = _left_apart(members, components, prints, forms)
     release(*written)
-    if not apart.isEmpty():
-        components = materialize(connected_components(links.unionAll(_similar(apart, prints, forms, "apart"))), "components")
+    links = links.unionAll(apart.where("sure").select("a", "b"))
+    if not (unsure := apart.where("not sure").select("a", "b").distinct()).isEmpty():
+        links = links.unionAll(_similar(unsure, prints, forms, "apart"))
+    components = materialize(connected_components(links), "components")
     release(prints, apart)
     return components
 

@@ -208,3 +208,50 @@ def test_slices_of_a_group_send_no_pairs_of_unlike_letters():
     made = L._between(pa.table({**columns, **{c: np.ascontiguousarray(bags[:, i]) for i, c in enumerate(L.BAG)}}))
     pairs = set(zip(made.column("a").to_pylist(), made.column("b").to_pylist(), strict=True))
     assert {(i, 60 + i) for i in range(10)} <= pairs and len(pairs) < 40  # of 2415 with equal SimHashes
+
+
+def test_distances_side_by_side():
+    rng = np.random.default_rng(21)
+    pairs = [("", ""), ("", "a"), ("a", "b"), ("abcdefghij", "abcdefghi"), ("w " * 900, "w " * 880)]
+    for letters in (list("abc"), list("abcdefgh éü"), [chr(0x4E00 + i) for i in range(400)]):
+        for _ in range(150):
+            a = "".join(rng.choice(letters, rng.integers(0, 160)))
+            b = list(a)
+            for _ in range(int(rng.integers(0, len(a) // 6 + 2))):
+                i = int(rng.integers(len(b))) if b else 0
+                b[i : i + int(rng.integers(0, 3))] = rng.choice(letters, rng.integers(0, 3)).tolist()
+            pairs.append((a, "".join(b)))
+    long_ = ["".join(rng.choice(list("abcd "), 1700)) for _ in range(10)]  # cells of two bytes
+    pairs += [(x, x[: 40 * k] + x[80 * k :] + "ab" * (10 * k)) for k, x in enumerate(long_)]
+    want = [L.distance(x, y) * 10 <= max(len(x), len(y)) for x, y in pairs]
+    assert L.within([x for x, _ in pairs], [y for _, y in pairs]).tolist() == want and 100 < sum(want) < len(want) - 100
+    assert L.within([x for x, _ in pairs[-10:]], [y for _, y in pairs[-10:]]).tolist() == want[-10:] and 0 < sum(want[-10:]) < 10
+
+
+def test_unlike_pairs_of_a_large_group_are_not_written(make, monkeypatch):
+    """Copies of one text, each edited in its own way, differ from each other in over a tenth: what is written grows with them, not with their pairs."""
+    rng = np.random.default_rng(22)
+    words = ["".join(rng.choice(list("abcdefghijklm"), 7)) for _ in range(60)]
+    lines = []
+    for _ in range(240):
+        own = list(words)
+        for k in rng.choice(60, 7, replace=False):
+            own[k] = "".join(rng.permutation(list(own[k])))  # the same letters
+        lines.append(" ".join(own))
+    again = [x.replace(words[0], words[0][1:] + words[0][0]) for x in lines[:8]]
+    pairs = sum(distance(x, y) * 10 > len(x) for x, y in zip(lines[:40], lines[40:80], strict=True))
+    assert pairs > 20  # most don't link
+    real, written = L.materialize, {}
+
+    def counted(df, name="t", compression="zstd"):
+        out = real(df, name, compression)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(L, "materialize", counted)
+    rows = {r.doc_id: r.n_removed for r in L.dedup(make([*enumerate(lines), *enumerate(again, 1000)]).repartition(3)).collect()}
+    texts = {**dict(enumerate(lines)), **dict(enumerate(again, 1000))}
+    assert all(rows[1000 + i] for i in range(8)) and rows.keys() == texts.keys()
+    for i in (i for i, n in rows.items() if n):  # what goes is linked to something
+        assert any(L.within([texts[i]] * (len(texts) - 1), [texts[j] for j in texts if j != i]))
+    assert max(n for k, n in written.items() if k not in ("members", "found")) <= 8 * len(texts), written
