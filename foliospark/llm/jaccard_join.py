@@ -346,6 +346,8 @@ def _met_in_bucket(rows: pa.Table) -> pa.Table:
 
 #: Rows (16 bytes each) up to which the nodes that are asked for are broadcast to pick their sets out of all; beyond, a shuffle join picks them.
 BROADCAST_NODES = 1_000_000
+#: Ids of documents that go, or that several rows have, up to which they are broadcast to the texts (some 50 bytes each in a hash table).
+BROADCAST_IDS = 2_000_000
 #: Bytes of centres up to which they are broadcast to their nodes; beyond, a shuffle join brings them together.
 BROADCAST_BYTES = 32_000_000
 
@@ -647,11 +649,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows with one doc_id and the same text one stays; rows with one doc_id and different texts all stay.
     """
-    kept = join_groups(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__fs_id")).agg((F.count("*") > 1).alias("__fs_many"))
-    named = docs.join(kept, docs["doc_id"] == F.col("__fs_id"))
+    # Documents that go and ids with several rows are few: their ids go to the texts, not the texts to all ids.
+    groups = join_groups(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__fs_id"))
+    marks = groups.agg(F.min("component_id").alias("of"), F.count("*").alias("rows")).where("of <> __fs_id or rows > 1")
+    marks = materialize(marks.select("__fs_id", (F.col("of") == F.col("__fs_id")).alias("__fs_many")), "marks")
+    named = docs.join(F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks, docs["doc_id"] == F.col("__fs_id"), "left")
     many = named.where("__fs_many").withColumn("__fs_text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "__fs_text"])
-    once = named.where("not __fs_many")
-    return once.select(docs.columns).unionByName(many.select(docs.columns)).unionByName(docs.where("doc_id is null"))
+    return named.where("__fs_many is null").select(docs.columns).unionByName(many.select(docs.columns))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

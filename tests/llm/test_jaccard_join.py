@@ -147,3 +147,21 @@ def test_components(spark, monkeypatch, one_task):
     alone = {x for x in parent if all(x not in e or e[0] == e[1] for e in edges)}
     assert got == {x: root(x) for x in parent if x not in alone}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_of_kept_documents_are_not_exchanged(spark, make):
+    """Ids go to the texts at any size of documents, however few bytes Spark itself would broadcast."""
+    from foliospark.llm import jaccard_join as J
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (3, "another text"), (3, "another text"), (4, "one id"), (4, "two texts"), (5, None), (None, text), (None, None), (6, "")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = J.one_of_each(make(rows))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([(1, text), (3, "another text"), (4, "one id"), (4, "two texts"), (5, None), (None, text), (None, None), (6, "")], key=repr)
+    assert "SortMergeJoin" not in plan
