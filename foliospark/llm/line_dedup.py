@@ -21,7 +21,8 @@ and the difference in length are together at most twice the edit distance: bags
 Texts are read once, with numpy over the bytes of a batch. Every line of every text takes part. A node's occurrences are only counted and joined, never gathered: a line that stands
 in a third of all documents is a hot key of a join, whose partition the adaptive planner can split. Blocks travel packed
 by hash bucket; what comes back is each node's smallest companion and memberships (block, node). Nodes are held against their smallest companion; then, in
-rounds, small groups give their pairs of different components, larger ones the pairs with one node picked by a hash. What larger groups then still
+rounds, small groups give their pairs of different components, larger ones the pairs with one node picked by a hash: members travel with lengths, SimHashes and
+bags, so that a pair which these rule out is not written. Rounds end when one joins little, as each reads all forms. What larger groups then still
 hold in several components is compared in slices of their nodes, by lengths, SimHashes and bags, which names the nodes whose forms are needed, and then by edit
 distance in the slice itself, which gives no more links than it has components: pairs are compared there but not written, and the size of a group changes no result.
 
@@ -60,6 +61,8 @@ WORDS_EACH, LEAST_CHARS, CLOSE = 3, 10, 0.85
 #: The number of blocks is 2 to this power at most (there are 12 bits for it, and 20 for the lines of a piece).
 MOST_BITS = 11
 SMALL, ROUNDS, SLICE, BUCKET = 8, 3, 4096, 400_000
+#: Members for each link of a round from which another round isn't worth reading all forms once more.
+RARE = 100
 #: Bytes of text read at a time; words whose bits are spread out at a time (64 bytes each); nodes that a task remembers.
 PIECE, WORDS_AT_ONCE, SEEN = 500_000, 100_000, 300_000
 _U = np.uint64
@@ -251,7 +254,8 @@ def fingerprints(lines: Lines, new: np.ndarray) -> tuple[np.ndarray, list[np.nda
     value = np.concatenate([value, mix(np.array([x for x, _ in own], _U))])
     of = np.concatenate([of, np.array([i for _, i in own], np.int64)])
     order = np.argsort(of, kind="stable")
-    return prints, np.split(value[order], np.cumsum(np.bincount(of, minlength=len(new)))[:-1])
+    value, ends = value[order], np.cumsum(np.bincount(of, minlength=len(new))).tolist()
+    return prints, [value[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]  # np.split takes a microsecond and more for each
 
 
 def segments(form: str) -> set[int]:
@@ -458,7 +462,7 @@ def _forms(forms: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, forms: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose normal forms are similar."""
+    """The pairs (a, b) whose normal forms are similar, by lengths, SimHashes and bags first."""
     held = pairs = materialize(pairs.select("a", "b"), "candidates")
     few = held.count() <= BROADCAST_NODES
     for c in "ab":
@@ -466,7 +470,14 @@ def _similar(pairs: DataFrame, prints: DataFrame, forms: DataFrame, name: str) -
         pairs = (F.broadcast(pairs) if few else pairs).join(own, c)
     apart = " + ".join(f"bit_count({x}a ^ {x}b)" for x in BAG)
     close = f"10 * abs(za - zb) <= greatest(za, zb) and (least(za, zb) <= {SHORT} or bit_count(pa ^ pb) <= {FAR}) and 5 * ({apart} + abs(za - zb)) <= greatest(za, zb)"
-    pairs = materialize(pairs.where(close).select("a", "b"), f"{name}-pairs")
+    links = _verified(pairs.where(close).select("a", "b"), forms, name)
+    release(held)
+    return links
+
+
+def _verified(pairs: DataFrame, forms: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose normal forms are similar."""
+    pairs = materialize(pairs, f"{name}-pairs")
     found = _forms(forms, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("form").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("form").alias("y")), "b")
 
@@ -483,7 +494,7 @@ def _similar(pairs: DataFrame, prints: DataFrame, forms: DataFrame, name: str) -
             yield _checked(gathered)
 
     links = materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{name}-links")
-    release(held, pairs, found)
+    release(pairs, found)
     return links
 
 
@@ -546,27 +557,27 @@ class Slices:
                 a += each
 
 
-def _starts(rows: pa.Table) -> np.ndarray:
+def _starts(rows: pa.Table, by: tuple[str, ...] = ("sig", "i", "k")) -> np.ndarray:
     new = np.append(True, np.zeros(max(0, rows.num_rows - 1), bool))[: rows.num_rows]
-    for c in ("sig", "i", "k"):
+    for c in by:
         x = rows.column(c).to_numpy()
         new[1:] |= x[1:] != x[:-1]
     return np.flatnonzero(new)
 
 
-def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by (sig, i, k), some whole slices at a time."""
-    held, rows, enough = [], 0, GATHERED
+def _whole_slices(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("sig", "i", "k"), least: int = GATHERED) -> Iterator[pa.Table]:
+    """Rows sorted by the columns `by`, some whole slices at a time."""
+    held, rows, enough = [], 0, least
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
         if rows >= enough:
             table = pa.Table.from_batches(held)
-            last = int(_starts(table)[-1])
+            last = int(_starts(table, by)[-1])
             if last:
                 yield table.slice(0, last)
             held, rows = table.slice(last).to_batches(), rows - last
-            enough = max(GATHERED, 2 * rows)
+            enough = max(least, 2 * rows)
     if rows:
         yield pa.Table.from_batches(held)
 
@@ -579,6 +590,50 @@ def _between(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
 
+MET = "a long, b long, sig long, node long, size int, print long, " + ", ".join(f"{c} long" for c in BAG)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of members sorted by (sig, h): pairs a < b of different components that may be similar, and the members of larger groups of several components.
+
+    Small groups give all such pairs, larger ones those with their first node.
+    """
+    names = ["sig", "node", "size", "print", *BAG]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *(pa.int64() for _ in range(1 + len(BAG)))]
+    for rows in _whole_slices(batches, ("sig",), 8 * GATHERED):
+        start = _starts(rows, ("sig",))
+        size = np.diff(np.append(start, rows.num_rows))
+        of, node = rows.column("component").to_numpy(), rows.column("node").to_numpy()
+        several = np.minimum.reduceat(of, start) != np.maximum.reduceat(of, start)
+        group = np.repeat(np.arange(len(start)), size)
+        hot = np.flatnonzero((several & (size > SMALL))[group])
+        few = np.flatnonzero((several & (size <= SMALL))[group])
+        left, right = [start[group[hot]]], [hot]
+        for k in range(1, SMALL):
+            both = few[: max(0, len(few) - k)], few[k:]
+            same = group[both[0]] == group[both[1]]
+            left.append(both[0][same])
+            right.append(both[1][same])
+        x, y = np.concatenate(left), np.concatenate(right)
+        apart = of[x] != of[y]
+        x, y = x[apart], y[apart]
+        z, p = rows.column("size").to_numpy().astype(np.int64), rows.column("print").to_numpy()
+        longer, shorter = np.maximum(z[x], z[y]), np.minimum(z[x], z[y])
+        ok = (10 * (longer - shorter) <= longer) & ((shorter <= SHORT) | (np.bitwise_count((p[x] ^ p[y]).view(_U)) <= FAR))
+        x, y, longer, shorter = x[ok], y[ok], longer[ok], shorter[ok]
+        steps = longer - shorter
+        for c in BAG:
+            bag = rows.column(c).to_numpy()
+            steps += np.bitwise_count((bag[x] ^ bag[y]).view(_U))
+        ok = 5 * steps <= longer
+        a, b = node[x[ok]], node[y[ok]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, pairs.T.copy()), *(pa.nulls(len(pairs), k) for k in kinds[2:])], names=["a", "b", *names])
+        if len(hot):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(hot), k) for k in kinds[:2]), *(pa.array(rows.column(c).to_numpy()[hot], k) for c, k in zip(names, kinds[2:], strict=True))], names=["a", "b", *names])
+
+
 def _not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows, sorted by slices, that may be similar to another one of their slice."""
     for rows in _whole_slices(batches):
@@ -631,12 +686,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made()
 
 
-def _left_apart(members: DataFrame, components: DataFrame, prints: DataFrame, forms: DataFrame) -> DataFrame:
-    """a, b, sure: links between components, of nodes of hot groups (sig, node); what isn't sure is to be verified."""
+def _left_apart(members: DataFrame, components: DataFrame, forms: DataFrame) -> DataFrame:
+    """a, b, sure: links between components, of nodes of hot groups (sig, node, size, print, bag); what isn't sure is to be verified."""
     placed = _placed(members, components)
     apart = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / SLICE).alias("slices")).where("low <> high")
     opened = materialize(placed.join(apart.select("sig", "slices"), "sig"), "opened")
-    nodes = prints.join(opened.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, GROUPS).alias("sigs")), "node")
+    nodes = opened.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, GROUPS).alias("sigs"))
     rows = opened.join(nodes, "node").withColumn("own", F.expr("pmod(xxhash64(node), slices)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, slices - 1)"))).withColumns({"i": F.least("own", "other"), "k": F.greatest("own", "other")})
     rows = rows.select("sig", "i", "k", "own", "sigs", "node", "component", "print", "size", *BAG)
@@ -657,26 +712,19 @@ def groups_of(nodes: DataFrame) -> DataFrame:
     first = found.where(f"kind = {FIRST}").groupBy(F.col("node").alias("b")).agg(F.min("other").alias("a"))
     links = _similar(first.select("a", "b"), prints, forms, "first")
     components = materialize(connected_components(links), "components")
-    members, written = found.where(f"kind = {MEMBER}").select("node", F.col("other").alias("sig")).distinct(), [found]
+    members = found.where(f"kind = {MEMBER}").select("node", F.col("other").alias("sig")).repartition("node").distinct().join(prints, "node")
+    written = [found]
     for k in range(ROUNDS):
-        placed = _placed(members, components)
-        placed = materialize(placed, "members") if k == 0 else placed
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")).alias("p")
-        groups = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot, F.count("*").alias("times"))
-        groups = groups.where("low <> high").select("sig", F.col("p.node").alias("pivot"), F.col("p.component").alias("of"), (F.col("times") > SMALL).alias("hot"))
-        members = joined = materialize(placed.join(groups, "sig"), "members")
+        placed = _placed(members, components).withColumn("h", F.xxhash64("node", F.lit(k)))
+        met = materialize(placed.repartition("sig").sortWithinPartitions("sig", "h", "node").mapInArrow(_met, MET), "members")
         release(*written)
-        few = members.where("not hot")
-        x, y = (few.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        pairs = x.join(y, "sig").where("a < b and ca <> cb").select("a", "b")
-        pairs = pairs.unionAll(members.where("hot and component <> of").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))).distinct()
-        new = _similar(pairs, prints, forms, "near")
+        new = _verified(met.where("a is not null").select("a", "b").distinct(), forms, "near")
         links = links.unionAll(new)
         components = materialize(connected_components(links), "components")
-        members, written = members.where("hot").select("sig", "node"), [placed, joined]
-        if k and new.isEmpty():
+        members, written = met.where("a is null").select("sig", "node", "size", "print", *BAG), [met]
+        if k and RARE * new.count() <= members.count():
             break
-    apart = _left_apart(members, components, prints, forms)
+    apart = _left_apart(members, components, forms)
     release(*written)
     links = links.unionAll(apart.where("sure").select("a", "b"))
     if not (unsure := apart.where("not sure").select("a", "b").distinct()).isEmpty():

@@ -255,3 +255,23 @@ def test_unlike_pairs_of_a_large_group_are_not_written(make, monkeypatch):
     for i in (i for i, n in rows.items() if n):  # what goes is linked to something
         assert any(L.within([texts[i]] * (len(texts) - 1), [texts[j] for j in texts if j != i]))
     assert max(n for k, n in written.items() if k not in ("members", "found")) <= 8 * len(texts), written
+
+
+def test_members_of_groups_that_are_ruled_out_make_no_candidates(make, monkeypatch):
+    """Lines that share blocks only, in large and in small groups: beyond one companion each, no pair is written that lengths, SimHashes and bags rule out."""
+    rng = np.random.default_rng(31)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    common = [[word(14) for _ in range(4)] for _ in range(12)]
+    lines = [" ".join([*common[i % (1 if i < 150 else 12)], *(word(9) for _ in range(4))]) for i in range(300)]
+    similar = [x[:-1] + "0" for x in lines[:150:10]]
+    real, written = L.materialize, {}
+
+    def counted(df, name="t", compression="zstd"):
+        out = real(df, name, compression)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(L, "materialize", counted)
+    rows = {r.doc_id: r.n_removed for r in L.dedup(make([*enumerate(lines), *enumerate(similar, 1000)]).repartition(3)).collect()}
+    assert {i for i, n in rows.items() if n} == {1000 + i for i in range(len(similar))}
+    assert written["candidates"] <= len(lines) + len(similar), written
