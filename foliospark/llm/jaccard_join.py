@@ -407,6 +407,18 @@ def _with_component(rows: DataFrame, components: DataFrame, node: str, as_: str)
     return rows.join(c, node, "left").withColumn(as_, F.coalesce(as_, node))
 
 
+def _open_groups(placed: DataFrame, k: int) -> DataFrame:
+    """The rows (sig, node, component) of groups of several components, with the node picked by hash k (pivot, of) and the group's size (times, hot).
+
+    Groups are made of the rows that are exchanged for the join, so that there is one exchange, of the rows alone.
+    """
+    rows = placed.select("sig", "node", "component").repartition("sig")
+    pivot = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")).alias("p")
+    groups = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot, F.count("*").alias("times"))
+    groups = groups.where("low <> high").select("sig", F.col("p.node").alias("pivot"), F.col("p.component").alias("of"), "times", (F.col("times") > SMALL).alias("hot"))
+    return rows.join(groups, "sig")
+
+
 def _pairs_of(members: DataFrame) -> DataFrame:
     """Pairs a < b of different components of small groups; members: sig, node, component."""
     x, y = (members.select("sig", F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
@@ -583,10 +595,7 @@ def join_groups(docs: DataFrame) -> DataFrame:
     written = [first]
     for k in range(ROUNDS):
         placed = materialize(_with_component(members, components, "node", "component"), "placed")
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")).alias("p")
-        groups = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot, F.count("*").alias("times"))
-        groups = groups.where("low <> high").select("sig", F.col("p.node").alias("pivot"), F.col("p.component").alias("of"), "times", (F.col("times") > SMALL).alias("hot"))
-        joined = materialize(placed.join(groups, "sig"), "members")
+        joined = materialize(_open_groups(placed, k), "members")
         release(placed, *written)
         stars = joined.where("hot and component <> of").groupBy(F.col("node").alias("b")).agg(F.min(F.struct(F.xxhash64("pivot", F.lit(k)).alias("h"), "pivot"))["pivot"].alias("a"))
         pairs = _pairs_of(joined.where("not hot")).unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -165,3 +165,20 @@ def test_texts_of_kept_documents_are_not_exchanged(spark, make):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == sorted([(1, text), (3, "another text"), (4, "one id"), (4, "two texts"), (5, None), (None, text), (None, None), (6, "")], key=repr)
     assert "SortMergeJoin" not in plan
+
+
+def test_groups_are_made_of_rows_exchanged_once(spark, tmp_path):
+    """Groups of signatures and the join with their members share one exchange."""
+    rows = [(s, 100 * s + i, 100 * s + (i if s % 2 else 0)) for s in range(40) for i in range(2 + s % 12)]
+    spark.createDataFrame(rows, "sig long, node long, component long").write.parquet(str(tmp_path / "placed"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = J._open_groups(spark.read.parquet(str(tmp_path / "placed")), 0)
+        found = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.sig, r.node, r.component) for r in found) == [r for r in rows if r[0] % 2]
+    assert all(r.pivot // 100 == r.sig and r.of == r.pivot and r.times == 2 + r.sig % 12 and r.hot == (r.times > J.SMALL) for r in found)
+    assert plan.replace("ReusedExchange", "").count("Exchange hashpartitioning(") - plan.count("ReusedExchange") == 1, plan
