@@ -19,13 +19,14 @@ the memberships (signature, node) of signatures that several nodes have: linear
 A pair that this leaves open shares TIMES segments that are all in larger ones: the rarest of them still joins the two if each node gives up
 its most frequent signatures, of TIMES - 1 segments. That leaves few nodes and small groups; there are up to ROUNDS rounds.
 Of a larger group one node is picked by a hash, and each node is held against one that is picked in any of its groups: one pair a node and round, and most of a family of copies is one component soon.
-3. What is still larger and of several components is *hot*. Its nodes are written as differences D(x) from a centre q (what half of a sample of
+3. What is still larger and of several components is *hot*. A node with more than a fifth of its shingles in no other hot node links with none and is left
+out (told by cells of half the universe, which shingles share, so that no other node is). The others are written as differences D(x) from a centre q (what half of a sample of
 the nodes have): two sets differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles whatever q is. Either |D(x)| and |D(y)| alone are small enough, then both
 are linked to the node with the least difference for its size, or linked nodes share some of their differences. A prefix filter over the
 differences, by bands of |D| of the larger one and with shingles that q lacks first, rare ones before others, finds every such pair. Near copies of one text
 differ from it each in its own way, and texts that share a passage each have a rest of their own, so that neither yields pairs that don't link.
 4. Sets uncovered to the last meet by a prefix filter of their own.
-In 3 and 4 pairs pass the parities of their shingles in 1024 cells, in the join itself. All candidates pass sizes and a sketch of 256 counts. These only drop pairs that
+In 3 and 4 pairs pass the parities of their shingles in 1024 cells, in the join itself. All candidates pass sizes and a sketch of 256 counts, more for longer sets. These only drop pairs that
 can't link; what is left is verified exactly on the whole sets.
 
 Nulls, empty texts and texts of separators have an empty set and link with nothing; their component is their own doc_id. doc_id is of an integer type and
@@ -171,33 +172,70 @@ def all_signatures(shingles: np.ndarray) -> tuple[np.ndarray, bool]:
 
 # ------------------------------------------------------------------ plan parts
 
-#: Cells of a set's sketch: how many of its shingles fall into each.
-CELLS = 256
+#: Cells of the sketch of a set of under SKETCHED shingles: how many of its shingles fall into each. Each doubling of the set doubles them, so that long sets are told apart too.
+CELLS, SKETCHED = 256, 2048
+#: What a cell counts up to (half a byte); what is beyond is known from the set's size.
+FULL = 15
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((shingles & _U(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    cells = CELLS << (len(shingles) // SKETCHED).bit_length()
+    held = np.minimum(np.bincount((shingles & _U(cells - 1)).astype(np.int64), minlength=cells), FULL).astype(np.uint8)
+    return (held[0::2] | held[1::2] << 4).tobytes()
+
+
+def counts_of(sketches: list[bytes], cells: int) -> np.ndarray:
+    """The cells of sketches of one length, a row each, folded to so many."""
+    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    held = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(sketches), -1)
+    while held.shape[1] > cells:
+        held = np.minimum(held[:, : held.shape[1] // 2] + held[:, held.shape[1] // 2 :], FULL)
+    return held
 
 
 def may_link(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """False only for pairs that can't link: the cells' smaller counts add up to an upper bound of the intersection, unless a cell is full."""
-    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-    full = (a.max(axis=1) == 255) | (b.max(axis=1) == 255)
-    sized = DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)
-    return sized & (full | (DEN * most >= NUM * (na + nb - most)))
+    """False only for pairs that can't link: the cells' smaller counts, and what is beyond full cells, add up to an upper bound of the intersection."""
+    most = np.minimum(a, b).sum(axis=1, dtype=np.int64) + np.minimum(na - a.sum(axis=1, dtype=np.int64), nb - b.sum(axis=1, dtype=np.int64))
+    return (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & (DEN * most >= NUM * (na + nb - most))
+
+
+def may_link_each(na: np.ndarray, nb: np.ndarray, a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """may_link for sketches of any lengths."""
+    out = np.zeros(len(na), bool)
+    by: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        by.setdefault((len(x), len(y)), []).append(i)
+    for sizes, at in by.items():
+        cells = 2 * min(sizes)
+        out[at] = may_link(na[at], nb[at], counts_of([a[i] for i in at], cells), counts_of([b[i] for i in at], cells))
+    return out
 
 
 #: Bytes of a shingle in a packed set; two sets of a thousand have a chance of 4e-9 to share one by accident.
 SET_BYTES = 6
+#: Sets of so many shingles and more are packed without their highest bytes, which 256 counts (4 bytes each) give.
+COUNTED = 2048
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).tobytes()  # the high bytes: still in order
+    """The high bytes of a sorted set, still in order; its length tells the form (a multiple of SET_BYTES, or one byte more)."""
+    if len(x) < COUNTED:
+        return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).tobytes()
+    counts = np.bincount((x >> _U(56)).astype(np.int64), minlength=256).astype(np.uint32).tobytes()
+    out = counts + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES : 7]).tobytes()
+    return out + bytes((1 - len(out)) % SET_BYTES)
 
 
 def _unpack(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // SET_BYTES, 8), np.uint8)
-    out[:, 8 - SET_BYTES :] = np.frombuffer(x, np.uint8).reshape(-1, SET_BYTES)
+    if len(x) % SET_BYTES == 0:
+        out = np.zeros((len(x) // SET_BYTES, 8), np.uint8)
+        out[:, 8 - SET_BYTES :] = np.frombuffer(x, np.uint8).reshape(-1, SET_BYTES)
+        return out.view(np.uint64).ravel()
+    counts = np.frombuffer(x, np.uint32, 256)
+    n = int(counts.sum())
+    out = np.zeros((n, 8), np.uint8)
+    out[:, 8 - SET_BYTES : 7] = np.frombuffer(x, np.uint8, n * (SET_BYTES - 1), 1024).reshape(n, SET_BYTES - 1)
+    out[:, 7] = np.repeat(np.arange(256, dtype=np.uint8), counts)
     return out.view(np.uint64).ravel()
 
 
@@ -360,20 +398,24 @@ def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs that sizes and sketches don't rule out."""
+    """The pairs that sizes and sketches don't rule out. Sizes come first, so that few sketches are exchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CELLS) for c in batch.columns[4:6]]
-            ok = may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), *cells)
+            ok = may_link_each(batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist(), batch.column(5).to_pylist())
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
-    pairs = materialize(pairs.select("a", "b"), "candidates")
-    if pairs.count() <= BROADCAST_NODES:
-        pairs = F.broadcast(pairs)
+    def sent(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
+
+    pairs = sent(materialize(pairs.select("a", "b"), "candidates"))
+    for c in "ab":
+        pairs = pairs.join(reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}")), c)
+    pairs = materialize(pairs.where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b", "na", "nb"), "sized")
+    asked = reps.join(sent(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi")
     for c in "ab":
-        pairs = pairs.join(reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-    return pairs.where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+        pairs = pairs.join(asked.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")), c)
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _facing(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -448,7 +490,7 @@ def _parities(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 def _pairs_by_key(found: DataFrame, components: DataFrame, parities: DataFrame) -> DataFrame:
     """Pairs a < b of different components, one of role 1 and one of role 2, under one key, that parities don't rule out; found: met_in_buckets of 4 * node + roles (each key of a node once)."""
     rows = found.where(f"kind = {MEMBER}").select(F.col("other").alias("key"), F.expr("node >> 2").alias("node"), F.expr("node & 3").alias("roles"))
-    rows = materialize(_with_component(rows, components, "node", "component").distinct(), "keys")
+    rows = _with_component(rows, components, "node", "component").repartition("key").distinct()  # one exchange, for what follows too
     shared = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_or("roles").alias("all"))
     rows = rows.join(shared.where("low <> high and all = 3").select("key"), "key", "left_semi").join(parities, "node")
     rows = materialize(rows, "keys")
@@ -517,16 +559,120 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
     return out
 
 
+#: Cells that tell shingles of several sets, at most at once (a bit each for the tasks); 2 ** PART_BITS of them are counted together.
+MOST_CELLS, PART_BITS = 1 << 28, 16
+
+
+def _half(x: np.ndarray, bits: int) -> np.ndarray:
+    """The cells, of 2 ** bits, of those shingles of a set that lie in one half of the universe."""
+    return mix(x[(x >> _U(20)) & _U(1) == 0]) >> _U(64 - bits)
+
+
+def has_company(n: int, cells: np.ndarray, common: np.ndarray) -> bool:
+    """False only if a set of n shingles can't link: of what is in it a linked set lacks a fifth at most. common: a bit for each cell, set where several sets fall into it."""
+    alone = len(cells) - int((common[cells >> _U(3)] >> (_U(7) - (cells & _U(7))).astype(np.uint8) & 1).sum())
+    return DEN * alone <= (DEN - NUM) * n
+
+
+def _common(sets: DataFrame, nodes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each of 2 ** bits cells: whether shingles of the nodes' sets fall into it more than once."""
+    part = min(bits, PART_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            cells = np.sort(np.concatenate([np.empty(0, _U), *held]))
+            starts = np.flatnonzero(np.append(True, cells[1:] >> _U(part) != cells[:-1] >> _U(part)))[: len(cells)]
+            low = (cells & _U((1 << part) - 1)).astype(np.uint16)
+            ends = np.append(starts[1:], len(cells))[: len(cells)]
+            parts = (cells[starts] >> _U(part)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(parts), pa.array([low[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["part", "held"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(_half(_unpack(x.as_py()), bits))
+                n += len(held[-1])
+                if n >= 2 * FLUSH:
+                    yield flush()
+                    held, n = [], 0
+        yield flush()
+
+    def total(rows: pa.Table) -> pa.Table:
+        times = np.zeros(1 << part, np.int64)
+        for x in rows.column("held"):
+            times += np.bincount(np.frombuffer(x.as_py(), np.uint16), minlength=1 << part)
+        return pa.table([rows.column("part").slice(0, 1), pa.array([np.packbits(times > 1).tobytes()], pa.binary())], names=["part", "held"])
+
+    out, width = np.zeros(1 << bits - 3, np.uint8), 1 << part - 3
+    for k, held in _only(sets, nodes).select("set").mapInArrow(run, "part int, held binary").groupBy("part").applyInArrow(total, "part int, held binary").toLocalIterator():
+        out[k * width : (k + 1) * width] = np.frombuffer(held, np.uint8)
+    return out
+
+
+def _in_company(sets: DataFrame, asked: DataFrame, reps: DataFrame) -> DataFrame:
+    """The nodes (node) b of asked but for those that have more than a fifth of their shingles alone.
+
+    Texts that share a passage have a rest of their own, so that few of them stay. Pivots a are taken in as many slices as keep the cells within MOST_CELLS.
+    """
+    sized = asked.join(reps.select(F.col("rep").alias("b"), "n"), "b")
+    weight = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    slices = -(-weight // MOST_CELLS)
+    bits = min(MOST_CELLS, max(1 << 12, -(-weight // max(1, slices)))) - 1
+    bits = bits.bit_length()
+    left = asked.select(F.col("b").alias("node")).where("1 = 0")
+    for k in range(slices):
+        part = asked.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == k)
+        nodes = materialize(part.select(F.col("b").alias("node")).distinct(), "nodes")
+        sent = sets.sparkSession.sparkContext.broadcast(_common(sets, nodes, bits))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = (_unpack(x.as_py()) for x in batch.column(1))
+                ok = [has_company(len(x), _half(x, bits), sent.value) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], names=["node"])
+
+        left = left.unionAll(materialize(_only(sets, nodes).select("node", "set").mapInArrow(run, "node long"), "kept"))
+        sent.unpersist()
+    return left.distinct()
+
+
+def _asked(hot: DataFrame) -> DataFrame:
+    """a, b: each node b of hot groups (node, pivot, of) under one pivot a for each component of its pivots."""
+    pivots = hot.groupBy("of").agg(F.min(F.struct(F.xxhash64("pivot").alias("h"), "pivot"))["pivot"].alias("a"))
+    asked = hot.select("of", F.col("node").alias("b")).distinct().join(pivots, "of").select("a", "b")
+    return materialize(asked.unionAll(pivots.select("a", F.col("a").alias("b"))).distinct(), "asked")
+
+
 def _centres(sets: DataFrame, asked: DataFrame) -> DataFrame:
     """a, centre: of each pivot a (asked has its nodes b) the shingles that half of a sample of its nodes have; any set would do, a good one leaves small differences."""
     size = asked.groupBy("a").agg(F.count("*").alias("k"))
-    some = asked.join(size, "a").where(f"pmod(xxhash64(b), greatest(1L, k div {SAMPLE})) = 0 or b = a").select("a", F.col("b").alias("node"))
+    some = asked.join(size, "a").where(f"pmod(xxhash64(b), k) < {SAMPLE} or b = a").select("a", F.col("b").alias("node"))
 
-    def centre(rows: pa.Table) -> pa.Table:
-        held, times = np.unique(np.concatenate([_unpack(x.as_py()) for x in rows.column("set")]), return_counts=True)
-        return pa.table([rows.column("a").slice(0, 1), pa.array([_pack(held[2 * times >= rows.num_rows])], pa.binary())], names=["a", "centre"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def centre() -> tuple[int, bytes]:
+            shingles, times = np.unique(np.concatenate(held), return_counts=True)
+            return last, _pack(shingles[2 * times >= len(held)])
 
-    return materialize(_only(sets, some).select("a", "set").groupBy("a").applyInArrow(centre, "a long, centre binary"), "centres", "none")
+        def batch_of(made: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["a", "centre"])
+
+        for batch in batches:
+            made = []
+            for a, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if a != last:
+                    if held:
+                        made.append(centre())
+                    last, held = a, []
+                held.append(_unpack(x.as_py()))
+            yield batch_of(made)
+        if held:
+            yield batch_of([centre()])
+
+    rows = _only(sets, some).select("a", "set").repartition("a").sortWithinPartitions("a")
+    return materialize(rows.mapInArrow(run, "a long, centre binary"), "centres", "none")
 
 
 def _differences(sets: DataFrame, asked: DataFrame, centres: DataFrame, often: Callable[[], np.ndarray]) -> DataFrame:
@@ -622,9 +768,11 @@ def join_groups(docs: DataFrame) -> DataFrame:
     release(found, members, *written)
     open_ = hot.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     hot = hot.join(open_, "sig", "left_semi")
-    pivots = hot.groupBy("of").agg(F.min(F.struct(F.xxhash64("pivot").alias("h"), "pivot"))["pivot"].alias("a"))
-    asked = hot.select("of", F.col("node").alias("b")).distinct().join(pivots, "of").select("a", "b")
-    asked = materialize(asked.unionAll(pivots.select("a", F.col("a").alias("b"))).distinct(), "asked")
+    asked = _asked(hot)
+    if asked.limit(1).count():  # groups of those that stay have other pivots, in common more often
+        kept = materialize(_in_company(sets, asked, reps), "kept")
+        kept = F.broadcast(kept) if kept.count() <= BROADCAST_NODES else kept
+        asked = _asked(materialize(_open_groups(hot.join(kept, "node", "left_semi"), ROUNDS), "hot"))
     if asked.limit(1).count():
         sent = docs.sparkSession.sparkContext.broadcast(_frequencies(_only(sets, asked.select(F.col("b").alias("node")).distinct())))
         differences = _differences(sets, asked, _centres(sets, asked), lambda: sent.value)

@@ -182,3 +182,52 @@ def test_groups_are_made_of_rows_exchanged_once(spark, tmp_path):
     assert sorted((r.sig, r.node, r.component) for r in found) == [r for r in rows if r[0] % 2]
     assert all(r.pivot // 100 == r.sig and r.of == r.pivot and r.times == 2 + r.sig % 12 and r.hot == (r.times > J.SMALL) for r in found)
     assert plan.replace("ReusedExchange", "").count("Exchange hashpartitioning(") - plan.count("ReusedExchange") == 1, plan
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 9000), st.floats(0, 0.25), st.floats(0, 0.25), st.integers(0, 10**6))
+def test_sketches_and_packs_of_long_sets(n, less, more, seed):
+    """Linked sets pass at any size, unlike ones don't, and long sets take less than six bytes a shingle."""
+    rng = np.random.default_rng(seed)
+    new = lambda k: np.unique(rng.integers(0, 2**64, k, dtype=np.uint64))
+    a = new(n)
+    b = np.unique(np.concatenate([a[int(n * less) :], new(int(n * more))]))
+    pass_ = lambda x, y: J.may_link_each(np.array([len(x)]), np.array([len(y)]), [J.sketch(x)], [J.sketch(y)])[0]
+    assert pass_(a, b) or not J.linked(a, b)
+    assert n < 100 or not pass_(new(n), new(n))
+    back = J._unpack(J._pack(a))
+    assert (back >> np.uint64(16) == a >> np.uint64(16)).all() and len(back) == len(a)
+    assert n < 4000 or len(J._pack(a)) < 5.5 * n
+
+
+def test_texts_that_share_a_passage_alone_are_not_compared(make, monkeypatch):
+    """Of 400 texts with one passage and a rest of their own, and 40 near copies with it, no more than those copies and a few others get keys."""
+    rng = np.random.default_rng(11)
+    passage, base = words(rng, 60), words(rng, 200)
+    texts = [passage + words(rng, 140) for _ in range(400)] + [passage + edited(rng, base, int(rng.integers(3, 9))) for _ in range(40)]
+    counts = {}
+    write = J.materialize
+
+    def counted(df, name="t", *more):
+        out = write(df, name, *more)
+        if name == "differences":
+            counts[name] = out.select("b").distinct().count()
+        return out
+
+    monkeypatch.setattr(J, "materialize", counted)
+    texts = {int(i): " ".join(t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join_groups(make(list(texts.items())).repartition(4)).collect()}
+    assert got == brute(texts)
+    assert counts.get("differences", 0) < 100, counts
+
+
+@pytest.mark.parametrize("most", [J.MOST_CELLS, 4096])
+def test_slices_of_hot_groups(make, monkeypatch, most):
+    """Whatever the number of slices, the same groups as by brute force."""
+    monkeypatch.setattr(J, "MOST_CELLS", most)
+    rng = np.random.default_rng(12)
+    passages = [words(rng, 40) for _ in range(6)]
+    bases = [words(rng, 120) for _ in range(6)]
+    texts = {i: " ".join(passages[i % 6] + edited(rng, bases[(i // 6) % 6] if i % 4 else words(rng, 120), int(rng.integers(0, 7)))) for i in range(240)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join_groups(make(list(texts.items())).repartition(4)).collect()}
+    assert got == brute(texts)
